@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tintero.llm import boilerplate, lookalike, scanned
+from tintero.llm import boilerplate, lookalike, quality, scanned
 from tintero.runtime import table
 
+PARAGRAPHS = "unified_paragraphs_segmented"
 PAGES = "scanned_pdfs_extracted_text"
 
 
@@ -12,7 +13,22 @@ def _pages(fn):
     return lambda spark, d: fn(table(spark, d, PAGES))
 
 
+def _common(spark, d):
+    return quality.common_words(spark, table(spark, d, "common_words"))
+
+
+def _p1_found(spark, d):
+    p = table(spark, d, PARAGRAPHS).select("row_id", "text")
+    return quality.kinds(p, _common(spark, d)).where("kind IN ('list', 'table', 'junk')").select("row_id")
+
+
+def _p1_stats(spark, d):
+    return quality.graded(table(spark, d, PARAGRAPHS).select("row_id", "length", "text"), _common(spark, d)).drop("text")
+
+
 QUERIES = {
+    "p1_found": _p1_found,
+    "p1_statistics": _p1_stats,
     "p4_found": _pages(scanned.found),
     "p4_repaired": _pages(scanned.repaired),
     "p5_found": _pages(lookalike.lookalike_pairs),

@@ -187,13 +187,11 @@ def _hash_sql(col: str) -> str:
 
 def corrections(evidence: DataFrame) -> DataFrame:
     """(word, meant, n): the best-ranked frequent reading of each rare, confusable word."""
-    spark = evidence.sparkSession
     power = lambda s: float(sum(ord(c) ** 5 for c in s))
-    conf = spark.createDataFrame([(a.lower(), b, power(b) - power(a.lower()), not a.isalpha()) for a, b in CONFUSIONS], "got string, meant_s string, diff double, sign boolean").distinct()
+    listed = ", ".join(f"named_struct('got', {a.lower()!r}, 'meant_s', {b!r}, 'diff', {power(b) - power(a.lower())!r}D, 'sign', {str(not a.isalpha()).lower()})" for a, b in sorted({(a.lower(), b) for a, b in CONFUSIONS}))
     words = evidence.where("kind = 'w' AND length(key) >= 2").selectExpr("key AS word", "n", f"{_hash_sql('key')} AS h", "key RLIKE '[^\\\\p{L}\\\\p{M}.\\\\-]' AS odd")
-    rare = words.selectExpr("word", "n", "h", "odd")
-    # Rare words with each confusion they contain (a fixed list: every word meets at most its few dozen entries).
-    asked = rare.join(F.broadcast(conf), F.expr("instr(word, got) > 0 AND (odd = sign OR (odd AND sign))")).selectExpr("word", "n", "odd", "got", "meant_s", "h + diff AS h")
+    # Each word with the confusions it contains: at most the few dozen entries of the fixed list.
+    asked = words.selectExpr("word", "n", "h", "odd", f"explode(filter(array({listed}), c -> instr(word, c.got) > 0 AND odd = c.sign)) AS c").selectExpr("word", "n", "odd", "c.got", "c.meant_s", "h + c.diff AS h")
     known = words.where(f"n >= {MIN_SEEN} AND NOT odd").selectExpr("word AS meant", "n AS n_meant", "h")
     fits = (
         "exists(sequence(1, length(word) - length(got) + 1), i -> substring(word, i, length(got)) = got AND concat(substring(word, 1, i - 1), meant_s, substring(word, i + length(got), length(word))) = meant)"
