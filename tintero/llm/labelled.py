@@ -28,7 +28,7 @@ NUMBERED = [
 ]
 TITLES = ["Informe sobre el canal", "Análisis de los suelos y de las lluvias", "Anexo 4: mapas del valle", "CONCLUSIONES", "Jefa de la oficina de riego", "Cusco, 3 de abril de 2011", "Revisión de la tarifa", "Capítulo 2. El agua", "Director del museo", "Nota preliminar", "Estado de las carreteras en el norte", "Annual report of the board", "Visión general"]
 ITEMS = ["compra de bombas", "el mapa de suelos", "limpieza de acequias en Tarma", "gasto en cercos", "S/ 4 200 para semillas", "la tarifa nocturna", "ajuste de 12,4 metros", "Revisar el caudal y el nivel", "Entregar los planos de la obra", "Medir en 3,1% las pérdidas", "La junta deberá cerrar las compuertas en abril", "talleres de capacitación", "Informar a los vecinos de la ribera", "cierre de cuentas del proyecto de forestación en la ladera norte"]
-ROWS = ["trigo", "cebada", "maíz amarillo", "canal norte", "consumo de agua", "Valle Alto", "pérdida media", "costo del riego", "papa", "caudal mínimo del río"]
+ROWS = ["trigo", "cebada", "maíz amarillo", "canal norte", "consumo de agua", "Valle Alto", "pérdida media", "costo del riego", "papa", "caudal mínimo del río", "costo de la limpieza de canales", "aporte de las juntas de riego", "gasto en semillas y abonos", "saldo de la caja de usuarios"]
 SITE = ["Inicio", "Buscar", "Contacto", "Portada", "Archivo", "Ayuda", "Español", "English", "Iniciar sesión", "Suscripción", "Anterior", "Siguiente", "Términos de uso", "Noticias", "Enlaces", "Enviar", "Ver todo"]
 
 
@@ -115,7 +115,7 @@ def _list(r: random.Random) -> str:
     roman = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"]
     lead = {"1": [f"{k}. " for k in range(1, 11)], "1)": [f"{k}) " for k in range(1, 11)], "a": [f"{c}) " for c in "abcdefghij"], "i": [f"{c}. " for c in roman]}.get(mark, [mark] * 10)
     end = r.choice(["", "", ";", ".", ""])
-    tail = [f"  {k}" for k in range(3, 33, 3)] if r.random() < 0.3 else [""] * 10
+    tail = [f"  {k}" for k in range(3, 33, 3)] if r.random() < 0.4 else [""] * 10
     out = [a + x + end + b for a, x, b in zip(lead, items, tail)]
     if r.random() < 0.25:
         out.insert(0, r.choice(["Se detallan:", "Son los siguientes:", "A saber:"]))
