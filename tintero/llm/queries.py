@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tintero.llm import boilerplate, lookalike, quality, scanned
+from tintero.llm import boilerplate, lookalike, pieces, quality, scanned, truncation
 from tintero.runtime import table
 
 PARAGRAPHS = "unified_paragraphs_segmented"
@@ -26,7 +26,19 @@ def _p1_stats(spark, d):
     return quality.graded(table(spark, d, PARAGRAPHS).select("row_id", "length", "text"), _common(spark, d)).drop("text")
 
 
+def _p2(fn):
+    return lambda spark, d: fn(table(spark, d, PARAGRAPHS), table(spark, d, "common_words"))
+
+
+def _p3_pieces(spark, d):
+    return pieces.pieces(table(spark, d, PARAGRAPHS), table(spark, d, "size_limits"))
+
+
 QUERIES = {
+    "p2_found": lambda spark, d: _p2(truncation.truncated)(spark, d).select("row_id", "field"),
+    "p2_rates": _p2(truncation.rates),
+    "p3_found": lambda spark, d: _p3_pieces(spark, d).where("n_pieces > 1 AND piece_no = 1").select("row_id"),
+    "p3_pieces": _p3_pieces,
     "p1_found": _p1_found,
     "p1_statistics": _p1_stats,
     "p4_found": _pages(scanned.found),
@@ -37,4 +49,10 @@ QUERIES = {
     "p6_cleaned": _pages(boilerplate.without_repeated),
     "p6_sequences": _pages(boilerplate.frequent_sequences),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p3_found": """
+SELECT u.row_id FROM unified_paragraphs_segmented u
+LEFT JOIN size_limits l ON l.source_type = u.source_type AND l.source_type <> '*'
+LEFT JOIN size_limits s ON s.source_type = '*'
+WHERE length(u.text) > coalesce(l.max_chars, s.max_chars)""",
+}

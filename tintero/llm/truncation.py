@@ -33,6 +33,8 @@ ABOVE_RATE = {"text": 2.0, "page_range": 3.0}
 OPENERS = 100_000
 
 _MARK = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|\(…\)|�|&#?\w{0,8})\s*$")
+#: A character cut in two: the stop lies inside it, whatever stands before.
+_BROKEN = re.compile(r"(?:�|&#?\w{1,8})\s*$")
 _CLOSED = re.compile(r"[.!?:;。！？।؟»”\"')\]）」²³¹][\s​-‍﻿]*$")
 _SCRIPTS = [("zh", "一", "鿿"), ("th", "฀", "๿"), ("hi", "ऀ", "ॿ"), ("ar", "؀", "ۿ"), ("ko", "가", "힯"), ("ru", "Ѐ", "ӿ"), ("el", "Ͱ", "Ͽ")]
 _KANA = re.compile("[぀-ヿ]")
@@ -175,10 +177,11 @@ def heading_openers(df: DataFrame) -> list[str]:
     return [r["w"] for r in g.where("h >= 2 AND 2 * h >= n").orderBy(F.desc("h"), "w").limit(OPENERS).collect()]
 
 
-def _log_odds(text: str, lang: str, model) -> tuple[float, int]:
-    """(log-odds of ending at the last characters, order used)."""
+def _log_odds(text: str, lang: str, model) -> float:
+    """Log-odds of ending at the last characters: the best over the orders with support."""
     tables, _ = model
     low = _codes(text[-ORDERS[0] :].lower())
+    best = None
     for order in ORDERS:
         t = tables.get((lang, order))
         if t is None or len(low) < order:
@@ -187,8 +190,9 @@ def _log_odds(text: str, lang: str, model) -> tuple[float, int]:
         b = int(_rolling(low[-order:], order)[0])
         e, s = int(ends[b]), int(seen[b])
         if s >= SUPPORT or order == ORDERS[-1]:
-            return math.log((e + 0.02) / (max(s - e, 0) + 1.0)), order
-    return 0.0, 0
+            lo = math.log((e + 0.02) / (max(s - e, 0) + 1.0))
+            best = lo if best is None else max(best, lo)
+    return 0.0 if best is None else best
 
 
 def _prepare(rows) -> tuple[dict, dict]:
@@ -245,13 +249,13 @@ def truncated(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_i
             if text and text.strip():
                 lang = language(text, common)
                 tail = _tail(text)
-                lo, _ = _log_odds(tail, lang, model)
-                if lo < rate.get(lang, -6.0) + ABOVE_RATE["text"] and not _heading(text, heads):
+                lo = _log_odds(tail, lang, model)
+                if (lo < rate.get(lang, -6.0) + ABOVE_RATE["text"] or _BROKEN.search(text)) and not _heading(text, heads):
                     yield i, "text", source, lo, text
 
     got = flat_map(df.select(id_col, "text", "page_range", "source_type"), run, f"`{id_col}` {kind}, field string, source_type string, log_odds double, text string")
-    graded = quality.kinds(got.where("field = 'text'"), sorted(set().union(*common.values())) if common else [])
-    return graded.where("kind = 'prose'").drop("kind", "text").unionByName(got.where("field = 'page_range'").drop("text"))
+    graded = quality.kinds(got, sorted(set().union(*common.values())) if common else [])
+    return graded.where("field = 'page_range' OR kind = 'prose'").drop("kind", "text")
 
 
 def _heading(text: str, heads) -> bool:
