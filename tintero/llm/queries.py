@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tintero.llm import boilerplate, lookalike, pieces, quality, scanned, truncation
+from tintero.llm import boilerplate, lookalike, pieces, quality, scanned, sentences, truncation
 from tintero.runtime import table
 
 PARAGRAPHS = "unified_paragraphs_segmented"
@@ -34,7 +34,13 @@ def _p3_pieces(spark, d):
     return pieces.pieces(table(spark, d, PARAGRAPHS), table(spark, d, "size_limits"))
 
 
+def _p7_found(spark, d):
+    return sentences.units_of(table(spark, d, PARAGRAPHS), table(spark, d, "sentence_check")).select("row_id", "end_pos")
+
+
 QUERIES = {
+    "p7_found": _p7_found,
+    "p7_sentences": lambda spark, d: sentences.units(table(spark, d, PARAGRAPHS)),
     "p2_found": lambda spark, d: _p2(truncation.truncated)(spark, d).select("row_id", "field"),
     "p2_rates": _p2(truncation.rates),
     "p3_found": lambda spark, d: _p3_pieces(spark, d).where("n_pieces > 1 AND piece_no = 1").select("row_id"),

@@ -38,23 +38,23 @@ _BROKEN = re.compile(r"(?:�|&#?\w{1,8})\s*$")
 _CLOSED = re.compile(r"[.!?:;。！？।؟»”\"')\]）」²³¹][\s​-‍﻿]*$")
 _SCRIPTS = [("zh", "一", "鿿"), ("th", "฀", "๿"), ("hi", "ऀ", "ॿ"), ("ar", "؀", "ۿ"), ("ko", "가", "힯"), ("ru", "Ѐ", "ӿ"), ("el", "Ͱ", "Ͽ")]
 _KANA = re.compile("[぀-ヿ]")
-_ALPHA = re.compile(r"[^\W\d_]")
-
-
-def language(text: str, common: dict[str, frozenset]) -> str:
-    """Language by script, for Latin script by the frequent words of each language."""
-    if not text.isascii():
-        letters = _ALPHA.findall(text)
-        far = [c for c in letters if c > "ͯ"]
-        if 2 * len(far) > len(letters):
-            if _KANA.search(text):
-                return "ja"
-            c = far[len(far) // 2]
-            return next((name for name, a, b in _SCRIPTS if a <= c <= b), "other")
-    if not common:
+_FAR = re.compile("[Ͱ-᳿\u2c80-\ud7ff豈-\ufaff]")
+
+
+def language(text: str, common: dict[str, int], names: list[str]) -> str:
+    """Language by script, for Latin script by the frequent words of each language.
+
+    ``common`` gives each frequent word the bits of the languages it belongs to.
+    """
+    m = None if text.isascii() else _FAR.search(text)
+    if m is not None:
+        far = len(text) - len(_FAR.sub("", text))
+        if 2 * far > sum(map(str.isalpha, text)):
+            return "ja" if _KANA.search(text) else next((name for name, a, b in _SCRIPTS if a <= m.group() <= b), "other")
+    if not names:
         return "latin"
-    words = text.lower().split()
-    return max(sorted(common), key=lambda k: sum(w in common[k] for w in words))
+    hits = Counter(map(common.get, text.lower().split()))
+    return max(names, key=lambda k: sum(n for bits, n in hits.items() if bits and bits >> names.index(k) & 1))
 
 
 def page_code(value: str) -> str:
@@ -99,13 +99,14 @@ def _tail(text: str) -> str:
     """The value without blank ends and without a mark of a cut."""
     t = text.rstrip()
     while True:
-        s = _MARK.sub("", t).rstrip()
-        if s == t or not s:
+        end = t[-16:]
+        s = _MARK.sub("", end)
+        if s == end or not (len(t) > 16 or s.strip()):
             return t
-        t = s
+        t = (t[:-16] + s).rstrip()
 
 
-def _count(rows, common):
+def _count(rows, common, names):
     """Per task: (lang, order, bin, ends, goes on); order 0 holds the totals of the language."""
     goes: dict = {}
     ends: Counter = Counter()
@@ -134,9 +135,9 @@ def _count(rows, common):
                 ends["pages+", code[k - 3 : k]] += 1
         if not text or not text.strip():
             continue
-        lang = language(text, common)
+        lang = language(text, common, names)
         tail = _tail(text)
-        closed = _CLOSED.search(tail) is not None
+        closed = _CLOSED.search(tail[-8:]) is not None
         total[lang, "n"] += 1
         total[lang, "chars"] += len(tail)
         total[lang, "closed"] += closed
@@ -163,10 +164,10 @@ def _count(rows, common):
         yield lang, 0, what, int(n), 0, 0
 
 
-def train(df: DataFrame, common: dict[str, frozenset]) -> DataFrame:
-    """The model: (lang, ord, ctx, ends, open_ends, seen), one row per used table entry."""
-    part = flat_map(df.select("text", "page_range"), lambda rows: _count(rows, common), "lang string, ord int, ctx string, ends bigint, open_ends bigint, seen bigint", 65_536)
-    return part.groupBy("lang", "ord", "ctx").agg(F.sum("ends").alias("ends"), F.sum("open_ends").alias("open_ends"), F.sum("seen").alias("seen"))
+def train(df: DataFrame, common: dict[str, int], names: list[str]) -> DataFrame:
+    """The model: (lang, ord, ctx, ends, open_ends, seen), one row per table entry at which some value ends."""
+    part = flat_map(df.select("text", "page_range"), lambda rows: _count(rows, common, names), "lang string, ord int, ctx string, ends bigint, open_ends bigint, seen bigint", 65_536)
+    return part.groupBy("lang", "ord", "ctx").agg(F.sum("ends").alias("ends"), F.sum("open_ends").alias("open_ends"), F.sum("seen").alias("seen")).where("ord = 0 OR ends + open_ends > 0 OR lang = '#pages'")
 
 
 def heading_openers(df: DataFrame) -> list[str]:
@@ -226,12 +227,14 @@ def truncated(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_i
     from tintero.runtime import checkpoint
 
     spark = df.sparkSession
-    words = [] if common_rows is None else common_rows.where("lang IS NOT NULL AND word IS NOT NULL").limit(10_000).collect()
+    listed = [] if common_rows is None else common_rows.where("lang IS NOT NULL AND word IS NOT NULL").limit(10_000).collect()
+    names = sorted({r["lang"] for r in listed})
     common: dict = {}
-    for r in words:
-        common.setdefault(r["lang"], set()).add(r["word"].lower())
-    common = {k: frozenset(v) for k, v in common.items()}
-    rows = [tuple(r) for r in checkpoint(train(df, common)).collect()]  # at most LANGS x ORDERS x BINS entries
+    for r in listed:
+        w = r["word"].lower()
+        common[w] = common.get(w, 0) | 1 << names.index(r["lang"])
+    got = checkpoint(train(df, common, names)).toPandas()  # at most LANGS x ORDERS x BINS entries, as flat columns
+    rows = list(zip(*(got[c].tolist() for c in got.columns)))
     openers = frozenset(heading_openers(df))
     shared = spark.sparkContext.broadcast((_pack(rows), openers))
     kind = dict(df.dtypes)[id_col]
@@ -247,14 +250,14 @@ def truncated(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_i
                 if code[-1] in "-c" and lo < ABOVE_RATE["page_range"] - 1.0:
                     yield i, "page_range", source, lo, None
             if text and text.strip():
-                lang = language(text, common)
+                lang = language(text, common, names)
                 tail = _tail(text)
                 lo = _log_odds(tail, lang, model)
-                if (lo < rate.get(lang, -6.0) + ABOVE_RATE["text"] or _BROKEN.search(text)) and not _heading(text, heads):
+                if (lo < rate.get(lang, -6.0) + ABOVE_RATE["text"] or _BROKEN.search(text[-16:])) and not _heading(text, heads):
                     yield i, "text", source, lo, text
 
-    got = flat_map(df.select(id_col, "text", "page_range", "source_type"), run, f"`{id_col}` {kind}, field string, source_type string, log_odds double, text string")
-    graded = quality.kinds(got, sorted(set().union(*common.values())) if common else [])
+    found = flat_map(df.select(id_col, "text", "page_range", "source_type"), run, f"`{id_col}` {kind}, field string, source_type string, log_odds double, text string")
+    graded = quality.kinds(found, sorted(common))
     return graded.where("field = 'page_range' OR kind = 'prose'").drop("kind", "text")
 
 
