@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tintero.llm import boilerplate, lookalike, pieces, quality, scanned, sentences, truncation
+from tintero.llm import boilerplate, leaks, lookalike, mixing, pieces, quality, scanned, sentences, truncation
 from tintero.runtime import table
 
 PARAGRAPHS = "unified_paragraphs_segmented"
@@ -38,7 +38,20 @@ def _p7_found(spark, d):
     return sentences.units_of(table(spark, d, PARAGRAPHS), table(spark, d, "sentence_check")).select("row_id", "end_pos")
 
 
+def _p8(fn):
+    return lambda spark, d: fn(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def _p9(fn):
+    return lambda spark, d: fn(table(spark, d, "documents"), table(spark, d, "source_weights"))
+
+
 QUERIES = {
+    "p8_found": lambda spark, d: _p8(leaks.leaked_documents)(spark, d).select("doc_id", "item_id"),
+    "p8_items": _p8(leaks.leaked_items),
+    "p9_found": _p9(mixing.short_sources),
+    "p9_mix": _p9(mixing.mix),
+    "p9_shares": _p9(mixing.shares),
     "p7_found": _p7_found,
     "p7_sentences": lambda spark, d: sentences.units(table(spark, d, PARAGRAPHS)),
     "p2_found": lambda spark, d: _p2(truncation.truncated)(spark, d).select("row_id", "field"),
@@ -56,6 +69,10 @@ QUERIES = {
     "p6_sequences": _pages(boilerplate.frequent_sequences),
 }
 ORACLES: dict[str, str] = {
+    "p9_found": """
+WITH d AS (SELECT lower(trim(source)) AS s, sum(length(coalesce(text, ''))) AS c FROM documents WHERE source IS NOT NULL AND trim(source) <> '' GROUP BY 1)
+SELECT w.source FROM source_weights w LEFT JOIN d ON d.s = lower(trim(w.source))
+WHERE coalesce(d.c, 0) * w.max_repeats < w.target_share * (SELECT sum(c) FROM d)""",
     "p3_found": """
 SELECT u.row_id FROM unified_paragraphs_segmented u
 LEFT JOIN size_limits l ON l.source_type = u.source_type AND l.source_type <> '*'
