@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tintero.llm import boilerplate, leaks, lookalike, mixing, pieces, quality, scanned, sentences, truncation
+from tintero.llm import boilerplate, leaks, lookalike, mixing, pieces, pii, quality, scanned, sentences, truncation
 from tintero.runtime import table
 
 PARAGRAPHS = "unified_paragraphs_segmented"
@@ -47,6 +47,8 @@ def _p9(fn):
 
 
 QUERIES = {
+    "p10_found": lambda spark, d: pii.find(table(spark, d, "documents")).select("doc_id", "kind", "start_pos"),
+    "p10_masked": lambda spark, d: pii.masked(table(spark, d, "documents")),
     "p8_found": lambda spark, d: _p8(leaks.leaked_documents)(spark, d).select("doc_id", "item_id"),
     "p8_items": _p8(leaks.leaked_items),
     "p9_found": _p9(mixing.short_sources),
