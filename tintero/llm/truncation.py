@@ -91,10 +91,29 @@ def _rolling(codes: np.ndarray, order: int) -> np.ndarray:
     h = np.zeros(max(n, 0), np.uint64)
     for k in range(order):
         h = h * _P + codes[k : k + max(n, 0)]
-    h ^= h >> np.uint64(29)
+    return _fold(h)
+
+
+def _fold(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
     return ((h * _Q) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
 
 
+def _last_bins(tails: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By order: hash bins of the last characters of each value, and which values are long enough."""
+    top = ORDERS[0]
+    low = [t[-top:].lower()[-top:] for t in tails]
+    size = np.array([len(t) for t in low])
+    codes = _codes("".join(t.rjust(top, "\x01") for t in low)).reshape(len(low), top)
+    out = {}
+    for order in ORDERS:
+        h = np.zeros(len(low), np.uint64)
+        for k in range(top - order, top):
+            h = h * _P + codes[:, k]
+        out[order] = (_fold(h), size >= order)
+    return out
+
+
 def _tail(text: str) -> str:
     """The value without blank ends and without a mark of a cut."""
     t = text.rstrip()
@@ -114,7 +133,17 @@ def _count(rows, common, names):
     batch: dict = {}
 
     def drain(lang):
-        joined = "\x00".join(batch.pop(lang))
+        tails = batch.pop(lang)
+        shut = np.array([_CLOSED.search(t[-8:]) is not None for t in tails])
+        total[lang, "n"] += len(tails)
+        total[lang, "chars"] += sum(map(len, tails))
+        total[lang, "closed"] += int(shut.sum())
+        for order, (bins, long) in _last_bins(tails).items():
+            for closed in (True, False):
+                got, n = np.unique(bins[long & (shut == closed)], return_counts=True)
+                for b, c in zip(got.tolist(), n.tolist()):
+                    ends[(lang, order, closed), b] += c
+        joined = "\x00".join(tails)
         codes = _codes(joined.lower())
         for order in ORDERS:
             bins = _rolling(codes, order)
@@ -137,14 +166,6 @@ def _count(rows, common, names):
             continue
         lang = language(text, common, names)
         tail = _tail(text)
-        closed = _CLOSED.search(tail[-8:]) is not None
-        total[lang, "n"] += 1
-        total[lang, "chars"] += len(tail)
-        total[lang, "closed"] += closed
-        low = _codes(tail[-ORDERS[0] :].lower())
-        for order in ORDERS:
-            if len(low) >= order:
-                ends[(lang, order, closed), int(_rolling(low[-order:], order)[0])] += 1
         batch.setdefault(lang, []).append(tail)
         if len(batch[lang]) >= 2000:
             drain(lang)
@@ -178,22 +199,19 @@ def heading_openers(df: DataFrame) -> list[str]:
     return [r["w"] for r in g.where("h >= 2 AND 2 * h >= n").orderBy(F.desc("h"), "w").limit(OPENERS).collect()]
 
 
-def _log_odds(text: str, lang: str, model) -> float:
-    """Log-odds of ending at the last characters: the best over the orders with support."""
+def _log_odds(tails: list[str], lang: str, model) -> np.ndarray:
+    """Log-odds of ending at the last characters of each value: the best over the orders with support."""
     tables, _ = model
-    low = _codes(text[-ORDERS[0] :].lower())
-    best = None
-    for order in ORDERS:
+    best = np.full(len(tails), -np.inf)
+    for order, (bins, long) in _last_bins(tails).items():
         t = tables.get((lang, order))
-        if t is None or len(low) < order:
+        if t is None:
             continue
-        ends, seen = t
-        b = int(_rolling(low[-order:], order)[0])
-        e, s = int(ends[b]), int(seen[b])
-        if s >= SUPPORT or order == ORDERS[-1]:
-            lo = math.log((e + 0.02) / (max(s - e, 0) + 1.0))
-            best = lo if best is None else max(best, lo)
-    return 0.0 if best is None else best
+        e, s = t[0][bins].astype(float), t[1][bins].astype(float)
+        lo = np.log((e + 0.02) / (np.maximum(s - e, 0) + 1.0))
+        use = long & ((s >= SUPPORT) | (order == ORDERS[-1]))
+        best = np.where(use, np.maximum(best, lo), best)
+    return np.where(np.isinf(best), 0.0, best)
 
 
 def _prepare(rows) -> tuple[dict, dict]:
@@ -242,6 +260,14 @@ def truncated(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_i
     def run(rows):
         (model, pages), heads = _unpack(shared.value[0]), shared.value[1]
         rate = model[1]
+        held: dict = {}
+
+        def judge(lang):
+            kept = held.pop(lang)
+            for (i, text, source, _), lo in zip(kept, _log_odds([k[3] for k in kept], lang, model).tolist()):
+                if (lo < rate.get(lang, -6.0) + ABOVE_RATE["text"] or _BROKEN.search(text[-16:])) and not _heading(text, heads):
+                    yield i, "text", source, lo, text
+
         for i, text, page_range, source in rows:
             if page_range:
                 code = "^^^" + page_code(page_range)
@@ -251,10 +277,11 @@ def truncated(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_i
                     yield i, "page_range", source, lo, None
             if text and text.strip():
                 lang = language(text, common, names)
-                tail = _tail(text)
-                lo = _log_odds(tail, lang, model)
-                if (lo < rate.get(lang, -6.0) + ABOVE_RATE["text"] or _BROKEN.search(text[-16:])) and not _heading(text, heads):
-                    yield i, "text", source, lo, text
+                held.setdefault(lang, []).append((i, text, source, _tail(text)))
+                if len(held[lang]) >= 1000:
+                    yield from judge(lang)
+        for lang in list(held):
+            yield from judge(lang)
 
     found = flat_map(df.select(id_col, "text", "page_range", "source_type"), run, f"`{id_col}` {kind}, field string, source_type string, log_odds double, text string")
     graded = quality.kinds(found, sorted(common))
