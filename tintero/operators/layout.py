@@ -49,7 +49,7 @@ def opinion_start(words: DataFrame, veto_centred: bool = False) -> DataFrame:
     hit = l.where((F.col("left") < 120) & F.col("line").rlike(rx("^(?:" + "|".join(OPINION[:2]) + ")")))
     if veto_centred:
         # The window looks at the lines of one page only.
-        near = Window.partitionBy("pdf_filename", "page").orderBy("top").rangeBetween(0.001, 30)
+        near = Window.partitionBy("pdf_filename", "page").orderBy(F.round(F.col("top") * 10).cast("long")).rangeBetween(1, 300)
         centred = l.withColumn("_c", F.max((F.col("left") >= 120).cast("int")).over(near)).select("pdf_filename", "page", "top", "_c")
         hit = hit.join(centred, ["pdf_filename", "page", "top"]).where("coalesce(_c, 0) = 0")
     first = hit.groupBy("pdf_filename").agg(F.min(F.struct("page", "top")).alias("m"))

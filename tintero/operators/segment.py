@@ -69,7 +69,7 @@ def number_rows(df: DataFrame, keys: list, name: str = "paragraph_num", partitio
 
 
 def drop_duplicates(df: DataFrame, order: list[str], text_col: str = "text") -> DataFrame:
-    """First row, in ``order``, of each text that counts as the same.
+    """First row, in ``order``, of each text that counts as the same; null is a text of its own.
 
     Keys are reduced to their first row before texts meet, so a text that stands
     a million times is no hot group.
