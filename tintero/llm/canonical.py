@@ -27,6 +27,7 @@ LATIN_LIGATURES = range(0xFB00, 0xFB07)
 CYRILLIC.pop("З", None)  # a letter, not a digit: digits show
 
 LOOKALIKE = {**CYRILLIC, **GREEK}
+_BACK = {"CYRILLIC": {b: a for a, b in reversed(CYRILLIC.items())}, "GREEK": {b: a for a, b in reversed(GREEK.items())}}
 
 
 def _script(ch: str) -> str:
@@ -80,20 +81,22 @@ def unstable_run() -> re.Pattern:
     return re.compile("[" + "".join(parts) + "\U000e0000-\U000e0fff]+")
 
 
+_LETTERS = re.compile("(?:[^\\W_]|[\\u0300-\\u036f])+")
+
+
+def _one_script(m: re.Match) -> str:
+    """The letters of one word in one script."""
+    word = "".join(LOOKALIKE.get(c, c) for c in m.group())
+    # What is left of a script has no Latin twin: its word is in that script.
+    left = {_script(c) for c in word} - {""}
+    return "".join(_BACK[min(left)].get(c, c) for c in word) if left else word
+
+
 @lru_cache(200_000)
 def _segment(seg: str) -> str:
     """Canonical form of one segment with its boundary context."""
     out = unicodedata.normalize("NFD", "".join(map(_fold, seg)))
-    scripts = {_script(c) for c in out} - {""}
-    for script in sorted(scripts):
-        twins = CYRILLIC if script == "CYRILLIC" else GREEK
-        if all(c in twins for c in out if _script(c) == script):
-            out = "".join(twins.get(c, c) for c in out)
-        else:
-            back = {}
-            for a, b in twins.items():
-                back.setdefault(b, a)
-            out = "".join(back.get(c, c) for c in out)
+    out = _LETTERS.sub(_one_script, out)
     return unicodedata.normalize("NFC", out)
 
 
