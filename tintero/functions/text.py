@@ -6,7 +6,7 @@ make Java's engine read a pattern so.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "A-ZÁÉÍÓÚÑ"
@@ -19,6 +19,17 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?Ud{flags})" + pattern
 
 
+def let(col: Column, fn) -> Column:
+    """``fn`` of a column that is computed once, however often ``fn`` names it."""
+    return F.element_at(F.transform(F.array(col), lambda x: fn(x)), 1)
+
+
+def put(df: DataFrame, name: str, col: Column) -> DataFrame:
+    """``df`` with a column computed once per row, behind a generator: neither filters on it nor columns made from it compute it again."""
+    out = df.select(*[f"`{c}`" for c in df.columns if c != name], F.inline(F.array(F.struct(col.alias(name)))))
+    return out.select(*[f"`{c}`" for c in df.columns], *([] if name in df.columns else [name]))
+
+
 def sub(col: Column | str, pattern: str, to: str = "", flags: str = "") -> Column:
     """Replace all matches."""
     return F.regexp_replace(col, rx(pattern, flags), to)

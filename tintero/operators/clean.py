@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tintero.functions.text import chain, has, strip, sub, word_count
+from tintero.functions.text import chain, has, let, put, strip, word_count
 
 # The rules as (pattern, replacement, flags), in the order in which they apply.
 SIGNATURES = [(r"\n*[\.…]{5,}[\s\n]*([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s]+)(?=\n|$)", "", "")]
@@ -30,8 +30,8 @@ LABELS = [r"^\d+\s*:\s*.+", r"^[IVXLCDM]+\s*[.:]", r"^[A-Z]\s*\)\s*.+"]
 
 def is_header(t: Column) -> Column:
     """A section heading: short, few words, opens with a capital, no closing stop, no dateline."""
-    n = word_count(t)
-    return (F.length(t) > 0) & (F.length(t) < 150) & (n > 0) & (n < 20) & t.rlike(r"^\p{Lu}") & ~t.rlike(r"[.!?]$") & ~has(t, r"^Lima,?\s+\d{1,2}\s+de")
+    # Cheap tests first: most paragraphs are too long, and no word is counted in them.
+    return (F.length(t) > 0) & (F.length(t) < 150) & t.rlike(r"^\p{Lu}") & ~t.rlike(r"[.!?]$") & ~has(t, r"^Lima,?\s+\d{1,2}\s+de") & word_count(t).between(1, 19)
 
 
 def is_label(t: Column) -> Column:
@@ -44,7 +44,7 @@ def is_label(t: Column) -> Column:
 
 def drop_headers(col: Column) -> Column:
     """Paragraphs that are headings or labels taken out; the others stay as they are."""
-    return F.array_join(F.filter(F.split(col, "\n\n"), lambda p: ~(is_header(strip(p)) | is_label(strip(p)))), "\n\n")
+    return F.array_join(F.filter(F.split(col, "\n\n"), lambda p: let(strip(p), lambda t: ~(is_header(t) | is_label(t)))), "\n\n")
 
 
 def clean_rules(aggressive: bool = False):
@@ -62,19 +62,16 @@ def clean_rules(aggressive: bool = False):
 def clean_text(col: Column, aggressive: bool = False) -> Column:
     """The text after all steps; null stays null, blank becomes empty."""
     for _, step in clean_rules(aggressive):
-        col = step(col)
+        col = let(col, step)
     return col
 
 
 def clean_pages(df: DataFrame, text_col: str = "text", aggressive: bool = False) -> DataFrame:
     """``df`` with the cleaned text, both lengths, the reduction in per cent and the steps applied.
 
-    Null texts count as empty.  The steps are staged in single projections so that
-    no rule is evaluated twice.
+    Null texts count as empty.
     """
-    out = df.withColumn("cleaned_text", F.coalesce(F.col(text_col), F.lit("")))
-    for name, step in clean_rules(aggressive):
-        out = out.withColumn("cleaned_text", step(F.col("cleaned_text")))
+    out = put(df, "cleaned_text", clean_text(F.coalesce(F.col(text_col), F.lit("")), aggressive))
     names = [n for n, _ in clean_rules(aggressive)]
     before = F.length(F.coalesce(F.col(text_col), F.lit("")))
     after = F.length("cleaned_text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tintero.functions.text import capitals, chain, has, letters, rx, strip, word_count, word_list
+from tintero.functions.text import capitals, chain, has, let, letters, put, rx, strip, word_count, word_list
 from tintero.operators.clean import is_label
 
 # Words after which a sentence goes on.
@@ -37,9 +37,10 @@ _W = "([a-záéíóúñ]+)"
 FINAL = [
     (_W + r"\?\d+", "$1", "i"), (_W + r"\?{2,}", "$1", "i"), (_W + r"\?(?=\s+[a-záéíóúñ])", "$1", "i"), (_W + r"""\?(?=["'\-\*,.:;])""", "$1", "i"), (r"(?<!¿)" + _W + r"\?(?=\s*[\n])", "$1", "i"), (_W + r"""\?(?=[°º\*"'\-\s]+[a-záéíóúñA-ZÁÉÍÓÚÑ])""", "$1", "i"), (_W + r"\?([a-záéíóúñ])\b", "$1$2", "i"), (_W + r"""\?(?=["'])""", "$1", "i"), (_W + r"\?(?=-)", "$1", "i"),
 ]
-STUCK = [(_W + r"[<>°º£¿\-—\s]*[<>°º£¿\-—]+", "$1", "i")]
+_AFTER = "(?<=[a-záéíóúñ])"
+STUCK = [(_AFTER + r"[<>°º£¿\-—\s]*[<>°º£¿\-—]+", "", "i")]
 FINAL_TAIL = [
-    (r"\s+[<>°º£¿\-—]{2,}\s+", " ", ""), (_W + r"[%<>°º£¿*]+(?=\s|$)", "$1", "i"), (r"\s+[ÁÉÍÓÚ]\s+", " ", ""), (r"\n\n[A-HJ-UWYZÁÉÍÓÚÑ]\s+([a-záéíóúñ]\w+)", "\n\n$1", ""), (r"[><\|^~]+", "", ""), (r"(\d{4})\s*-\s+(\d{4})", "$1-$2", ""), (r"(\d+)\s*-\s+(\d{4})", "$1-$2", ""), (r" {2,}", " ", ""), (r"\s+[.,;:]\s+", " ", ""), ("�+", "", ""), (r"\s+\)", ")", ""), (r"\(\s+", "(", ""), (r"\.([!?]+)(?=\n\n|$)", ".", ""),
+    (r"\s+[<>°º£¿\-—]{2,}\s+", " ", ""), (_AFTER + r"[%<>°º£¿*]+(?=\s|$)", "", "i"), (r"\s+[ÁÉÍÓÚ]\s+", " ", ""), (r"\n\n[A-HJ-UWYZÁÉÍÓÚÑ]\s+([a-záéíóúñ]\w+)", "\n\n$1", ""), (r"[><\|^~]+", "", ""), (r"(\d{4})\s*-\s+(\d{4})", "$1-$2", ""), (r"(\d+)\s*-\s+(\d{4})", "$1-$2", ""), (r" {2,}", " ", ""), (r"\s+[.,;:]\s+", " ", ""), ("�+", "", ""), (r"\s+\)", ")", ""), (r"\(\s+", "(", ""), (r"\.([!?]+)(?=\n\n|$)", ".", ""),
 ]
 
 
@@ -50,25 +51,30 @@ def preliminary(col: Column) -> Column:
 
 def is_heading(t: Column) -> Column:
     """A heading in scanned text: short, opens with a capital, digit or numeral, ends in no continuing word; short sentences count too."""
-    words = word_list(t)
-    n = F.size(words)
-    last = F.regexp_replace(F.lower(F.element_at(words, -1)), r"[.,;:!?]+$", "")
+    def by_words(words):
+        n = F.size(words)
+        last = F.regexp_replace(F.lower(F.element_at(words, -1)), r"[.,;:!?]+$", "")
+        return n.between(1, 34) & ~F.coalesce(last.isin(CONTINUES), F.lit(False)) & (~t.rlike(r"\.\s*$") | (n < 8) | t.rlike(r"[!?]\.\s*$"))
+
     opens = t.rlike(r"^[\p{Lu}\p{Nd}]") | has(t, r"^[ivxlcdmh]+\s*[.—\-:]", "i")
-    ends = ~t.rlike(r"\.\s*$") | (n < 8) | t.rlike(r"[!?]\.\s*$")
-    return (F.length(t) < 200) & (n > 0) & (n < 35) & ~has(t, r"^Lima,?\s+\d{1,2}\s+de") & ~t.startswith("El presente informe") & opens & ~F.coalesce(last.isin(CONTINUES), F.lit(False)) & ends
+    return (F.length(t) < 200) & opens & ~has(t, r"^Lima,?\s+\d{1,2}\s+de") & ~t.startswith("El presente informe") & let(word_list(t), by_words)
 
 
 def join_false_breaks(col: Column) -> Column:
     """Stage 4: breaks before lower case, years, connectors and numbers, and after a continuing word before a capital."""
     parts = F.filter(F.transform(F.split(chain(col, BREAKS), "\n\n"), strip), lambda s: s != "")
-    last = lambda s: F.lower(F.element_at(word_list(s), -1))
+    last = lambda s: F.lower(F.regexp_extract(s, r"(?U)(\S+)\s*$", 1))
 
     def fold(acc, s):
-        prev = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & F.coalesce(last(prev).isin(CONTINUES), F.lit(False)) & s.rlike(r"^\p{Lu}")
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(prev, F.lit(" "), s)))).otherwise(F.concat(acc, F.array(s)))
+        # The paragraph being built is kept apart from the finished ones, so that nothing is copied for each.
+        joins = (acc["cur"] != "") & s.rlike(r"^\p{Lu}") & last(acc["cur"]).isin(CONTINUES)
+        return F.struct(
+            F.when(joins | (acc["cur"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))).alias("done"), F.when(joins, F.concat(acc["cur"], F.lit(" "), s)).otherwise(s).alias("cur"),
+        )
 
-    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), fold), "\n\n")
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    whole = F.aggregate(parts, zero, fold, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+    return F.array_join(whole, "\n\n")
 
 
 def drop_headings(col: Column) -> Column:
@@ -77,16 +83,16 @@ def drop_headings(col: Column) -> Column:
     A break closes one paragraph and opens the next, so of the inner paragraphs
     every second one is examined, then the first; the last never is.
     """
+    any_heading = "|".join(f"(?:{h})" for h in HEADINGS)
+
     def head(p):
-        t = strip(p)
-        out = is_heading(t) | is_label(t)
-        for h in HEADINGS:
-            out = out | has(t, h, "i")
-        return (t != "") & out
+        return let(strip(p), lambda t: (t != "") & (is_heading(t) | is_label(t) | has(t, any_heading, "i")))
+
+    def drop(parts):
+        kept = F.filter(parts, lambda p, i: ~(((i % 2) == 1) & (i < F.size(parts) - 1) & head(p)))
+        return let(kept, lambda k: F.when((F.size(k) > 1) & head(F.element_at(k, 1)), F.slice(k, 2, F.greatest(F.size(k) - 1, F.lit(1)))).otherwise(k))
 
-    parts = F.split(col, "\n\n")
-    kept = F.filter(parts, lambda p, i: ~(((i % 2) == 1) & (i < F.size(parts) - 1) & head(p)))
-    return F.array_join(F.when((F.size(kept) > 1) & head(F.element_at(kept, 1)), F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(kept), "\n\n")
+    return F.array_join(let(F.split(col, "\n\n"), drop), "\n\n")
 
 
 def noise_reason(p: Column) -> Column:
@@ -114,7 +120,8 @@ def drop_noise(col: Column) -> Column:
 
 def final_touch(col: Column, join_hyphens: bool = True) -> Column:
     """Stage 7: question marks of footnotes, stray symbols, spacing.  ``join_hyphens`` keeps the rule that also deletes hyphens after words."""
-    return chain(col, [*FINAL, *(STUCK if join_hyphens else []), *FINAL_TAIL])
+    asked = F.when(col.contains("?"), chain(col, FINAL)).otherwise(col)  # those rules all need the mark
+    return chain(asked, [*(STUCK if join_hyphens else []), *FINAL_TAIL])
 
 
 def from_opinion(pages: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def without_letters(pages: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame, fn) -> DataFrame:
-    return df.withColumn("text", fn(F.col("text")))
+    return put(df, "text", let(F.col("text"), fn))
 
 
 def clean_scanned(pages: DataFrame) -> DataFrame:

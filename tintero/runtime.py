@@ -19,6 +19,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a table from which it is worth spreading over the cores.
+SPREAD_FROM = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data folder.
+
+    A table that comes in fewer pieces than the session has cores (one small
+    file, say) is spread over them; tables in many files are read as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SPREAD_FROM and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
