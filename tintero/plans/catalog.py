@@ -448,6 +448,52 @@ def _(s):
     return n.groupBy(F.floor((F.col("n") - 1) / 100).alias("batch")).agg(F.count("*").alias("n_rows"), F.min("paragraph_num").alias("first_num"))
 
 
+# Sorts, defaults, formats
+
+
+@_on("f19_defaults", PAGES)
+def _(p):
+    return p.select("page_id", F.coalesce("pdf_filename", F.lit("")).alias("pdf_filename"), F.coalesce("page", F.lit(0)).alias("page"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+
+
+@_on("f22_significant", PAGES)
+def _(p):
+    return clean.clean_pages(p).where("reduction_pct > 5").select("page_id")
+
+
+@_on("j7_unsegmented_pages", PAGES, PARAS)
+def _(p, q):
+    return enrich.only_new(p, q, "pdf_filename").groupBy("pdf_filename").agg(F.count("*").alias("pages"))
+
+
+@_on("j8_rejects_of_main_reasons", PARAS)
+def _(p):
+    main = quality.reasons(p).orderBy(F.desc("n"), "reason").limit(3).select(F.col("reason").alias("_r"))
+    r = quality.rejected(p.select("row_id", "text")).withColumn("_r", F.regexp_replace("reason", r" \(\d+ chars\)$", ""))
+    return r.join(F.broadcast(main), "_r", "left_semi").select("row_id")  # three reasons
+
+
+@_on("t3_page_order", PAGES, PARAS)
+def _(p, q):
+    u = segment.tagged_union(p.select("pdf_filename", "page"), q.select("pdf_filename", F.split("page_range", "-")[0].try_cast("int").alias("page")))
+    return u.groupBy("pdf_filename", "source_type").agg(F.min("page").alias("first_page"), F.count("*").alias("n")).orderBy("pdf_filename", F.when(F.col("source_type") == "scanned", 0).otherwise(1))
+
+
+@_on("t4_most_removals", PAGES)
+def _(p):
+    return scanned_clean.removals_by_file(scanned_clean.removals(p)).orderBy(F.desc("n"), "pdf_filename").limit(10)
+
+
+@_on("t7_year_series", SCORED)
+def _(s):
+    return s.where("year IS NOT NULL AND year != ''").groupBy(F.col("year").cast("int").alias("year")).agg(F.count("*").alias("paragraphs"), r6(F.avg("risk_index")).alias("tone")).orderBy("year")
+
+
+@_on("x19_formatted", PARAS)
+def _(p):
+    return p.groupBy("source_type").agg(F.format_number(F.sum(F.length(F.coalesce("text", F.lit("")))), 0).alias("chars"))
+
+
 # Streams
 
 

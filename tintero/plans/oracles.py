@@ -163,4 +163,11 @@ ORACLES: dict[str, str] = {
     "st1_events_ingested": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "st2_pages_cleaned": _cleaned(PAGES, "page_id", "text") + " SELECT page_id, length(t)::INT AS cleaned_length FROM k",
     "st3_event_windows": "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
+    "f19_defaults": f"SELECT page_id, coalesce(pdf_filename, '') AS pdf_filename, coalesce(page, 0) AS page, length(coalesce(text, ''))::INT AS chars FROM {PAGES}",
+    "f22_significant": _cleaned(PAGES, "page_id", "text") + " SELECT page_id FROM k WHERE length(o) > 0 AND (length(o) - length(t)) / length(o)::DOUBLE * 100 > 5",
+    "j7_unsegmented_pages": f"SELECT pdf_filename, count(*) AS pages FROM {PAGES} p WHERE NOT EXISTS (SELECT 1 FROM {PARAS} q WHERE q.pdf_filename = p.pdf_filename) GROUP BY 1",
+    "j8_rejects_of_main_reasons": f"WITH g AS (SELECT row_id, regexp_replace(reason, ' \\([0-9]+ chars\\)$', '') AS r FROM {_GRADED} WHERE reason IS NOT NULL), m AS (SELECT r FROM g GROUP BY r ORDER BY count(*) DESC, r LIMIT 3) SELECT row_id FROM g WHERE r IN (SELECT r FROM m)",
+    "t3_page_order": f"WITH u AS (SELECT pdf_filename, page, 'scanned' AS source_type FROM {PAGES} UNION ALL SELECT pdf_filename, try_cast(string_split(page_range, '-')[1] AS INT), 'editable' FROM {PARAS}) SELECT pdf_filename, source_type, min(page) AS first_page, count(*) AS n FROM u GROUP BY 1, 2",
+    "t7_year_series": "SELECT year::INT AS year, count(*) AS paragraphs, round(avg(risk_index), 6) AS tone FROM scored_paragraphs WHERE year IS NOT NULL AND year <> '' GROUP BY 1 ORDER BY 1",
+    "x19_formatted": f"SELECT source_type, format('{{:,}}', sum(length(coalesce(text, '')))::BIGINT) AS chars FROM {PARAS} GROUP BY 1",
 }
