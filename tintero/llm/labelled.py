@@ -63,9 +63,9 @@ def _wrap(text: str, width: int) -> str:
 
 def _prose(r: random.Random) -> str:
     kind = r.random()
-    if kind < 0.14:
-        return r.choice([*TITLES, f"Presidenta del Instituto Nacional de Riego de {r.choice(PLACES)}", f"{r.choice(PLACES)}, {r.randint(1, 30)} de julio de {r.randint(1990, 2030)}", f"Estado de {r.choice(OBJECTS)} en {r.choice(PLACES)}", f"Ing. {r.choice(PLACES)} Roca Salas, Director del Museo de {r.choice(PLACES)}"])
-    if kind < 0.34:
+    if kind < 0.2:
+        return r.choice([*TITLES, f"Presidenta del Instituto Nacional de Riego de {r.choice(PLACES)}", f"{r.choice(PLACES)}, {r.randint(1, 30)} de julio de {r.randint(1990, 2030)}", f"Estado de {r.choice(OBJECTS)} en {r.choice(PLACES)}", f"Anexo {r.randint(1, 99)}: {r.choice(OBJECTS)} en {r.choice(PLACES)}", f"Nota sobre {r.choice(OBJECTS)}", f"Director de la Junta de Riego de {r.choice(PLACES)}", f"Revisión de {r.choice(OBJECTS)} y de {r.choice(OBJECTS)}", f"Ing. {r.choice(PLACES)} Roca Salas, Director del Museo de {r.choice(PLACES)}"])
+    if kind < 0.4:
         if r.random() < 0.5:
             form, gap = r.choice(NUMBERED)
             return gap.join(form.format(a=f"{r.randint(1, 99)}.{r.randint(0, 9)}", y=r.randint(1990, 2030), n=r.randint(1, 999)) for _ in range(r.randint(1, 6)))
@@ -94,6 +94,16 @@ def _prose(r: random.Random) -> str:
     return t
 
 
+def _index(r: random.Random) -> str:
+    """Items with page numbers, in any case and with any end."""
+    items = [_long_item(r) if r.random() < 0.4 else r.choice(ITEMS) for _ in range(r.randint(3, 9))]
+    if r.random() < 0.5:
+        items = [x[0].lower() + x[1:] for x in items]
+    end, page = r.choice([".", ".", ";", ""]), r.randint(1, 30)
+    out = [f"{x}{end}  {page + 2 * k}" for k, x in enumerate(items)]
+    return "\n".join([r.choice(["Se detallan:", "Contenido:"]), *out] if r.random() < 0.3 else out)
+
+
 def _long_item(r: random.Random) -> str:
     return r.choice(
         [
@@ -164,7 +174,7 @@ def _junk(r: random.Random) -> str:
 def documents(n: int = 9000, seed: int = 11) -> list[tuple[str, str]]:
     """(text, label) of ``n`` labelled documents; labels are prose, list, table, junk."""
     r = random.Random(seed)
-    makers = [("prose", _prose), ("prose", _prose), ("list", _list), ("list", _inline), ("table", _table), ("junk", _junk)]
+    makers = [("prose", _prose), ("prose", _prose), ("list", _list), ("list", _inline), ("list", lambda r: _index(r) if r.random() < 0.3 else _list(r)), ("table", _table), ("junk", _junk)]
     out = []
     for _ in range(n):
         label, make = r.choice(makers)
