@@ -242,8 +242,22 @@ def _stray(tok: str) -> bool:
     return _STRAY.fullmatch(tok) is not None and not any(c.isalnum() for c in tok)
 
 
-def _marks(text, fix, comp, inner, structure=True):
+class _Misread(dict):
+    """Whether a token is misread or a stray mark, remembered per token; the memory is emptied when it is full."""
+
+    def __init__(self, fix, structure):
+        self.fix, self.structure = fix, structure
+
+    def __missing__(self, tok):
+        if len(self) > 300_000:
+            self.clear()
+        self[tok] = bad = core(tok) in self.fix or (self.structure and _stray(tok))
+        return bad
+
+
+def _marks(text, fix, comp, inner, structure=True, misread=None):
     """(kind, line index) of every noisy line of a page."""
+    misread = _Misread(fix, structure) if misread is None else misread
     lines, cut, blocks = layout(text)
     if not blocks:
         return
@@ -273,7 +287,7 @@ def _marks(text, fix, comp, inner, structure=True):
         if i and _divided(lines, cut, i - 1) is not None:
             body = body[1:]
         bar = structure and i in inside and body.count("|") == 1
-        if bar or any(core(t) in fix or (structure and _stray(t)) for t in body):
+        if bar or any(map(misread.__getitem__, body)):
             yield "ocr", i
         if joins and any(j in fix for j in joins):
             # The misread half decides the line.
@@ -308,9 +322,10 @@ def found(pages: DataFrame, id_col: str = "page_id", text_col: str = "text") ->
 
         def run(rows, shared=shared, first=first):
             fix, comp, inner = shared.value
+            misread = _Misread(fix, first)
             for i, t in rows:
                 if t:
-                    for k, n in {*_marks(t, fix, comp, inner, first)}:
+                    for k, n in {*_marks(t, fix, comp, inner, first, misread)}:
                         yield i, k, n + 1
 
         part = flat_map(pages.select(id_col, text_col), run, f"`{id_col}` {kind}, kind string, line_no int")
