@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tintero.functions.text import letters, rx
+from tintero.functions.text import letters, put, rx
 
 MIN_CHARS = 100
 ENDINGS = r"[.!?)\]\"%:]$"
@@ -22,7 +22,7 @@ def reason(text: Column, min_chars: int = MIN_CHARS) -> Column:
 
 
 def graded(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn("reason", reason(F.col(text_col)))
+    return put(df, "reason", reason(F.col(text_col)))
 
 
 def valid(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -37,5 +37,5 @@ def reasons(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Rejections by reason, lengths aside, with their share of all rejections in per cent."""
     kind = F.regexp_replace("reason", r" \(\d+ chars\)$", "")
     g = rejected(df, text_col).groupBy(kind.alias("reason")).agg(F.count("*").alias("n"))
-    total = g.agg(F.sum("n")).first()[0] or 1
-    return g.withColumn("pct", F.col("n") * 100 / F.lit(total))
+    # One row per kind of reason: the window sees a handful of rows.
+    return g.withColumn("pct", F.col("n") * 100 / F.sum("n").over(Window.partitionBy()))

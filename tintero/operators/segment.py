@@ -86,8 +86,9 @@ def drop_duplicates(df: DataFrame, order: list[str], text_col: str = "text") ->
 
 def split_by_words(text: Column, budget: int = 250) -> Column:
     """Sentences packed into chunks of at most ``budget`` words, never cut before a connecting opening."""
-    sentences = F.split(text, r"(?<=[.!?])\s+")
     count = lambda s: F.size(word_list(s))
+    # Words are counted once for each sentence.
+    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.struct(s.alias("s"), count(s).alias("w")))
 
     def connects(s):
         out = F.lit(False)
@@ -97,10 +98,11 @@ def split_by_words(text: Column, budget: int = 250) -> Column:
 
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
-    def step(acc, s):
-        over = (acc["n"] + count(s) > budget) & (acc["cur"] != "") & ~connects(s)
+    def step(acc, x):
+        s, w = x["s"], x["w"]
+        over = (acc["n"] + w > budget) & (acc["cur"] != "") & ~connects(s)
         return F.struct(
-            F.when(over, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"), F.when(over, s).otherwise(F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))).alias("cur"), F.when(over, count(s)).otherwise(acc["n"] + count(s)).alias("n"),
+            F.when(over, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"), F.when(over | (acc["cur"] == ""), s).otherwise(F.concat(acc["cur"], F.lit(" "), s)).alias("cur"), F.when(over, w).otherwise(acc["n"] + w).alias("n"),
         )
 
     return F.aggregate(sentences, zero, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
