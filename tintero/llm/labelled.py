@@ -1,7 +1,8 @@
 """Labelled documents on which the paragraph rules of problem 1 are induced.
 
-They are composed from a seed, a bounded number of documents (a parameter), and
-share no sentence with any corpus: prose in several languages, scripts and
+They are composed from a seed, a bounded number of documents (a parameter).
+Words and sentences are this module's own, the layouts follow forms met in the
+paragraphs: prose in several languages, scripts and
 layouts, headings and signatures; lists, tables and junk in many layouts.
 """
 
