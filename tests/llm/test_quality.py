@@ -52,3 +52,35 @@ def test_rules_are_sql_and_ordered():
     rules = quality.induce(np.repeat(x, len(quality.FEATURES), 1), np.array(["prose", "prose", "list", "junk"] * 60))
     assert [r[0] for r in rules] == ["junk", "list"]
     assert quality.to_case(rules).startswith("CASE WHEN n_words = 0 THEN 'empty'")
+
+
+def test_vowels_and_runs_of_long_texts_match_brute_force(spark):
+    prose = "El comité informó de la compra de materiales en los distritos del sur. "
+    texts = [
+        "zxk qwrt bvn lkjh gfdd wqz xcvb nmlk pqrs tvwx " * 30, prose * 20, "Ingresos " + "." * 700 + " 12\nGastos " + ". " * 90 + "15", prose * 12 + "\n" + "_" * 900, "-=" * 400 + " " + prose, "......... 12", "x" * 12, "", "  \n ",
+    ]
+    rows = quality.statistics(frame(spark, list(enumerate(texts))), []).orderBy("id").collect()
+    for t, r in zip(texts, rows):
+        marks = "".join(t.split())
+        assert abs(r["vowel_share"] - sum(c in "aeiouáéíóúüãõâêôAEIOUÁÉÍÓÚÜÃÕÂÊÔ" for c in marks) / max(len(marks), 1)) < 1e-9
+        kept, i = 0, 0
+        while i < len(marks):
+            step = 0
+            for k in range(1, 5):
+                n = 1
+                while marks[i : i + k] == marks[i + n * k : i + (n + 1) * k] and i + (n + 1) * k <= len(marks):
+                    n += 1
+                if n > 5:
+                    step = n * k
+                    break
+            kept += not step
+            i += step or 1
+        assert abs(r["run_share"] - (len(marks) - kept) / max(len(marks), 1)) < 1e-9
+    assert rows[0]["vowel_share"] == 0 and min(rows[k]["run_share"] for k in (2, 3, 4)) > 0.3
+
+
+def test_long_junk_with_few_vowels(spark):
+    words = "zxk qwert bvn lkjh gfdd wqz xcvb nmelk pqrs tvwx zbcd fghj klmn".split()
+    text = " ".join(words[(i * i + i // 7) % len(words)] + words[i % 5] for i in range(200))
+    assert len(text) > 600
+    assert [r["kind"] for r in quality.kinds(frame(spark, [(1, text)]), COMMON).collect()] == ["junk"]

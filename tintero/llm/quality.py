@@ -42,7 +42,7 @@ STATS = {
     "common_share": "size(filter(_tok, x -> lower(x) IN ({common}))) / greatest(size(_tok), 1)",
     "capital_share": "size(filter(_tok, x -> x != lower(x))) / greatest(size(_tok), 1)",
     "distinct_share": "size(array_distinct(_tok)) / greatest(size(_tok), 1)",
-    "vowel_share": "if(length(_t) < 600, length(regexp_replace(_t, '[^aeiouáéíóúüãõâêôAEIOUÁÉÍÓÚÜÃÕÂÊÔ]+', '')) / greatest(" + _N + ", 1), 0.4D)",
+    "vowel_share": "length(regexp_replace(_t, '[^aeiouáéíóúüãõâêôAEIOUÁÉÍÓÚÜÃÕÂÊÔ]+', '')) / greatest(" + _N + ", 1)",
     "words_per_item": "size(_tok) / greatest(if(size(_lines) > 1 OR exists(_tok, x -> x IN ('-', '–', '—', '•', '·', '▪', '■', '●', '○', '◦', '*', '➢')), regexp_count(_t, '(?:^|@s)(?:{mark})@s'), 0), 0.1)",
     "item_line_share": _OF_LINES.format(test="x RLIKE '^@s*(?:{mark})@s'"),
     "cells_per_word": "regexp_count(_t, '@t|[^@s]  +[^@s]| [|;/>·] ') / greatest(size(_tok), 1)",
@@ -53,11 +53,11 @@ STATS = {
     "ended_line_share": "size(filter(_lines, x -> x RLIKE '[.!?。！？।؟][»\")]*@s*$')) / greatest(size(_lines), 1)",
     "page_line_share": _OF_LINES.format(test="right(rtrim(x), 1) BETWEEN '0' AND '9' AND x RLIKE '(?:  |[.]{3}).*[0-9]@s*$'"),
     "short_line_share": "if(size(_lines) > 2, size(filter(_lines, x -> length(x) <= 24)) / size(_lines), 0D)",
-    "run_share": "if(size(_tok) < 3 OR 3 * size(filter(_tok, x -> x = _tok[0])) >= size(_tok), if(length(_t) > 24, 1 - length(regexp_replace(array_join(_tok, ''), '(.{1,4}?)@1{5,}', '')) / greatest(" + _N + ", 1), 0D), 0D)",
+    "run_share": "(" + _N + " - length(regexp_replace(array_join(_tok, ''), '(.{1,4}?)@1{5,}', ''))) / greatest(" + _N + ", 1)",
     "leaders": "if(instr(_t, '.....') > 0, regexp_count(_t, '[.]{5,}'), 0)",
 }
 #: Statistics that a rule reads only where its cheaper conditions hold: they are written into the CASE expression itself.
-LAZY = ["words_per_item", "vowel_share", "stops_per_100", "letter_share", "symbol_share"]
+LAZY = ["words_per_item", "vowel_share", "stops_per_100", "letter_share", "symbol_share", "run_share"]
 #: Statistics on which rules may be induced.
 FEATURES = ["n_words", "letter_share", "symbol_share", "number_share", "common_share", "capital_share", "vowel_share", "run_share", "words_per_item", "item_line_share", "stops_per_100", "words_per_line", "early_break_share", "upper_line_share", "page_line_share", "short_line_share", "leaders"]
 
@@ -76,10 +76,8 @@ def _sql(common: list[str]):
 def statistics(df: DataFrame, common: list[str], text_col: str = "text", names: list[str] | None = None, keep_arrays: bool = False) -> DataFrame:
     """``df`` with one column per statistic (or those of ``names``).
 
-    Null text counts as empty.  ``vowel_share`` is 0.4 for texts of 600 marks or
-    more, ``run_share`` and the shares of lines are 0 where the text has too few
-    lines or too little repetition for them to differ from 0.  Arrays and
-    statistics are each made once, behind a generator, so that filters on them do
+    Null text counts as empty.  The shares of lines are 0 where the text has too
+    few lines.  Arrays and statistics are each made once, behind a generator, so that filters on them do
     not compute them again.  An input column named like a statistic (or like
     ``kind`` and ``is_prose``) is replaced by it.
     """
