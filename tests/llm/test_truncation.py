@@ -41,3 +41,21 @@ def test_page_codes():
 def test_tail_drops_marks():
     assert t._tail("fin de la…") == "fin de la" and t._tail("algo &aacu") == "algo" and t._tail("ya está.") == "ya está."
     assert t._tail("x" * 40 + "�") == "x" * 40
+
+
+def found(spark, rows):
+    common = spark.createDataFrame([("es", w) for w in "el la de en las los se por no".split()], "lang string, word string")
+    return {r["row_id"] for r in t.truncated(spark.createDataFrame(rows, SCHEMA), common).collect() if r["field"] == "text"}
+
+
+def test_copies_of_a_cut_text_make_no_heading(spark):
+    copied = [(7000 + i, "Hubo gasto en la región y se aprobó el pl", "3", None) for i in range(30)]
+    many = [(8000 + i, "El gasto subió en la región sin más da", "3", None) for i in range(900)]
+    got = found(spark, [*corpus(), *copied, *many, (9001, "El plan de obras subió por la sequ", "3", None)])
+    assert {i for i, *_ in copied} <= got and 9001 in got
+
+
+def test_marked_texts_are_cut_whatever_opens_them(spark):
+    heads = [(9100 + i, f"Opinión sobre {x}", "3", None) for i, x in enumerate(["el gasto", "la sequía", "el plan", "las cuentas"])]
+    got = found(spark, [*corpus(), *heads, (9201, "Opinión sobre la sequía y el ga…", "3", None), (9202, "Opinión sobre la regi�", "3", None), (9203, "Opinión sobre la regi&oacu", "3", None), (9204, "Opinión sobre las cue [...]", "3", None)])
+    assert got == {9201, 9202, 9203, 9204}

@@ -29,12 +29,12 @@ BINS = 1 << 18
 SUPPORT = 12
 #: Log-odds under which a value of a column is suspected, above the language's own rate of ending anywhere.
 ABOVE_RATE = {"text": 2.0, "page_range": 3.0}
-#: Most frequent heading openers kept.
-OPENERS = 100_000
 
 _MARK = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|\(…\)|�|&#?\w{0,8})\s*$")
 #: A character cut in two: the stop lies inside it, whatever stands before.
 _BROKEN = re.compile(r"(?:�|&#?\w{1,8})\s*$")
+#: Ends of texts that are closed, or cut by their own mark: no votes for a heading's first word.
+_NO_VOTE = r"(?:[.!?:;。！？।؟»”\"')\]²…�]|[\[(](?:…|\.\.\.)[\])]|&#?\w{0,8})\s*$"
 _CLOSED = re.compile(r"[.!?:;。！？।؟»”\"')\]）」²³¹][\s​-‍﻿]*$")
 _SCRIPTS = [("zh", "一", "鿿"), ("th", "฀", "๿"), ("hi", "ऀ", "ॿ"), ("ar", "؀", "ۿ"), ("ko", "가", "힯"), ("ru", "Ѐ", "ӿ"), ("el", "Ͱ", "Ͽ")]
 _KANA = re.compile("[぀-ヿ]")
@@ -191,12 +191,33 @@ def train(df: DataFrame, common: dict[str, int], names: list[str]) -> DataFrame:
     return part.groupBy("lang", "ord", "ctx").agg(F.sum("ends").alias("ends"), F.sum("open_ends").alias("open_ends"), F.sum("seen").alias("seen")).where("ord = 0 OR ends + open_ends > 0 OR lang = '#pages'")
 
 
-def heading_openers(df: DataFrame) -> list[str]:
-    """First words that open short unclosed lines at least as often as anything else."""
-    first = F.lower(F.regexp_replace(F.split(F.ltrim("text"), "\\s", 2)[0], "[0-9]+", "0"))
-    short = (F.length("text") <= 110) & ~F.col("text").contains("\n") & ~F.col("text").rlike("[.!?:;。！？।؟»”\"')\\]²…�]\\s*$")
-    g = df.where("text IS NOT NULL AND trim(text) != ''").groupBy(first.alias("w")).agg(F.count("*").alias("n"), F.count_if(short).alias("h"))
-    return [r["w"] for r in g.where("h >= 2 AND 2 * h >= n").orderBy(F.desc("h"), "w").limit(OPENERS).collect()]
+def _opener():
+    """First word of a text, for headings."""
+    return F.lower(F.regexp_replace(F.split(F.btrim("text", F.lit(" \t\r\n")), "\\s", 2)[0], "[0-9]+", "0"))
+
+
+def _short():
+    """A single line of at most 110 characters."""
+    line = F.btrim("text", F.lit(" \t\r\n"))
+    return (F.length(line) <= 110) & ~line.contains("\n")
+
+
+def heading_openers(df: DataFrame) -> DataFrame:
+    """First words (w) that open short unclosed lines at least as often as anything else.
+
+    Distinct texts are counted, so copies have one vote, and texts with a mark of
+    a cut have none for their word.  The support that is asked for follows from the
+    rate r of such lines among all other words: fewer than one of the V words may be
+    expected to reach h of n texts by chance (V 2^n r^h <= 1), so it grows with the
+    logarithm of the corpus only.
+    """
+    from tintero.runtime import checkpoint
+
+    texts = df.where("text IS NOT NULL AND trim(text) != ''").select(_opener().alias("w"), F.xxhash64("text").alias("t"), (_short() & ~F.col("text").rlike(_NO_VOTE)).alias("vote")).distinct()
+    g = checkpoint(texts.groupBy("w").agg(F.count("*").alias("n"), F.count_if("vote").alias("h")))
+    r = g.selectExpr("count(*) AS v", "coalesce(sum(if(2 * h < n, h, 0)), 0) AS h", "coalesce(sum(if(2 * h < n, n, 0)), 0) AS n").first()
+    rate = min((r["h"] + 1) / (r["n"] + 1), 0.05)
+    return g.where(f"h >= 2 AND 2 * h >= n AND {math.log(max(r['v'], 1))!r}D + n * {math.log(2)!r}D + h * {math.log(rate)!r}D <= 0").select("w")
 
 
 def _log_odds(tails: list[str], lang: str, model) -> np.ndarray:
@@ -253,20 +274,19 @@ def truncated(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_i
         common[w] = common.get(w, 0) | 1 << names.index(r["lang"])
     got = checkpoint(train(df, common, names)).toPandas()  # at most LANGS x ORDERS x BINS entries, as flat columns
     rows = list(zip(*(got[c].tolist() for c in got.columns)))
-    openers = frozenset(heading_openers(df))
-    shared = spark.sparkContext.broadcast((_pack(rows), openers))
+    shared = spark.sparkContext.broadcast(_pack(rows))
     kind = dict(df.dtypes)[id_col]
 
     def run(rows):
-        (model, pages), heads = _unpack(shared.value[0]), shared.value[1]
+        model, pages = _unpack(shared.value)
         rate = model[1]
         held: dict = {}
 
         def judge(lang):
             kept = held.pop(lang)
             for (i, text, source, _), lo in zip(kept, _log_odds([k[3] for k in kept], lang, model).tolist()):
-                if (lo < rate.get(lang, -6.0) + ABOVE_RATE["text"] or _BROKEN.search(text[-16:])) and not _heading(text, heads):
-                    yield i, "text", source, lo, text
+                if lo < rate.get(lang, -6.0) + ABOVE_RATE["text"] or _BROKEN.search(text[-16:]):
+                    yield i, "text", source, lo, text, _MARK.search(text[-24:]) is not None
 
         for i, text, page_range, source in rows:
             if page_range:
@@ -274,7 +294,7 @@ def truncated(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_i
                 e, s = pages.get(code[-3:], (0, 0))
                 lo = math.log((e + 0.02) / (s + 1.0))
                 if code[-1] in "-c" and lo < ABOVE_RATE["page_range"] - 1.0:
-                    yield i, "page_range", source, lo, None
+                    yield i, "page_range", source, lo, None, False
             if text and text.strip():
                 lang = language(text, common, names)
                 held.setdefault(lang, []).append((i, text, source, _tail(text)))
@@ -283,18 +303,15 @@ def truncated(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_i
         for lang in list(held):
             yield from judge(lang)
 
-    found = flat_map(df.select(id_col, "text", "page_range", "source_type"), run, f"`{id_col}` {kind}, field string, source_type string, log_odds double, text string")
+    found = flat_map(df.select(id_col, "text", "page_range", "source_type"), run, f"`{id_col}` {kind}, field string, source_type string, log_odds double, text string, marked boolean")
+    # No cap on the openers: they are joined, not handed over; rows that are no headings get keys of their own.  A text with a mark of a cut is cut, whatever opens it.
+    found = found.withColumn("_w", F.when(~F.col("marked") & _short(), _opener()).otherwise(F.concat(F.lit("\n"), F.xxhash64(id_col).cast("string")))).drop("marked")
+    heads = heading_openers(df)
+    found = found.join(heads, found["_w"] == heads["w"], "left_anti").drop("_w")
     graded = quality.kinds(found, sorted(common))
     return graded.where("field = 'page_range' OR kind = 'prose'").drop("kind", "text")
 
 
-def _heading(text: str, heads) -> bool:
-    t = text.strip()
-    if len(t) > 110 or "\n" in t:
-        return False
-    return re.sub(r"[0-9]+", "0", t.split(None, 1)[0]).lower() in heads
-
-
 def _pack(rows):
     """Model rows as compact arrays for the hand-over."""
     model, pages = _prepare(rows)
