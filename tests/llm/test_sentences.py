@@ -50,3 +50,12 @@ def test_table(spark):
 
 def test_lattice_prefers_known_words():
     assert s.word_lattice("การลงทุน", ["การ", "ลงทุน"]) == ["การ", "ลงทุน"]
+
+
+def test_units_with_many_inner_stops_stay_whole():
+    from tintero.llm.sentences import unit_ends
+
+    for n in (30, 60, 500):
+        first = "El cuadro suma " + " y ".join(f"{k}.{k % 10}34" for k in range(1, n)) + " en total."
+        text = first + " Luego se cerró la sesión."
+        assert unit_ends(text) == [len(first), len(text)]

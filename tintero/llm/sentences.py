@@ -158,19 +158,24 @@ def _spaced(text: str) -> list[int]:
     end = len(text.rstrip())
     if not nodes or nodes[-1][0] < end:
         nodes.append((end, 9.0))
-    best, back = [0.0], [0]
+    # What a path gains up to node i and loses by skipping the nodes after it is additive: the best start of the
+    # last edge is carried along, over all nodes (edge without words) and over those with a word before the stop.
     ends = [0, *(e for e, _ in nodes)]
+    best, back, passed = [0.0], [0], 0.0
+    bare, worded, ready = (0.0, 0), (float("-inf"), 0), 0
+    value, word = [0.0], [_next_word(text, 0)]
     for j, (e, s) in enumerate(nodes, 1):
-        top, arg = None, 0
-        skipped = 0.0
-        for i in range(j - 1, max(-1, j - 41), -1):
-            words = any(c.isalnum() for c in text[ends[i] : e][:200])
-            v = best[i] + s + skipped + (0.0 if words else -20.0)
-            if top is None or v > top:
-                top, arg = v, i
-            skipped -= nodes[i - 1][1] * 0.5 if i else 0.0
-        best.append(top)
+        while ready < j and word[ready] < e:
+            if word[ready] - ends[ready] < 200:
+                worded = max(worded, (value[ready], ready))
+            ready += 1
+        top, arg = max(worded, (bare[0] - 20.0, bare[1]))
+        best.append(top + s - passed / 2)
         back.append(arg)
+        passed += s
+        value.append(best[j] + passed / 2)
+        word.append(word[-1] if word[-1] >= e else _next_word(text, e))
+        bare = max(bare, (value[j], j))
     out, j = [], len(nodes)
     while j:
         out.append(ends[j])
@@ -178,6 +183,11 @@ def _spaced(text: str) -> list[int]:
     return out[::-1]
 
 
+def _next_word(text: str, at: int) -> int:
+    """Position of the first letter or digit from ``at`` on."""
+    return next((i for i in range(at, len(text)) if text[i].isalnum()), len(text))
+
+
 class _Cut:
     """A match with another end."""
 
