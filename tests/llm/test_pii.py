@@ -32,3 +32,11 @@ def test_messages_over_skip_edges_share_types():
     tagger = pii.Tagger(pii.fit())
     one = tagger.spans(["Contacto: Marta Lozano Ibarra — cel. 987654321."])[0]
     assert [k for _, _, k in one] == ["NAME", "PHONE"]
+
+
+def test_a_person_named_throughout_is_found(spark):
+    said = ["El señor Rogelio Quispe Mamani entregó la carta.", "La carta fue firmada por el señor Rogelio Quispe Mamani ayer.", "El acta fue leída por don Rogelio Quispe Mamani."]
+    rows = [(i, f"{said[i % 3]} Se revisó el punto {i} de la agenda.") for i in range(30)] + [(100 + i, said[0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in pii.find(df).where("kind = 'name'").collect()} == {i for i, _ in rows}
+    assert all("Quispe" not in r["text"] and r["n_masked"] == 1 for r in pii.masked(df).collect())

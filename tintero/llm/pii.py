@@ -52,8 +52,6 @@ _ABBREVIATION = re.compile(r"\b(?:psje|pasj|urb|dpto|avda|prol|cdra|doc|fdo|ing|
 _CAP = r"[^\W\d_a-zà-ÿ](?:[^\W\d_]+|\.)"
 _RUN = re.compile(rf"(?<![^\W_])(?<!\.){_CAP}(?:,?[^\S\n](?:(?:[dD][eEaAoO][lL]?|[lL][aA][sS]?|[lL]os|LOS)[^\S\n]){{0,2}}{_CAP})+")
 _HARD = re.compile(rf"@|\barroba\b|[\[(]at[\])]|\d(?:\d|[^\S\n]|[.\-]){{5,}}\d|\bkm\s|\blote\b|\b(?:{'|'.join(sorted(STREET))})\b\.?\s", re.I)
-#: A capitalised run standing in at least this share of the documents (and in three) is common: a place, a body.
-COMMON = 0.005
 
 
 def runs(text: str) -> list[str]:
@@ -61,16 +59,16 @@ def runs(text: str) -> list[str]:
     return _RUN.findall(text)
 
 
-def segments(text: str, common: frozenset | set = frozenset()):
+def segments(text: str):
     """(start, end) of the stretches that can hold an entity: sentence-like parts with digits in
-    number, an address sign, or a capitalised run that is not common in the corpus."""
+    number, an address sign, or a capitalised run."""
     at = 0
     for m in [*_SPLIT.finditer(text), None]:
         end = m.start() if m else len(text)
         if m and text[end] != "\n" and _ABBREVIATION.search(text, max(at, end - 8), end):
             continue
         part = text[at:end]
-        if part and (_HARD.search(part) or any(x not in common for x in _RUN.findall(part))):
+        if part and (_HARD.search(part) or _RUN.search(part)):
             yield at, end
         at = m.end() if m else end
 
@@ -95,7 +93,7 @@ def tokens(text: str, a: int, b: int) -> list[tuple]:
     return [(m.start(), m.end(), m.lastgroup, m.group(), text) for m in _TOKEN.finditer(text, a, b)]
 
 
-def features(toks, common: frozenset | set = frozenset()) -> list[list[str]]:
+def features(toks) -> list[list[str]]:
     """Feature strings of each token of a stretch."""
     n = len(toks)
     key, shape, low = [], [], []
@@ -146,15 +144,6 @@ def features(toks, common: frozenset | set = frozenset()) -> list[list[str]]:
         run = run + 1 if caps[i] or (run and low[i] in small) else 0
     out = []
     g = lambda seq, i: seq[i] if 0 <= i < n else "^" if i < 0 else "$"
-    # Tokens in a run that is common in the corpus.
-    known = [0] * n
-    if common and n:
-        text_of, at = toks[0][4], toks[0][0]
-        for m in _RUN.finditer(text_of, at, toks[-1][1]):
-            if m.group() in common:
-                for i in range(n):
-                    if m.start() <= toks[i][0] < m.end():
-                        known[i] = 1
     all_caps = n > 8 and sum(x in ("AA", "A") for x in shape) > 0.85 * sum(x in ("AA", "A", "Aa", "a") for x in shape)
     capital_line = all(caps[i] or low[i] in small or shape[i] in (",", ".") for i in range(n))
     for i in range(n):
@@ -183,9 +172,6 @@ def features(toks, common: frozenset | set = frozenset()) -> list[list[str]]:
         if body[i]:
             f.append(f"body={body[i]}")
             f.append("body")
-        if known[i]:
-            f.append("common_run")
-            f.append("common_run|" + p1)
         if all_caps:
             f.append("all_caps")
         if capital_line:
@@ -214,11 +200,6 @@ def fit(n: int = LABELLED, steps: int = STEPS) -> tuple[dict[str, int], np.ndarr
     vocab: dict[str, int] = {}
     rows, gold, prev, nxt, skip = [], [], [], [], []
     labelled = documents(n)
-    df: dict[str, int] = {}
-    for text, _ in labelled:
-        for x in set(runs(text)):
-            df[x] = df.get(x, 0) + 1
-    common = {x for x, c in df.items() if c >= max(3, COMMON * n)}
     for text, spans in labelled:
         strings, ys, chain = [], [], []
         for a, b in segments(text):
@@ -233,7 +214,7 @@ def fit(n: int = LABELLED, steps: int = STEPS) -> tuple[dict[str, int], np.ndarr
                         break
                 y.append(lab)
             chain.append((len(ys), len(y)))
-            rows += features(toks, common)
+            rows += features(toks)
             ys += y
             strings += [t[3] for t in toks]
         base = len(gold)
@@ -344,19 +325,18 @@ def _ok(kind: str, s: str) -> bool:
 class Tagger:
     """The fitted field; finds spans in many documents at once."""
 
-    def __init__(self, model, common=frozenset()):
+    def __init__(self, model, _common=frozenset()):  # common runs are no longer told apart; callers may still give them
         self.vocab, self.w, self.t, self.kappa = model
-        self.common = common
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         chains, doc_of, toks_of = [], [], []
         for d, text in enumerate(texts):
-            for a, b in segments(text, self.common):
+            for a, b in segments(text):
                 toks = tokens(text, a, b)
                 for k in range(0, len(toks), 400):  # very long stretches in parts
                     part = toks[k : k + 400]
                     if part:
-                        chains.append(features(part, self.common))
+                        chains.append(features(part))
                         doc_of.append(d)
                         toks_of.append(part)
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -431,41 +411,13 @@ class Tagger:
             i = j
 
 
-def common_runs(df: DataFrame, text_col: str = "text") -> frozenset:
-    """Capitalised runs in at least ``COMMON`` of all documents, counted over all of them.
-
-    A document holds a bounded number of runs on average, so at most that number
-    divided by ``COMMON`` can be common: the set does not grow with the corpus.
-    """
-    from tintero.runtime import checkpoint
-
-    def run(rows):
-        count: dict = {}
-        n = 0
-        for (t,) in rows:
-            n += 1
-            for x in set(_RUN.findall(t)):
-                if len(x) <= 80:
-                    count[x] = count.get(x, 0) + 1
-            if len(count) > 300_000:
-                yield from count.items()
-                count = {}
-        yield from count.items()
-        yield None, n
-
-    part = flat_map(df.select(text_col).where(F.col(text_col).isNotNull()), run, "run string, n bigint", 65_536)
-    c = checkpoint(part.groupBy("run").agg(F.sum("n").alias("n")))
-    total = c.where("run IS NULL").agg(F.sum("n")).first()[0] or 0
-    return frozenset(r["run"] for r in c.where(f"run IS NOT NULL AND n >= {max(3, COMMON * total)}").collect())
-
-
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, start_pos, end_pos) of every occurrence; null and empty texts have none."""
     kind = dict(df.dtypes)[id_col]
-    shared = df.sparkSession.sparkContext.broadcast((fit(), common_runs(df, text_col)))
+    shared = df.sparkSession.sparkContext.broadcast(fit())
 
     def run(rows):
-        tagger = Tagger(*shared.value)
+        tagger = Tagger(shared.value)
         for ids, texts in _batches(rows):
             for i, spans in zip(ids, tagger.spans(texts)):
                 for a, b, k in spans:
@@ -493,10 +445,10 @@ PLACEHOLDER = {"NAME": "[NOMBRE]", "EMAIL": "[CORREO]", "PHONE": "[TELEFONO]", "
 def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_masked): every occurrence replaced by its typed placeholder, all else untouched; null stays null."""
     kind = dict(df.dtypes)[id_col]
-    shared = df.sparkSession.sparkContext.broadcast((fit(), common_runs(df, text_col)))
+    shared = df.sparkSession.sparkContext.broadcast(fit())
 
     def run(rows):
-        tagger = Tagger(*shared.value)
+        tagger = Tagger(shared.value)
         for ids, texts in _batches((i, t if t is not None else "\x00null") for i, t in rows):
             for i, t, spans in zip(ids, texts, tagger.spans(texts)):
                 if t == "\x00null":
