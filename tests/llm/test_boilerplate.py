@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from tintero import runtime
 from tintero.llm import boilerplate as b
 
 SCHEMA = "page_id bigint, pdf_filename string, text string, page int, line int"
@@ -23,6 +26,7 @@ def rows():
 
 
 def brute(data):
+    """Occurrences of frequent lines, and all frequent runs of neighbours with their support, by plain loops."""
     docs, where, occ = defaultdict(set), defaultdict(set), []
     for i, f, t, *_ in data:
         if f is None:
@@ -34,28 +38,60 @@ def brute(data):
             if len(k) >= 25:
                 where[s, k].add(f)
                 occ.append((i, n, s, k))
-    return sorted((i, n) for i, n, s, k in occ if len(where[s, k]) >= 3 and 3 * len(where[s, k]) >= len(docs[s]))
+    frequent = {(s, k) for (s, k), d in where.items() if len(d) >= 3 and 3 * len(d) >= len(docs[s])}
+    runs = defaultdict(set)
+    for _, f, t, *_ in data:
+        if f is None:
+            continue
+        s = f.split("-")[0].split("_")[0].lower()
+        seq = [k for k in map(b.line_key, (t or "").split("\n")) if (s, k) in frequent]
+        for a in range(len(seq)):
+            for z in range(a + 1, len(seq) + 1):
+                runs[s, tuple(seq[a:z])].add(f)
+    support = sorted((s, len(p), len(d)) for (s, p), d in runs.items() if len(d) >= 3 and 3 * len(d) >= len(docs[s]))
+    return sorted((i, n) for i, n, s, k in occ if (s, k) in frequent), support
 
 
 def test_against_brute_force(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
-    assert sorted((r["page_id"], r["line_no"]) for r in b.repeated_lines(df).collect()) == brute(rows())
-    out = {r["page_id"]: r for r in b.without_repeated(df).collect()}
-    assert out[901]["text"] is None and out[902]["text"] == "" and out[900]["lines_removed"] == 0
-    assert sum(r["lines_removed"] for r in b.without_repeated(df).collect()) == len(brute(rows()))
+    want, support = brute(rows())
+    assert sorted((r["page_id"], r["line_no"]) for r in b.repeated_lines(df).collect()) == want
+    out = b.without_repeated(df).collect()
+    by = {r["page_id"]: r for r in out}
+    assert len(out) == len(rows()) and by[901]["text"] is None and by[902]["text"] == "" and by[900]["lines_removed"] == 0
+    assert sum(r["lines_removed"] for r in out) == len(want)
+    assert sorted((r["source"], len(r["pattern"]), r["n_docs"]) for r in b.frequent_sequences(df).collect()) == support
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_the_same_without_broadcasts(spark, monkeypatch):
+    """What is handed over, or joined by shuffle beyond a size, does not change the result."""
     df = spark.createDataFrame(rows(), SCHEMA)
-    monkeypatch.setattr(b, "BLOCK", 1)
-    assert sorted((r["page_id"], r["line_no"]) for r in b.repeated_lines(df).collect()) == brute(rows())
+    want, support = brute(rows())
+    removed = sorted((r["page_id"], r["text"] or "", r["lines_removed"]) for r in b.without_repeated(df).collect())
+    monkeypatch.setattr(runtime, "HAND_OVER", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted((r["page_id"], r["line_no"]) for r in b.repeated_lines(df).collect()) == want
+        assert sorted((r["page_id"], r["text"] or "", r["lines_removed"]) for r in b.without_repeated(df).collect()) == removed
+        assert sorted((r["source"], len(r["pattern"]), r["n_docs"]) for r in b.frequent_sequences(df).collect()) == support
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_long_sequences_are_whole(spark):
+    """A notice of five lines in every document is one pattern of five, and all its parts are found."""
+    words = "alfa beta gama delta epsilon".split()
+    notice = [f"Esta es la línea {w} del aviso legal común" for w in words]
+    data = [(i, f"serie-{i % 6}.pdf", "\n".join([f"Texto propio {chr(97 + i % 26) * 30}", *notice, "fin"]), 1, 1) for i in range(12)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = b.frequent_sequences(df)
+    assert sorted(r["n"] for r in got.select(F.size("pattern").alias("n")).collect()) == sorted(n for n in range(1, 6) for _ in range(6 - n))
+    assert b.repeated_lines(df).count() == 12 * 5 and {r["lines_removed"] for r in b.without_repeated(df).collect()} == {5}
 
 
-def test_sequences_and_empty_table(spark):
-    seq = b.frequent_sequences(spark.createDataFrame(rows(), SCHEMA)).collect()
-    assert any(len(r["pattern"]) == 1 for r in seq)
-    by = {(r["source"], tuple(r["pattern"])): r["n_docs"] for r in seq}
-    for (s, p), n in by.items():
-        if len(p) > 1:
-            assert n <= min(by[s, (x,)] for x in p)
+def test_empty_and_clashing_columns(spark):
     assert b.repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert b.frequent_sequences(spark.createDataFrame([], SCHEMA)).count() == 0
+    extra = spark.createDataFrame(rows(), SCHEMA).withColumns({c: F.lit(1) for c in ("src", "doc", "n", "x", "h", "_t", "_c")})
+    assert sorted((r["page_id"], r["line_no"]) for r in b.repeated_lines(extra).collect()) == brute(rows())[0]
+    assert b.without_repeated(extra).count() == len(rows())

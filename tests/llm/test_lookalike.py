@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tintero.llm import lookalike
-from tintero.llm.canonical import canonical
+from tintero.llm.canonical import _PLANES, _SPACE, _segment, _unstable, canonical
 
 ALPHABET = "aeo nN.°º\n-́̃ñáéΟоаеСｏＡﬁ​\xad  ²½Жя"
 
@@ -38,3 +38,43 @@ def test_pairs_against_brute_force(spark):
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
     out = {r["page_id"]: (r["canonical"], r["changed"]) for r in lookalike.canonical_text(df).collect()}
     assert out[0] == ("hola N.° 1", True) and out[1] == ("hola N.° 1", False) and out[4] == (None, False)
+
+
+def test_agrees_with_normalisation_on_all_code_points():
+    """Composed and decomposed forms are equal for every code point, alone and between letters; so are conjoining pairs."""
+    nfd, nfc = (lambda t: unicodedata.normalize("NFD", t)), (lambda t: unicodedata.normalize("NFC", t))
+    for cp in _PLANES:
+        ch = chr(cp)
+        assert canonical(nfd(ch)) == canonical(nfc(ch)), hex(cp)
+        if nfd(ch) != ch:
+            assert canonical("a" + nfd(ch) + "b") == canonical("a" + nfc(ch) + "b"), hex(cp)
+    for a, b in [("\u1100\u1161", "\uac00"), ("\u09c7\u09be", "\u09cb"), ("\U0002f800", nfc("\U0002f800")), ("\u2194\u0338", "\u21ae"), ("\U00011131\U00011127", "\U0001112e")]:
+        assert canonical(a) == canonical(b), a
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from([chr(c) for c in _PLANES if _unstable(c)][::7] + list("abcxyz  .,;-éñ\nকী가한Жλ")), max_size=14))
+def test_splicing_equals_normalising_everything(text):
+    assert canonical(text) == "".join(_segment.__wrapped__(w) for w in _SPACE.split(text))
+    assert canonical(unicodedata.normalize("NFD", text)) == canonical(unicodedata.normalize("NFC", text))
+
+
+def test_tables_agree_with_the_function(spark):
+    """The share done in the JVM gives the same as the function, text by text."""
+    texts = [ALPHABET[i:] + ALPHABET[:i] for i in range(len(ALPHABET))] + ["plano", "ñandú N.º 1\xa02", "a\u200bb\xadc", "\u1100\u1161", "日本語 テキスト", "“citas” — …", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id int, text string")
+    got = {r["page_id"]: r["canonical"] for r in lookalike.canonical_text(df).collect()}
+    assert got == {i: canonical(t) for i, t in enumerate(texts)}
+
+
+def test_classes_against_brute_force(spark):
+    texts = ["hola N.º 1", "hola N.° 1", "hola N.° 1", "Hola N.° 1", None, "", "", "а", "a", "a\u200b"]
+    df = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)], "page_id bigint, text string, look string")
+    want = {}
+    for i, a in enumerate(texts):
+        links = [b for b in texts if a is not None and b is not None and a != b and canonical(a) == canonical(b)]
+        if links:
+            want[i] = (len({a, *links}), len(links))
+    got = lookalike.lookalike_classes(df).collect()
+    assert {r["page_id"]: (r["n_texts"], r["n_links"]) for r in got} == want and len({r["class_id"] for r in got}) == 2
+    assert lookalike.lookalike_classes(df.limit(0)).count() == 0

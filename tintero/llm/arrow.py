@@ -10,13 +10,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def flat_map(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, chunk: int = 4096) -> DataFrame:
+def flat_map(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str | StructType, chunk: int = 4096) -> DataFrame:
     """Map all rows of a partition, as tuples in column order, to tuples of ``schema``.
 
     ``fn`` gets an iterator over the whole partition and may aggregate before it
     yields; output is packed into Arrow batches of ``chunk`` rows.
     """
-    out: StructType = _parse_datatype_string(schema)
+    out: StructType = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,161 +1,153 @@
 """Problem 6: lines repeated across one source's documents.
 
-Method: PrefixSpan over the sequence of line identifiers of each document of a
-source.  Level 1 finds the frequent single lines by distinct-document support;
-deeper levels grow each frequent prefix by the frequent lines that follow its
-first occurrence.  Every element of a frequent sequence is itself a frequent
-line, so deleting the occurrences of level 1 deletes those of all levels.
+Method: PrefixSpan over sequences of line identifiers.  Level 1 finds the
+frequent single lines of a source by distinct-document support.  The sequence of
+a page is what is left of it then: its frequent lines in order.  Each further
+level grows every frequent pattern by the line that follows its occurrence in
+the sequence, counts the distinct documents of the grown patterns, and projects
+the sequences onto the frequent ones, until no pattern is frequent any more; no
+length is capped.  A pattern is a run of neighbours in a sequence (lines seen
+rarely may stand between them on the page), so a sequence of k lines holds at
+most k patterns of a length and the projected data never grow.  Lines that are
+part of an occurrence of a frequent pattern are found and deleted.
+
+How large the model is: a frequent line stands in a third of its source's
+documents, so a source has at most three times as many frequent lines (and
+patterns of a length) as a document of it has distinct lines on average.
 """
 
 from __future__ import annotations
 
 import re
 
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tintero.llm.arrow import flat_map, shared_blocks
-from tintero.llm.canonical import canonical
+from tintero.llm.canonical import canonical, with_canonical
+from tintero.runtime import checkpoint, hand_over
 
 MIN_LETTERS = 25
 MIN_DOCS = 3
 MIN_SHARE = 1 / 3
-#: Rows of the frequent-line table handed to executors at once; more are processed in further passes.
-BLOCK = 500_000
-
-_NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
 def line_key(line: str) -> str:
-    """How a line reads: letters only, lower case, look-alike differences aside."""
-    return _NOT_LETTER.sub("", canonical(line).lower())
+    """How a line reads: letters and their marks only, lower case, look-alike differences aside."""
+    return re.sub(r"[\W\d_]+", "", canonical(line).lower())
 
 
-def source_of(file_col: str):
+def source_of(file_col) -> Column:
     """Series of a file: its name before the first ``-`` or ``_``, lower-cased."""
     return F.lower(F.split(file_col, "[-_]", 2)[0])
 
 
-def _keys(text: str):
-    """(line number from 1, 64-bit identifier) of the lines with enough letters."""
-    low = text if text.isascii() else canonical(text)
-    for n, line in enumerate(low.lower().split("\n"), 1):
-        if len(line) >= MIN_LETTERS:
-            k = _NOT_LETTER.sub("", line)
-            if len(k) >= MIN_LETTERS:
-                yield n, xxhash.xxh3_64_intdigest(k.encode()) - (1 << 63)
-
-
-def frequent_lines(pages: DataFrame, id_col: str = "page_id", file_col: str = "pdf_filename", text_col: str = "text") -> DataFrame:
-    """Level 1: (source, line, n_docs, n_source_docs) of lines with sufficient distinct-document support.
-
-    Rows with a null file name have no source and take no part.  Occurrences
-    are made distinct per (source, line, document) inside the task before they
-    are shuffled, and are counted from distinct rows, so neither a hot source nor
-    a hot line gathers in one task.
-    """
-
-    def run(rows):
-        seen: set = set()
-        for s, d, t in rows:
-            for _, k in _keys(t):
-                if (d, k) not in seen:
-                    seen.add((d, k))
-                    yield s, k, d
-            if len(seen) > 1_000_000:
-                seen.clear()
-
-    named = pages.where(F.col(file_col).isNotNull())
-    docs = named.select(source_of(file_col).alias("source"), F.xxhash64(file_col).alias("doc"), F.col(text_col).alias("t"))
-    occ = flat_map(docs.where("t IS NOT NULL AND t != ''"), run, "source string, line bigint, doc bigint").distinct()
-    support = occ.groupBy("source", "line").agg(F.count("*").alias("n"))
-    total = docs.select("source", "doc").distinct().groupBy("source").agg(F.count("*").alias("n_source_docs"))
-    return support.where(f"n >= {MIN_DOCS}").join(total, "source").where("3 * n >= n_source_docs").select("source", "line", F.col("n").alias("n_docs"), "n_source_docs")
-
-
-def _pass(pages: DataFrame, block: list, id_col: str, file_col: str, text_col: str, want_text: bool) -> DataFrame:
-    shared = pages.sparkSession.sparkContext.broadcast(_by_source(block))
-    kind = dict(pages.dtypes)[id_col]
-
-    def marks(rows):
-        freq = shared.value
-        for i, s, t in rows:
-            keys = freq.get(s)
-            if keys and t:
-                for n, k in _keys(t):
-                    if k in keys:
-                        yield i, n, k
-
-    def texts(rows):
-        freq = shared.value
-        for i, s, t in rows:
-            keys = freq.get(s)
-            drop = {n for n, k in _keys(t) if k in keys} if keys and t else ()
-            yield i, (re.sub(r"\n{3,}", "\n\n", "\n".join(x for n, x in enumerate(t.split("\n"), 1) if n not in drop)).strip("\n") if drop else t), len(drop)
-
-    cols = pages.select(id_col, source_of(file_col).alias("_source"), text_col)
-    if want_text:
-        return flat_map(cols, texts, f"`{id_col}` {kind}, text string, lines_removed int")
-    return flat_map(cols, marks, f"`{id_col}` {kind}, line_no int, line bigint")
-
-
-def _by_source(block: list) -> dict[str, set[int]]:
-    out: dict[str, set[int]] = {}
-    for r in block:
-        out.setdefault(r["source"], set()).add(r["line"])
-    return out
+def _key(line: Column) -> Column:
+    """Identifier of a canonical line with enough letters, else null."""
+    letters = F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}]+", "")
+    few = (F.length(letters) < MIN_LETTERS) | (F.length(F.regexp_replace(letters, r"\p{M}+", "")) < MIN_LETTERS)
+    return F.when(F.length(line) >= MIN_LETTERS, F.when(~few, F.xxhash64(letters)))
+
+
+def _source_documents(pages: DataFrame, file_col: str) -> DataFrame:
+    """(src, source, need): sources by hash and name, and how many documents a pattern must stand in."""
+    named = pages.where(F.col(f"`{file_col}`").isNotNull()).select(source_of(F.col(f"`{file_col}`")).alias("source"), F.xxhash64(F.col(f"`{file_col}`")).alias("doc")).distinct()
+    g = named.groupBy("source").agg(F.count("*").alias("n_source_docs"))
+    return g.select(F.xxhash64("source").alias("src"), "source", "n_source_docs", F.greatest(F.lit(MIN_DOCS), F.ceil(F.col("n_source_docs") / 3)).alias("need"))
+
+
+def _lines(pages: DataFrame, id_col: str, file_col: str, text_col: str) -> DataFrame:
+    """(id, page, src, doc, line_no, line): the lines with enough letters of pages of a source; ``page`` tells rows apart by id and content."""
+    q = lambda c: F.col(f"`{c}`")
+    rows = pages.where(q(file_col).isNotNull() & (q(text_col) != "")).select(q(id_col).alias("id"), F.xxhash64(q(id_col), q(file_col), q(text_col)).alias("page"), F.xxhash64(source_of(q(file_col))).alias("src"), F.xxhash64(q(file_col)).alias("doc"), q(text_col).alias("_t"))
+    lines = with_canonical(rows, "_t", "_c").select("id", "page", "src", "doc", F.posexplode(F.split("_c", "\n", -1)).alias("n", "_line")).where(F.length("_line") >= MIN_LETTERS)
+    return lines.select("id", "page", "src", "doc", (F.col("n") + 1).alias("line_no"), _key(F.col("_line")).alias("line")).where("line IS NOT NULL")
+
+
+def _frequent(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(src, key, n_docs) of the keys with sufficient distinct-document support; rows are made distinct in the task first."""
+    n = rows.select("src", key, "doc").distinct().groupBy("src", key).agg(F.count("*").alias("n_docs"))
+    return n.join(docs.select("src", "need"), "src").where("n_docs >= need").drop("need")
+
+
+class Patterns:
+    """What the mining found: ``occurrences`` of frequent lines (id, page, src, doc, line_no, line), ``docs`` per source,
+    and ``levels``, the frequent patterns (src, pattern, n_docs) of each length."""
+
+    def __init__(self, pages: DataFrame, id_col: str, file_col: str, text_col: str):
+        self.docs = hand_over(checkpoint(_source_documents(pages, file_col)))
+        lines = _lines(pages, id_col, file_col, text_col)
+        # How often a line stands bounds how many documents it stands in: one count per task and line is shuffled, and few lines are left.
+        often = lines.groupBy("src", "line").agg(F.count("*").alias("n")).where(f"n >= {MIN_DOCS}")
+        often = hand_over(checkpoint(often.join(self.docs, "src").where("n >= need").select("src", "line")))
+        near = checkpoint(lines.join(often, ["src", "line"], "left_semi"))
+        first = checkpoint(_frequent(near, self.docs, "line"))
+        self.occurrences = near.join(hand_over(first.select("src", "line")), ["src", "line"], "left_semi")
+        self.levels = [first.select("src", F.array("line").alias("pattern"), "n_docs")]
+        self._grow()
+
+    def _grow(self) -> None:
+        """Levels from 2 on.  State: a page's sequence, and per position the identifier of the frequent pattern that ends there."""
+        order = F.array_sort(F.collect_set(F.struct("line_no", "line")))
+        pages = self.occurrences.groupBy("src", "doc", "page").agg(order.alias("x")).where("size(x) > 1")
+        state = checkpoint(pages.select("src", "doc", F.transform("x", lambda s: s["line"]).alias("seq")).withColumn("h", F.col("seq")))
+        while True:
+            size = len(self.levels) + 1
+            grown = F.transform("seq", lambda x, i: F.when((i > 0) & F.get("h", i - 1).isNotNull(), F.xxhash64(F.get("h", i - 1), x)))
+            state = state.withColumn("h", grown).where("exists(h, x -> x IS NOT NULL)")
+            ends = state.select("src", "doc", "seq", F.posexplode("h").alias("i", "key")).where("key IS NOT NULL")
+            frequent = _frequent(ends, self.docs, "key")
+            spelled = ends.join(hand_over(frequent := checkpoint(frequent)), ["src", "key"]).groupBy("src", "key").agg(F.min(F.slice("seq", F.col("i") + 2 - size, size)).alias("pattern"), F.first("n_docs").alias("n_docs"))
+            spelled = checkpoint(spelled)
+            if spelled.isEmpty():
+                return
+            self.levels.append(spelled.select("src", "pattern", "n_docs"))
+            # Bounded per source (see the head of the module).
+            known = hand_over(checkpoint(frequent.groupBy("src").agg(F.collect_set("key").alias("_known"))))
+            kept = F.transform("h", lambda x: F.when(F.array_contains("_known", x), x))
+            state = checkpoint(state.join(known, "src").select("src", "doc", "seq", kept.alias("h")).where("exists(h, x -> x IS NOT NULL)"))
+
+    def elements(self) -> DataFrame:
+        """(src, line): the lines of which frequent patterns are made."""
+        out = self.levels[0]
+        for level in self.levels[1:]:
+            out = out.unionByName(level)
+        return out.select("src", F.explode("pattern").alias("line")).distinct()
 
 
 def repeated_lines(pages: DataFrame, id_col: str = "page_id", file_col: str = "pdf_filename", text_col: str = "text") -> DataFrame:
-    """Occurrences (id, line_no, line) of frequent lines.  Null or empty text has none."""
-    from tintero.runtime import checkpoint
+    """(id, line_no, line) of lines that are part of an occurrence of a frequent sequence.
 
-    freq = checkpoint(frequent_lines(pages, id_col, file_col, text_col))
-    out = None
-    for block in shared_blocks(freq.select("source", "line"), BLOCK):
-        part = _pass(pages, block, id_col, file_col, text_col, False)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else _pass(pages, [], id_col, file_col, text_col, False)
+    Null or empty text has none; rows with a null file name have no source and
+    take no part; a row that is repeated gives its lines again.
+    """
+    p = Patterns(pages, id_col, file_col, text_col)
+    found = p.occurrences.join(hand_over(checkpoint(p.elements())), ["src", "line"], "left_semi")
+    return found.select(F.col("id").alias(id_col), "line_no", "line")
 
 
 def without_repeated(pages: DataFrame, id_col: str = "page_id", file_col: str = "pdf_filename", text_col: str = "text") -> DataFrame:
-    """Each page's text with the frequent lines deleted; null text stays null."""
-    from tintero.runtime import checkpoint
-
-    freq = checkpoint(frequent_lines(pages, id_col, file_col, text_col))
-    blocks = shared_blocks(freq.select("source", "line"), BLOCK)
-    out = _pass(pages, next(blocks, []), id_col, file_col, text_col, True)
-    for block in blocks:
-        base = pages.select(id_col, file_col).join(out.select(id_col, text_col), id_col)
-        out = _pass(base, block, id_col, file_col, text_col, True)
-    return out
-
-
-def frequent_sequences(pages: DataFrame, max_len: int = 3, id_col: str = "page_id", file_col: str = "pdf_filename", text_col: str = "text", order_col: str = "page") -> DataFrame:
-    """PrefixSpan: frequent sequences of lines per source, with their document support.
-
-    Columns source, pattern (line identifiers in order), n_docs.  ``max_len`` is
-    the length to which sequences are reported; it does not affect deletion.
-    Each level keeps, per document and pattern, the first end position only
-    (the projected database), so a level is one join on the document and one
-    count of distinct documents.
+    """(id, text, lines_removed): each page's text with all occurrences of frequent sequences deleted.
+
+    Null text stays null, pages without such lines stay as they are.  Texts are
+    not shuffled: each meets the frequent lines of its own source, a bounded list.
     """
-    from tintero.runtime import checkpoint
-
-    occ = repeated_lines(pages, id_col, file_col, text_col).join(pages.select(id_col, file_col, order_col), id_col)
-    seq = checkpoint(
-        occ.select(F.xxhash64(file_col).alias("doc"), source_of(file_col).alias("source"), "line", F.struct(F.coalesce(F.col(order_col).cast("long"), F.lit(0)).alias("p"), F.col(id_col).cast("string").alias("i"), F.col("line_no").alias("n")).alias("pos"))
-    )
-    need = pages.where(F.col(file_col).isNotNull()).groupBy(source_of(file_col).alias("source")).agg(F.countDistinct(file_col).alias("docs"))
-    state = seq.groupBy("doc", "source", F.array("line").alias("pattern")).agg(F.min("pos").alias("end"))
-    out = None
-    for level in range(1, max_len + 1):
-        if level > 1:
-            grown = state.join(seq.select("doc", F.col("line").alias("next"), "pos"), "doc").where("pos > end").groupBy("doc", "source", F.concat("pattern", F.array("next")).alias("pattern")).agg(F.min("pos").alias("end"))
-            state = grown
-        frequent = state.groupBy("source", "pattern").agg(F.count("*").alias("n_docs")).join(need, "source").where(f"n_docs >= {MIN_DOCS} AND 3 * n_docs >= docs").drop("docs")
-        state = checkpoint(state.join(frequent.select("source", "pattern"), ["source", "pattern"], "left_semi"))
-        frequent = state.groupBy("source", "pattern").agg(F.count("*").alias("n_docs"))
-        out = frequent if out is None else out.unionByName(frequent)
-    return out
+    q = lambda c: F.col(f"`{c}`")
+    p = Patterns(pages, id_col, file_col, text_col)
+    lists = hand_over(checkpoint(p.elements().groupBy("src").agg(F.collect_set("line").alias("_freq"))))
+    rows = pages.select(q(id_col).alias("_id"), q(text_col).alias("_t"), F.xxhash64(F.coalesce(source_of(q(file_col)), F.lit(""))).alias("src"), q(file_col).isNull().alias("_none"))
+    j = with_canonical(rows, "_t", "_c").join(lists, "src", "left")
+    gone = F.when(F.col("_freq").isNotNull() & ~F.col("_none"), F.transform(F.split("_c", "\n", -1), lambda x: F.coalesce(F.array_contains("_freq", _key(x)), F.lit(False))))
+    j = j.select("_id", "_t", F.inline(F.array(F.struct(gone.alias("_gone")))))
+    n = F.coalesce(F.size(F.filter("_gone", lambda x: x)), F.lit(0))
+    kept = F.array_join(F.filter(F.split("_t", "\n", -1), lambda x, i: ~F.get("_gone", i)), "\n")
+    text = F.when(F.col("_t").isNotNull() & (n > 0), F.regexp_replace(F.regexp_replace(kept, "\n{3,}", "\n\n"), r"^\n+|\n+\z", "")).otherwise(F.col("_t"))
+    return j.select(F.col("_id").alias(id_col), text.alias("text"), F.when(F.col("_t").isNull(), 0).otherwise(n).cast("int").alias("lines_removed"))
+
+
+def frequent_sequences(pages: DataFrame, id_col: str = "page_id", file_col: str = "pdf_filename", text_col: str = "text") -> DataFrame:
+    """(source, pattern, n_docs, n_source_docs): all frequent sequences, of any length, with their document support."""
+    p = Patterns(pages, id_col, file_col, text_col)
+    out = p.levels[0]
+    for level in p.levels[1:]:
+        out = out.unionByName(level)
+    return out.join(p.docs, "src").select("source", "pattern", "n_docs", "n_source_docs")

@@ -1,10 +1,14 @@
 """Problem 5: one consistent form for text that looks the same.
 
-Method: quick-check properties are computed once for every code point of the
-basic plane, giving the set of *unstable* code points (those that could change
-under the canonical form).  Per text, only runs of unstable code points are
-isolated, widened to their boundary context (the word around them), normalised
-and spliced back; the rest of the text is copied unchanged.
+Method: quick-check properties are computed once for every assigned code point,
+giving the set of *unstable* code points: those that change under the canonical
+form (quick check "no") and those that may compose with what stands before them
+(quick check "maybe": combining marks, conjoining Hangul vowels and finals, the
+second parts of composed Indic vowels).  Per text, only runs of unstable code
+points are isolated, widened to their boundary context (the letters and marks
+around them), normalised and spliced back; the rest is copied unchanged.  On
+tables, texts whose only unstable code points change by themselves, whatever
+stands beside them, are folded in the JVM; only the others enter Python.
 
 Canonical form: NFC; width forms and Latin ligatures folded; every space
 separator becomes U+0020; invisible format characters removed; the ordinal sign
@@ -20,6 +24,11 @@ import re
 import unicodedata
 from functools import lru_cache
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tintero.llm.arrow import flat_map
+
 # Letters drawn alike in the Latin, Cyrillic and Greek scripts (Unicode confusables).
 CYRILLIC = dict(zip("АВЕЅЗІЈКМНОРСТУХаеіјорсухѕһԁԛԝӏ", "ABES3IJKMHOPCTYXaeijopcyxshdqwl"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹνορϲ", "ABEZHIKMNOPTYXCvopc"))
@@ -60,25 +69,42 @@ def _fold(ch: str) -> str:
     return ch
 
 
+#: Code points looked at: the planes with assigned characters (ideographs of the third plane included) and the tags.
+_PLANES = (*range(0x80, 0xD800), *range(0xE000, 0x32400), *range(0xE0000, 0xE1000))
+
+
+@lru_cache(1)
+def _maybe() -> frozenset[int]:
+    """Code points that may compose with the one before (quick check "maybe"): second parts of composed characters, Hangul vowels and finals."""
+    out = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for cp in _PLANES:
+        ch = chr(cp)
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.is_normalized("NFC", ch):
+            out.add(int(parts[1], 16))
+    return frozenset(out)
+
+
 def _unstable(cp: int) -> bool:
     ch = chr(cp)
-    if 0xD800 <= cp <= 0xDFFF:
-        return False
-    return bool(_fold(ch) != ch or unicodedata.combining(ch) or not unicodedata.is_normalized("NFC", ch) or _script(ch))
+    return bool(cp in _maybe() or unicodedata.combining(ch) or _fold(ch) != ch or not unicodedata.is_normalized("NFC", ch) or _script(ch))
+
+
+def _ranges(points) -> list[tuple[int, int]]:
+    """Ascending code points as closed ranges."""
+    out: list[list[int]] = []
+    for cp in points:
+        if out and cp == out[-1][1] + 1:
+            out[-1][1] = cp
+        else:
+            out.append([cp, cp])
+    return [(a, b) for a, b in out]
 
 
 @lru_cache(1)
 def unstable_run() -> re.Pattern:
     """Pattern of runs of unstable code points, compiled from the properties above."""
-    parts, start, prev = [], None, None
-    for cp in [c for c in range(0x80, 0x10000) if _unstable(c)] + [0x1D7FF + 0x100000]:
-        if prev is not None and cp == prev + 1:
-            prev = cp
-            continue
-        if start is not None:
-            parts.append(f"\\u{start:04x}-\\u{prev:04x}" if prev > start else f"\\u{start:04x}")
-        start = prev = cp
-    return re.compile("[" + "".join(parts) + "\U000e0000-\U000e0fff]+")
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(filter(_unstable, _PLANES))) + "]+")
 
 
 _LETTERS = re.compile("(?:[^\\W_]|[\\u0300-\\u036f])+")
@@ -100,6 +126,11 @@ def _segment(seg: str) -> str:
     return unicodedata.normalize("NFC", out)
 
 
+def _beside(ch: str) -> bool:
+    """Letters, numbers and marks beside an unstable run are its boundary context."""
+    return ch.isalnum() or unicodedata.category(ch)[0] == "M"
+
+
 def canonical(text: str | None) -> str | None:
     """Canonical form of ``text``; null stays null, stable text is returned as it is."""
     if text is None or text.isascii():
@@ -111,14 +142,17 @@ def canonical(text: str | None) -> str | None:
     out, done, n = [], 0, len(text)
     while m is not None:
         a, b = m.span()
-        while a > done and (text[a - 1].isalnum()):
+        # A mark composes with whatever stands before it, letter or not.
+        if a > done and (ord(text[a]) in _maybe() or unicodedata.combining(text[a])):
+            a -= 1
+        while a > done and _beside(text[a - 1]):
             a -= 1
-        while b < n and (text[b].isalnum() or unicodedata.combining(text[b])):
+        while b < n and _beside(text[b]):
             b += 1
         # A run inside the widened context belongs to the same segment.
         while (nxt := run.match(text, b)) is not None:
             b = nxt.end()
-            while b < n and (text[b].isalnum() or unicodedata.combining(text[b])):
+            while b < n and _beside(text[b]):
                 b += 1
         out.append(text[done:a])
         out.append(_words(text[a:b]))
@@ -134,3 +168,43 @@ _SPACE = re.compile(r"([\s  -   　]+)")
 def _words(seg: str) -> str:
     """Segments are normalised word by word, so that one word's script does not decide another's."""
     return "".join(_segment(w) for w in _SPACE.split(seg)) if len(seg) < 400 else "".join(_segment(w) if len(w) < 400 else _segment.__wrapped__(w) for w in _SPACE.split(seg))
+
+
+@lru_cache(1)
+def _folds() -> tuple[str, str]:
+    """Code points of the basic plane that become a space, a degree sign or nothing by themselves, and what they become."""
+    one = [chr(c) for c in _PLANES if c < 0x10000 and len(_fold(chr(c))) == 1 and _fold(chr(c)) in " °" and _fold(chr(c)) != chr(c)]
+    none = [chr(c) for c in _PLANES if c < 0x10000 and _fold(chr(c)) == ""]
+    return "".join(one + none), "".join(map(_fold, one))
+
+
+@lru_cache(1)
+def _java_classes() -> tuple[str, str]:
+    """Java patterns: a code point that folds by itself, and one that is not among the stable ones of the usual blocks.
+
+    The first class lets the plain text pass at once; only what it stops at is looked up in the long one.
+    """
+    usual = [*(c for c in _PLANES if (c < 0x250 or 0x2010 <= c < 0x2800 or 0x3041 <= c < 0x3100 or 0x4E00 <= c < 0xA000) and not _unstable(c))]
+    write = lambda points: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(points))
+    return rf"[^\x{{0}}-\x{{9f}}](?<=[{write(sorted(map(ord, _folds()[0])))}])", rf"[^\x{{0}}-\x{{9f}}](?<![{write(usual)}])"
+
+
+def with_canonical(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """``df`` with the canonical form of a text column.
+
+    Texts that hold only stable code points and such as fold by themselves are
+    done in the JVM; only those in which code points act on each other enter
+    Python.  Null stays null; no column of ``df`` may be called ``out_col``.
+    """
+    folding, unusual = _java_classes()
+    text = F.col(text_col)
+    folded: Column = F.when(text.rlike(folding), F.translate(text, *_folds())).otherwise(text)
+    hard = F.coalesce(folded.rlike(unusual), F.lit(False))
+    at = df.columns.index(text_col)
+
+    def run(rows):
+        for row in rows:
+            yield *row, canonical(row[at])
+
+    easy = df.where(~hard).withColumn(out_col, folded)
+    return easy.unionByName(flat_map(df.where(hard), run, easy.schema))

@@ -65,6 +65,7 @@ QUERIES = {
     "p4_found": _pages(scanned.found),
     "p4_repaired": _pages(scanned.repaired),
     "p5_found": _pages(lookalike.lookalike_pairs),
+    "p5_classes": _pages(lookalike.lookalike_classes),
     "p5_canonical": _pages(lookalike.canonical_text),
     "p6_found": lambda spark, d: boilerplate.repeated_lines(table(spark, d, PAGES)).select("page_id", "line_no"),
     "p6_cleaned": _pages(boilerplate.without_repeated),
