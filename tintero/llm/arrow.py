@@ -37,24 +37,3 @@ def flat_map(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sc
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*buf), arrow)], schema=arrow)
 
     return df.mapInArrow(run, out)
-
-
-def shared_blocks(df: DataFrame, block: int) -> Iterator[list]:
-    """The rows of a bounded model table, handed to executors in blocks of at most ``block`` rows.
-
-    The row count is taken first; one block (the usual case) is collected whole,
-    more blocks are read one after the other, so the driver never holds more
-    than one block and a caller makes one pass over its data per block.
-    """
-    n = df.count()
-    if n <= block:
-        yield df.collect()
-        return
-    buf: list = []
-    for row in df.toLocalIterator():
-        buf.append(row)
-        if len(buf) == block:
-            yield buf
-            buf = []
-    if buf:
-        yield buf

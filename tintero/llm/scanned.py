@@ -1,13 +1,19 @@
 """Problem 4: noise in text from scanned pages.
 
 Method: every word type of the corpus is counted; the *anagram hash* of a word
-is the sum of the fifth powers of its code points, so that replacing one
-confusable string by another changes it by a known difference.  Rare words are
-joined in SQL with frequent words whose hash differs by the difference of a
-known confusion, the replacement is then verified letter by letter, and the
-candidates of a word are ranked by how often the frequent word is seen.
-Running heads are edge lines that do not occur inside pages; divided words are
-told from compounds by the counts of the joined and of the hyphenated form.
+is the sum of the fifth powers of its code points (whole numbers modulo a
+prime), so that replacing one confusable string by another changes it by a known
+difference.  Rare words are joined in SQL with frequent words whose hash differs
+by the difference of one known confusion, or of two where the word holds digits
+or signs; the replacement is then verified letter by letter, and the candidates
+of a word are ranked by how often the frequent word is seen.  Running heads are
+edge lines that do not occur inside pages; divided words are told from compounds
+by the counts of the joined and of the hyphenated form.
+
+What is learned grows with the vocabulary of misread words.  It is handed to the
+tasks whole only while its measured bytes are few; beyond, the keys of each page
+are looked up by a join, those that cannot be entries being left out by a bitmap
+of bounded size.
 """
 
 from __future__ import annotations
@@ -15,11 +21,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tintero.llm.arrow import flat_map, shared_blocks
+from tintero import runtime
+from tintero.llm.arrow import flat_map
 from tintero.llm.canonical import canonical
+from tintero.runtime import bytes_of, checkpoint
 
 # Strings that character recognition confuses, read -> meant.
 CONFUSIONS = [
@@ -32,8 +41,10 @@ DIVIDERS = "-‐‑¬\xad"
 #: A clean rare word must be this many times rarer than its reading; one holding a digit or sign, rarer at all.
 RARER = 50
 MIN_SEEN = 3
-#: Entries of the correction table handed to executors at once.
-BLOCK = 500_000
+#: Anagram hashes are whole numbers below this prime, so that sums of two fit a BIGINT.
+PRIME = (1 << 61) - 1
+#: Bits of the bitmap of learned keys, as powers of two; within these it has eight bits an entry.
+BITMAP = (16, 27)
 
 _EDGE = "\"'.,;:()«»“”‘’¿?¡!—–[]…°²³¹%"
 _PAGE_NO = re.compile(r"(?:p[áa]g(?:ina|\.)?\s*)?[-–—\[(]?\s*(?:\d{1,5}|[ivxlc]{1,7})\s*[-–—\])]?(?:\s*(?:/|de)\s*\d{1,5})?", re.I)
@@ -163,42 +174,51 @@ def _adjacent(b, blocks, numbers):
     return kept and (b is kept[0] or b is kept[-1])
 
 
+def anagram_hash(word: str) -> int:
+    """Sum of the fifth powers of the code points, modulo the prime."""
+    return sum(ord(c) ** 5 for c in word) % PRIME
+
+
 def _flush(count):
     merged: Counter = Counter()
     for (kind, k), n in count.items():
         if kind == "w":
             k = core(k)
-            if not k or len(k) > 40 or not _WORDISH.search(k):
+            if not k or not _WORDISH.search(k):
                 continue
         merged[kind, k] += n
     for (kind, k), n in merged.items():
-        yield kind, k, n
+        yield kind, k, n, anagram_hash(k) if kind == "w" else 0
 
 
 def corpus_evidence(pages: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, key, n) over all pages: ``w`` word types, ``h`` divided pairs, ``e``/``m`` line keys at edges and inside."""
-    part = flat_map(pages.select(text_col), _evidence, "kind string, key string, n bigint")
-    return part.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    """(kind, key, n, h) over all pages: ``w`` word types with their anagram hash, ``h`` divided pairs, ``e``/``m`` line keys at edges and inside."""
+    part = flat_map(pages.select(text_col), _evidence, "kind string, key string, n bigint, h bigint")
+    return part.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("h").alias("h"))
 
 
-def _hash_sql(col: str) -> str:
-    return f"aggregate(filter(split({col}, ''), c -> c != ''), 0D, (s, c) -> s + pow(CAST(ascii(c) AS DOUBLE), 5D))"
+def _replaced(word: str, c: str) -> str:
+    """All words made from ``word`` by one replacement of confusion ``c``, in SQL."""
+    at = f"filter(sequence(1, greatest(length({word}) - length({c}.got) + 1, 1)), i -> substring({word}, i, length({c}.got)) = {c}.got)"
+    return f"transform({at}, i -> concat(substring({word}, 1, i - 1), {c}.meant_s, substring({word}, i + length({c}.got), length({word}))))"
 
 
 def corrections(evidence: DataFrame) -> DataFrame:
     """(word, meant, n): the best-ranked frequent reading of each rare, confusable word."""
-    power = lambda s: float(sum(ord(c) ** 5 for c in s))
-    listed = ", ".join(f"named_struct('got', {a.lower()!r}, 'meant_s', {b!r}, 'diff', {power(b) - power(a.lower())!r}D, 'sign', {str(not a.isalpha()).lower()})" for a, b in sorted({(a.lower(), b) for a, b in CONFUSIONS}))
-    words = evidence.where("kind = 'w' AND length(key) >= 2").selectExpr("key AS word", "n", f"{_hash_sql('key')} AS h", "key RLIKE '[^\\\\p{L}\\\\p{M}.\\\\-]' AS odd")
+    diff = lambda a, b: (anagram_hash(b) - anagram_hash(a)) % PRIME
+    listed = ", ".join(f"named_struct('no', {k}, 'got', {a!r}, 'meant_s', {b!r}, 'diff', {diff(a, b)}L, 'sign', {str(not a.isalpha()).lower()})" for k, (a, b) in enumerate(sorted({(a.lower(), b) for a, b in CONFUSIONS})))
+    words = evidence.where("kind = 'w' AND length(key) >= 2").selectExpr("key AS word", "n", "h", "key RLIKE '[^\\\\p{L}\\\\p{M}.\\\\-]' AS odd")
     # Each word with the confusions it contains: at most the few dozen entries of the fixed list.
-    asked = words.selectExpr("word", "n", "h", "odd", f"explode(filter(array({listed}), c -> instr(word, c.got) > 0 AND odd = c.sign)) AS c").selectExpr("word", "n", "odd", "c.got", "c.meant_s", "h + c.diff AS h")
+    contained = words.selectExpr("*", f"filter(array({listed}), c -> instr(word, c.got) > 0 AND odd = c.sign) AS _c").where("size(_c) > 0")
+    one = contained.selectExpr("word", "n", "h", "odd", "explode(_c) AS c").selectExpr("word", "n", "odd", "c", "CAST(NULL AS " + dict(contained.dtypes)["_c"][6:-1] + ") AS c2", f"pmod(h + c.diff, {PRIME}L) AS h")
+    # Two misreadings: of words with two digits or signs; pairs in the order of the list, a confusion with itself too.
+    several = contained.where("odd AND length(regexp_replace(word, '[\\\\p{L}\\\\p{M}.\\\\-]', '')) >= 2")
+    two = several.selectExpr("word", "n", "h", "odd", "_c", "explode(_c) AS c").selectExpr("word", "n", "h", "odd", "c", "explode(filter(_c, x -> x.no >= c.no)) AS c2").selectExpr("word", "n", "odd", "c", "c2", f"pmod(pmod(h + c.diff, {PRIME}L) + c2.diff, {PRIME}L) AS h")
     known = words.where(f"n >= {MIN_SEEN} AND NOT odd").selectExpr("word AS meant", "n AS n_meant", "h")
-    fits = (
-        "exists(sequence(1, length(word) - length(got) + 1), i -> substring(word, i, length(got)) = got AND concat(substring(word, 1, i - 1), meant_s, substring(word, i + length(got), length(word))) = meant)"
-    )
-    hit = asked.join(known, "h").where(f"(odd AND n_meant > n OR NOT odd AND n_meant >= {RARER} * n AND length(word) >= 4) AND length(got) <= length(word)").where(fits)
-    best = Window.partitionBy("word").orderBy(F.desc("n_meant"), "meant")
-    return hit.withColumn("r", F.row_number().over(best)).where("r = 1").select("word", "meant", "n")
+    hit = one.unionByName(two).join(known, "h").where(f"odd AND n_meant > n OR NOT odd AND n_meant >= {RARER} * n AND length(word) >= 4")
+    fits = f"if(c2 IS NULL, array_contains({_replaced('word', 'c')}, meant), exists({_replaced('word', 'c')}, y -> array_contains({_replaced('y', 'c2')}, meant)))"
+    best = Window.partitionBy("word").orderBy(F.col("c2").isNotNull(), F.desc("n_meant"), "meant")
+    return hit.where(fits).withColumn("r", F.row_number().over(best)).where("r = 1").select("word", "meant", "n")
 
 
 def compounds(evidence: DataFrame) -> DataFrame:
@@ -222,9 +242,7 @@ def inner_keys(evidence: DataFrame) -> DataFrame:
 
 
 def model(pages: DataFrame, text_col: str = "text") -> DataFrame:
-    """All learned entries (kind, key, value), one bounded table whose size follows the vocabulary."""
-    from tintero.runtime import checkpoint
-
+    """All learned entries (kind, key, value): corrections, compounds broken at their hyphen, edge lines that are no heads."""
     ev = checkpoint(corpus_evidence(pages, text_col))
     return checkpoint(
         corrections(ev).selectExpr("'fix' AS kind", "word AS key", "meant AS value")
@@ -233,108 +251,119 @@ def model(pages: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def _parts(block):
-    fix = {r["key"]: r["value"] for r in block if r["kind"] == "fix"}
-    return fix, {r["key"] for r in block if r["kind"] == "compound"}, {r["key"] for r in block if r["kind"] == "inner"}
+class Learned:
+    """Entries of the model: corrections of words, compound pairs, keys of edge lines that are no heads."""
 
-
-def _stray(tok: str) -> bool:
-    return _STRAY.fullmatch(tok) is not None and not any(c.isalnum() for c in tok)
+    def __init__(self, entries):
+        self.fix, self.compound, self.inner = {}, set(), set()
+        for kind, key, value in entries:
+            if kind == "fix":
+                self.fix[key] = value
+            else:
+                (self.compound if kind == "compound" else self.inner).add(key)
+        self.bad = _Bad(self.fix)
 
 
-class _Misread(dict):
+class _Bad(dict):
     """Whether a token is misread or a stray mark, remembered per token; the memory is emptied when it is full."""
 
-    def __init__(self, fix, structure):
-        self.fix, self.structure = fix, structure
+    def __init__(self, fix):
+        self.fix = fix
 
     def __missing__(self, tok):
         if len(self) > 300_000:
             self.clear()
-        self[tok] = bad = core(tok) in self.fix or (self.structure and _stray(tok))
+        self[tok] = bad = core(tok) in self.fix or _stray(tok)
         return bad
 
 
-def _marks(text, fix, comp, inner, structure=True, misread=None):
-    """(kind, line index) of every noisy line of a page."""
-    misread = _Misread(fix, structure) if misread is None else misread
+def _stray(tok: str) -> bool:
+    return _STRAY.fullmatch(tok) is not None and not any(c.isalnum() for c in tok)
+
+
+def keys_of(text: str):
+    """(kind, key) of all entries that could bear on a page."""
     lines, cut, blocks = layout(text)
-    if not blocks:
-        return
-    numbers, edge = edge_lines(lines, blocks)
-    heads: set = set()
-    if structure:
-        for i in numbers:
-            yield "page_no", i
-        for b in edge:
-            if not any(_key(lines[i]) in inner for i in b):
-                heads.update(b)
-        for i in heads:
-            yield "header", i
-    # A lone bar is a stray mark inside a paragraph, but parts the fields of a head.
-    inside = {i for b in blocks if len(b) > 2 for i in b} - heads
+    _, edge = edge_lines(lines, blocks) if blocks else ((), ())
+    for b in edge:
+        for i in b:
+            yield "inner", _key(lines[i])
     for i, line in enumerate(lines):
-        tokens = line.split()
+        for tok in line.split():
+            yield "fix", core(tok)
         pair = _divided(lines, cut, i)
-        if pair is not None and structure and pair[0] + "\t" + pair[1] not in comp and i not in numbers:
-            yield "hyphen", i
-        if i in numbers:
-            continue
-        joins = []
         if pair is not None:
-            joins = [pair[0] + pair[1], pair[0] + "-" + pair[1]]
-        body = tokens[:-1] if pair is not None else tokens
-        if i and _divided(lines, cut, i - 1) is not None:
-            body = body[1:]
-        bar = structure and i in inside and body.count("|") == 1
-        if bar or any(map(misread.__getitem__, body)):
-            yield "ocr", i
-        if joins and any(j in fix for j in joins):
-            # The misread half decides the line.
-            bad = {k for k, half in ((i, pair[0]), (i + 1, pair[1])) if _half_bad(half, joins, fix, k == i)}
-            for k in bad or {i}:
-                yield "ocr", k
-
-
-def _half_bad(half, joins, fix, is_left):
-    j = next(j for j in joins if j in fix)
-    meant = fix[j]
-    return not (meant.startswith(half) if is_left else meant.endswith(half))
+            yield "compound", pair[0] + "\t" + pair[1]
+            yield "fix", pair[0] + pair[1]
+            yield "fix", pair[0] + "-" + pair[1]
 
 
-def found(pages: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
-    """(id, kind, line_no) of divided words, heads and feet, page numbers and misread lines.
+class Page:
+    """The one decision on a page: per line what it is, and which of its tokens are kept, dropped or corrected.
 
-    Null or empty text gives no row; repeated rows give the same rows again,
-    made distinct at the end only by (id, kind, line).
+    ``gone`` gives page-number and head lines their kind; ``divided`` the lines
+    that end inside a divided word and ``compound`` those that end at a
+    compound's own hyphen; ``ocr`` the lines with a misread character or stray
+    mark.  What is reported (``marks``) and what is done (``text``) both follow it.
     """
-    m = model(pages, text_col)
-    kind = dict(pages.dtypes)[id_col]
-    out = None
-    small = m.where("kind != 'fix'").collect() if m.where("kind != 'fix'").count() <= BLOCK else []
-    if not small:
-        small = [r for b in shared_blocks(m.where("kind != 'fix'"), BLOCK) for r in b]
-    _, comp, inner = _parts(small)
-    blocks = shared_blocks(m.where("kind = 'fix'"), BLOCK)
-    first = True
-    for block in [*blocks] or [[]]:
-        shared = pages.sparkSession.sparkContext.broadcast((_parts(block)[0], comp, inner))
-
-        def run(rows, shared=shared, first=first):
-            fix, comp, inner = shared.value
-            misread = _Misread(fix, first)
-            for i, t in rows:
-                if t:
-                    for k, n in {*_marks(t, fix, comp, inner, first, misread)}:
-                        yield i, k, n + 1
-
-        part = flat_map(pages.select(id_col, text_col), run, f"`{id_col}` {kind}, kind string, line_no int")
-        out = part if out is None else out.unionByName(part).distinct()
-        first = False
-    return out
-
 
-_CASE = re.compile(r"^\W*")
+    def __init__(self, text: str, learned: Learned):
+        self.lines, cut, self.blocks = layout(text)
+        lines = self.lines
+        numbers, edge = edge_lines(lines, self.blocks) if self.blocks else (set(), [])
+        heads = {i for b in edge if not any(_key(lines[i]) in learned.inner for i in b) for i in b}
+        self.gone, self.learned = dict.fromkeys(heads, "header") | dict.fromkeys(numbers, "page_no"), learned
+        self.divided, self.compound, self.ocr = set(), set(), set()
+        self.kept: list[list[str]] = []
+        # A lone bar is a stray mark inside a paragraph, but parts the fields of a head.
+        inside = {i for b in self.blocks if len(b) > 2 for i in b} - heads
+        after = False  # the line before ends inside a word
+        for i, line in enumerate(lines):
+            tokens = line.split()
+            pair = _divided(lines, cut, i)
+            last = len(tokens) - (pair is not None)
+            body = tokens[after:last] if last > after else []
+            bar = i in inside and body.count("|") == 1
+            if i in numbers:
+                self.kept.append([])
+                after = pair is not None
+                continue
+            if bar or any(map(learned.bad.__getitem__, body)):
+                self.ocr.add(i)
+            self.kept.append([*tokens[: min(after, last)], *(t for t in body if not (_stray(t) or (bar and t == "|"))), *tokens[max(last, 0) :]])
+            if pair is not None:
+                (self.compound if pair[0] + "\t" + pair[1] in learned.compound else self.divided).add(i)
+                meant = next((learned.fix[j] for j in (pair[0] + pair[1], pair[0] + "-" + pair[1]) if j in learned.fix), None)
+                if meant is not None:
+                    # The misread half decides the line.
+                    bad = {k for k, good in ((i, meant.startswith(pair[0])), (i + 1, meant.endswith(pair[1]))) if not good}
+                    self.ocr |= bad or {i}
+            after = pair is not None
+
+    def marks(self):
+        """(kind, line index) of every noisy line."""
+        yield from ((kind, i) for i, kind in self.gone.items())
+        yield from (("hyphen", i) for i in self.divided)
+        yield from (("ocr", i) for i in self.ocr)
+
+    def text(self) -> str:
+        """The page as continuous paragraphs: edge lines gone, words rejoined and corrected."""
+        paragraphs = []
+        for b in self.blocks:
+            words: list[str] = []
+            glue = None
+            for i in b:
+                if i in self.gone:
+                    continue
+                toks = self.kept[i]
+                if glue is not None and words and toks:
+                    words[-1] += glue + toks[0]
+                    toks = toks[1:]
+                words += toks
+                glue = "" if i in self.divided else "-" if i in self.compound else None
+            if words:
+                paragraphs.append(" ".join(_restore(w, self.learned.fix) for w in words))
+        return "\n\n".join(paragraphs)
 
 
 def _restore(tok: str, fix) -> str:
@@ -342,46 +371,80 @@ def _restore(tok: str, fix) -> str:
     meant = fix.get(c)
     if meant is None:
         return tok
-    at = tok.lower().find(c)
+    at = max(tok.lower().find(c), 0)
     old = tok[at : at + len(c)]
     letters = [x for x in old if x.isalpha()]
     new = meant.upper() if letters and all(x.isupper() for x in letters) and len(letters) > 1 else meant.capitalize() if old[:1].isupper() else meant
     return tok[:at] + new + tok[at + len(c) :]
 
 
-def repair(text, fix, comp, inner) -> str:
-    """A page as continuous paragraphs: edge lines gone, words rejoined and corrected."""
-    lines, cut, blocks = layout(text)
-    numbers, edge = edge_lines(lines, blocks) if blocks else (set(), [])
-    gone = numbers | {i for b in edge if not any(_key(lines[i]) in inner for i in b) for i in b}
-    paragraphs = []
-    for b in blocks:
-        words: list[str] = []
-        glue = ""
-        for i in b:
-            if i in gone:
-                continue
-            toks = [t for t in lines[i].split() if not _stray(t)]
-            if glue and words and toks:
-                words[-1] += ("-" if glue == "compound" else "") + toks.pop(0)
-            words += toks
-            pair = _divided(lines, cut, i)
-            glue = "" if pair is None else "compound" if pair[0] + "\t" + pair[1] in comp else "divided"
-        if words:
-            paragraphs.append(" ".join(_restore(w, fix) for w in words))
-    return "\n\n".join(paragraphs)
+def _bitmap(m: DataFrame) -> tuple[int, dict[int, bytes]]:
+    """Bitmap of the model's keys: number of bits, and its blocks of 32,768; of bounded size however many entries there are."""
+    low, high = BITMAP
+    bits = 1 << min(max(low, (8 * m.count()).bit_length()), high)
+    at = F.pmod(F.xxhash64(F.concat_ws("\n", "kind", "key")), F.lit(bits))
+    blocks = m.select(F.shiftright(at, 15).alias("block"), (at % 32768).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("map"))
+    return bits, {r["block"]: bytes(r["map"]) for r in blocks.collect()}
+
+
+def _key_hash(kind: str, key: str) -> int:
+    """The hash under which the bitmap holds an entry."""
+    return xxhash.xxh64_intdigest(f"{kind}\n{key}".encode("utf-8", "surrogatepass"), seed=42)
+
+
+def apply(pages: DataFrame, fn, schema: str, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
+    """``fn(id, text, Learned)`` over all pages, with what the corpus taught about each."""
+    m = model(pages, text_col)
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    sc = pages.sparkSession.sparkContext
+    if bytes_of(m) <= runtime.HAND_OVER:
+        shared = sc.broadcast([tuple(r) for r in m.collect()])  # within the bound
+
+        def run(rows):
+            learned = Learned(shared.value)
+            for i, t in rows:
+                yield from fn(i, t, learned)
+
+        return flat_map(rows, run, schema)
+    shared = sc.broadcast(_bitmap(m))
+
+    def ask(rows):
+        bits, blocks = shared.value
+        for page, t in rows:
+            for kind, key in {*keys_of(t)} if t else ():
+                at = _key_hash(kind, key) % bits
+                if (block := blocks.get(at >> 15)) is not None and block[(at & 32767) >> 3] >> (at & 7) & 1:
+                    yield page, kind, key
+
+    rows = rows.withColumn("_page", F.xxhash64("_id", "_text"))
+    asked = flat_map(rows.select("_page", "_text"), ask, "_page bigint, kind string, key string").distinct()
+    known = asked.join(m, ["kind", "key"]).groupBy("_page").agg(F.collect_list(F.struct("kind", "key", "value")).alias("_known"))
+    joined = rows.join(known, "_page", "left").select("_id", "_text", "_known")
+
+    def run_each(rows):
+        for i, t, known in rows:
+            yield from fn(i, t, Learned((e["kind"], e["key"], e["value"]) for e in known or ()))
+
+    return flat_map(joined, run_each, schema)
+
+
+def found(pages: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
+    """(id, kind, line_no) of divided words, heads and feet, page numbers and misread lines.
+
+    Null or empty text gives no row; a row that is repeated gives its rows again.
+    """
+
+    def run(i, t, learned):
+        for kind, n in sorted({*Page(t, learned).marks()}) if t else ():
+            yield i, kind, n + 1
+
+    return apply(pages, run, f"`{id_col}` {dict(pages.dtypes)[id_col]}, kind string, line_no int", id_col, text_col)
 
 
 def repaired(pages: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
     """(id, text) with every page repaired; null stays null, empty stays empty."""
-    m = model(pages, text_col)
-    kind = dict(pages.dtypes)[id_col]
-    blocks = [r for b in shared_blocks(m, BLOCK) for r in b]
-    shared = pages.sparkSession.sparkContext.broadcast(_parts(blocks))
 
-    def run(rows):
-        fix, comp, inner = shared.value
-        for i, t in rows:
-            yield i, repair(t, fix, comp, inner) if t else t
+    def run(i, t, learned):
+        yield i, Page(t, learned).text() if t else t
 
-    return flat_map(pages.select(id_col, text_col), run, f"`{id_col}` {kind}, text string")
+    return apply(pages, run, f"`{id_col}` {dict(pages.dtypes)[id_col]}, text string", id_col, text_col)
