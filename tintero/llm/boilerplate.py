@@ -23,6 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tintero.functions.text import let
 from tintero.llm.canonical import canonical, with_canonical
 from tintero.runtime import checkpoint, hand_over
 
@@ -41,11 +42,15 @@ def source_of(file_col) -> Column:
     return F.lower(F.split(file_col, "[-_]", 2)[0])
 
 
-def _key(line: Column) -> Column:
-    """Identifier of a canonical line with enough letters, else null."""
-    letters = F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}]+", "")
-    few = (F.length(letters) < MIN_LETTERS) | (F.length(F.regexp_replace(letters, r"\p{M}+", "")) < MIN_LETTERS)
-    return F.when(F.length(line) >= MIN_LETTERS, F.when(~few, F.xxhash64(letters)))
+def _letters(line: Column) -> Column:
+    """The letters of a canonical line, with their marks."""
+    return F.regexp_replace(line, r"[^\p{L}\p{M}]+", "")
+
+
+def _key(letters: Column) -> Column:
+    """Identifier of a line's letters, null if they are too few."""
+    few = (F.length(letters) < MIN_LETTERS) | (letters.rlike(r"\p{M}") & (F.length(F.regexp_replace(letters, r"\p{M}+", "")) < MIN_LETTERS))
+    return F.when(~few, F.xxhash64(F.lower(letters)))
 
 
 def _source_documents(pages: DataFrame, file_col: str) -> DataFrame:
@@ -60,7 +65,9 @@ def _lines(pages: DataFrame, id_col: str, file_col: str, text_col: str) -> DataF
     q = lambda c: F.col(f"`{c}`")
     rows = pages.where(q(file_col).isNotNull() & (q(text_col) != "")).select(q(id_col).alias("id"), F.xxhash64(q(id_col), q(file_col), q(text_col)).alias("page"), F.xxhash64(source_of(q(file_col))).alias("src"), F.xxhash64(q(file_col)).alias("doc"), q(text_col).alias("_t"))
     lines = with_canonical(rows, "_t", "_c").select("id", "page", "src", "doc", F.posexplode(F.split("_c", "\n", -1)).alias("n", "_line")).where(F.length("_line") >= MIN_LETTERS)
-    return lines.select("id", "page", "src", "doc", (F.col("n") + 1).alias("line_no"), _key(F.col("_line")).alias("line")).where("line IS NOT NULL")
+    # Behind generators, letters and identifier are computed once for each line.
+    lines = lines.select("id", "page", "src", "doc", "n", F.inline(F.array(F.struct(_letters(F.col("_line")).alias("_w"))))).where(F.length("_w") >= MIN_LETTERS)
+    return lines.select("id", "page", "src", "doc", (F.col("n") + 1).alias("line_no"), F.inline(F.array(F.struct(_key(F.col("_w")).alias("line"))))).where("line IS NOT NULL")
 
 
 def _frequent(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
@@ -136,7 +143,7 @@ def without_repeated(pages: DataFrame, id_col: str = "page_id", file_col: str =
     lists = hand_over(checkpoint(p.elements().groupBy("src").agg(F.collect_set("line").alias("_freq"))))
     rows = pages.select(q(id_col).alias("_id"), q(text_col).alias("_t"), F.xxhash64(F.coalesce(source_of(q(file_col)), F.lit(""))).alias("src"), q(file_col).isNull().alias("_none"))
     j = with_canonical(rows, "_t", "_c").join(lists, "src", "left")
-    gone = F.when(F.col("_freq").isNotNull() & ~F.col("_none"), F.transform(F.split("_c", "\n", -1), lambda x: F.coalesce(F.array_contains("_freq", _key(x)), F.lit(False))))
+    gone = F.when(F.col("_freq").isNotNull() & ~F.col("_none"), F.transform(F.split("_c", "\n", -1), lambda x: F.when(F.length(x) >= MIN_LETTERS, let(_letters(x), lambda w: F.coalesce(F.array_contains("_freq", _key(w)), F.lit(False)))).otherwise(False)))
     j = j.select("_id", "_t", F.inline(F.array(F.struct(gone.alias("_gone")))))
     n = F.coalesce(F.size(F.filter("_gone", lambda x: x)), F.lit(0))
     kept = F.array_join(F.filter(F.split("_t", "\n", -1), lambda x, i: ~F.get("_gone", i)), "\n")

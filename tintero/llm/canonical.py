@@ -7,8 +7,7 @@ form (quick check "no") and those that may compose with what stands before them
 second parts of composed Indic vowels).  Per text, only runs of unstable code
 points are isolated, widened to their boundary context (the letters and marks
 around them), normalised and spliced back; the rest is copied unchanged.  On
-tables, texts whose only unstable code points change by themselves, whatever
-stands beside them, are folded in the JVM; only the others enter Python.
+tables, only texts with a code point that may be unstable enter Python.
 
 Canonical form: NFC; width forms and Latin ligatures folded; every space
 separator becomes U+0020; invisible format characters removed; the ordinal sign
@@ -24,7 +23,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintero.llm.arrow import flat_map
@@ -171,40 +170,29 @@ def _words(seg: str) -> str:
 
 
 @lru_cache(1)
-def _folds() -> tuple[str, str]:
-    """Code points of the basic plane that become a space, a degree sign or nothing by themselves, and what they become."""
-    one = [chr(c) for c in _PLANES if c < 0x10000 and len(_fold(chr(c))) == 1 and _fold(chr(c)) in " °" and _fold(chr(c)) != chr(c)]
-    none = [chr(c) for c in _PLANES if c < 0x10000 and _fold(chr(c)) == ""]
-    return "".join(one + none), "".join(map(_fold, one))
+def _unusual() -> str:
+    """Java pattern: a code point that is not among the stable ones of the usual blocks.
 
-
-@lru_cache(1)
-def _java_classes() -> tuple[str, str]:
-    """Java patterns: a code point that folds by itself, and one that is not among the stable ones of the usual blocks.
-
-    The first class lets the plain text pass at once; only what it stops at is looked up in the long one.
+    The first class lets the plainest text pass at once; only what it stops at is looked up in the long one.
     """
-    usual = [*(c for c in _PLANES if (c < 0x250 or 0x2010 <= c < 0x2800 or 0x3041 <= c < 0x3100 or 0x4E00 <= c < 0xA000) and not _unstable(c))]
-    write = lambda points: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(points))
-    return rf"[^\x{{0}}-\x{{9f}}](?<=[{write(sorted(map(ord, _folds()[0])))}])", rf"[^\x{{0}}-\x{{9f}}](?<![{write(usual)}])"
+    usual = [c for c in _PLANES if (c < 0x250 or 0x2010 <= c < 0x2800 or 0x3041 <= c < 0x3100 or 0x4E00 <= c < 0xA000) and not _unstable(c)]
+    listed = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(usual))
+    return rf"[^\x{{0}}-\x{{9f}}](?<![{listed}])"
 
 
 def with_canonical(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     """``df`` with the canonical form of a text column.
 
-    Texts that hold only stable code points and such as fold by themselves are
-    done in the JVM; only those in which code points act on each other enter
-    Python.  Null stays null; no column of ``df`` may be called ``out_col``.
+    Texts of stable code points only stay in the JVM as they are; the others
+    enter Python.  Null stays null; no column of ``df`` may be called ``out_col``.
     """
-    folding, unusual = _java_classes()
     text = F.col(text_col)
-    folded: Column = F.when(text.rlike(folding), F.translate(text, *_folds())).otherwise(text)
-    hard = F.coalesce(folded.rlike(unusual), F.lit(False))
+    hard = F.coalesce(text.rlike(_unusual()), F.lit(False))
     at = df.columns.index(text_col)
 
     def run(rows):
         for row in rows:
             yield *row, canonical(row[at])
 
-    easy = df.where(~hard).withColumn(out_col, folded)
+    easy = df.where(~hard).withColumn(out_col, text)
     return easy.unionByName(flat_map(df.where(hard), run, easy.schema))

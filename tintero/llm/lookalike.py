@@ -43,7 +43,7 @@ def lookalike_classes(df: DataFrame, id_col: str = "page_id", text_col: str = "t
     (rows that look the same and differ in characters).  Nothing is paired.
     Null texts belong to no class; texts that differ from no other one neither.
     """
-    p = fingerprints(df, id_col, text_col)
+    p = checkpoint(fingerprints(df, id_col, text_col))
     texts = checkpoint(lookalike_texts(p))
     total = texts.groupBy("look").agg(F.count("*").alias("n_texts"), F.sum("n_rows").alias("_all"))
     t = texts.join(total, "look").select("look", "raw", "n_texts", (F.col("_all") - F.col("n_rows")).alias("n_links"))
@@ -58,7 +58,7 @@ def lookalike_pairs(df: DataFrame, id_col: str = "page_id", text_col: str = "tex
     then given their rows: copies of one text are never compared, and classes of
     mere copies (empty texts included) are gone before.
     """
-    p = fingerprints(df, id_col, text_col)
+    p = checkpoint(fingerprints(df, id_col, text_col))
     texts = checkpoint(lookalike_texts(p)).select("look", "raw")
     rows = checkpoint(p.join(texts, ["look", "raw"], "left_semi").distinct())
     a = texts.withColumnRenamed("raw", "raw_a").join(texts.withColumnRenamed("raw", "raw_b"), "look").where("raw_a < raw_b").select("raw_a", "raw_b")
