@@ -75,7 +75,7 @@ def test_what_is_found_is_repaired(spark):
         assert found.get(i, set()) == {(k, n + 1) for k, n in p.marks()} and repaired[i] == p.text()
         for kind, n in p.marks():
             line = p.lines[n].split()
-            out = [s._restore(w, m.fix) for w in p.kept[n]]
+            out = [s._restore(w, m.fix) for w in p.kept(n)]
             assert n in p.gone or kind == "hyphen" or out != line or n in p.divided or n - 1 in p.divided, (i, kind, n)
 
 

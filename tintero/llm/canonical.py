@@ -102,8 +102,12 @@ def _ranges(points) -> list[tuple[int, int]]:
 
 @lru_cache(1)
 def unstable_run() -> re.Pattern:
-    """Pattern of runs of unstable code points, compiled from the properties above."""
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(filter(_unstable, _PLANES))) + "]+")
+    """Pattern of runs of unstable code points, compiled from the properties above.
+
+    Those above the basic plane are few and far between: all of them are looked at, as one range.
+    """
+    basic = [c for c in _PLANES if c < 0x10000 and _unstable(c)]
+    return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in _ranges(basic)) + "\U00010000-\U000fffff]+")
 
 
 _LETTERS = re.compile("(?:[^\\W_]|[\\u0300-\\u036f])+")

@@ -314,7 +314,7 @@ class Page:
         heads = {i for b in edge if not any(_key(lines[i]) in learned.inner for i in b) for i in b}
         self.gone, self.learned = dict.fromkeys(heads, "header") | dict.fromkeys(numbers, "page_no"), learned
         self.divided, self.compound, self.ocr = set(), set(), set()
-        self.kept: list[list[str]] = []
+        self.parts: list[tuple] = []  # per line its tokens, where its own words begin and end, and whether a lone bar is noise
         # A lone bar is a stray mark inside a paragraph, but parts the fields of a head.
         inside = {i for b in self.blocks if len(b) > 2 for i in b} - heads
         after = False  # the line before ends inside a word
@@ -323,14 +323,13 @@ class Page:
             pair = _divided(lines, cut, i)
             last = len(tokens) - (pair is not None)
             body = tokens[after:last] if last > after else []
-            bar = i in inside and body.count("|") == 1
+            bar = "|" in body and i in inside and body.count("|") == 1
+            self.parts.append((tokens, min(after, last), last, bar))
             if i in numbers:
-                self.kept.append([])
                 after = pair is not None
                 continue
             if bar or any(map(learned.bad.__getitem__, body)):
                 self.ocr.add(i)
-            self.kept.append([*tokens[: min(after, last)], *(t for t in body if not (_stray(t) or (bar and t == "|"))), *tokens[max(last, 0) :]])
             if pair is not None:
                 (self.compound if pair[0] + "\t" + pair[1] in learned.compound else self.divided).add(i)
                 meant = next((learned.fix[j] for j in (pair[0] + pair[1], pair[0] + "-" + pair[1]) if j in learned.fix), None)
@@ -346,6 +345,11 @@ class Page:
         yield from (("hyphen", i) for i in self.divided)
         yield from (("ocr", i) for i in self.ocr)
 
+    def kept(self, i: int) -> list[str]:
+        """The tokens of line i without stray marks; halves of divided words stay as they are."""
+        tokens, a, b, bar = self.parts[i]
+        return [*tokens[:a], *(t for t in tokens[a:b] if not (_stray(t) or (bar and t == "|"))), *tokens[b:]]
+
     def text(self) -> str:
         """The page as continuous paragraphs: edge lines gone, words rejoined and corrected."""
         paragraphs = []
@@ -355,7 +359,7 @@ class Page:
             for i in b:
                 if i in self.gone:
                     continue
-                toks = self.kept[i]
+                toks = self.kept(i)
                 if glue is not None and words and toks:
                     words[-1] += glue + toks[0]
                     toks = toks[1:]
