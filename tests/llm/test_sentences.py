@@ -49,7 +49,52 @@ def test_table(spark):
 
 
 def test_lattice_prefers_known_words():
-    assert s.word_lattice("การลงทุน", ["การ", "ลงทุน"]) == ["การ", "ลงทุน"]
+    assert s.word_lattice("การลงทุน", frozenset(["การ", "ลงทุน"]), 5) == ["การ", "ลงทุน"]
+    words, longest = s.dictionary()
+    assert len(words) > 250 and longest < 40
+
+
+# Sentences without spaces and stops between them.
+JOINED = [
+    ["委员会认为今年的产量将会上升了", "政府没有公布新的数据吗"], ["这个计划什么时候开始呢", "我们没有收到通知"], ["他们都同意了", "但是银行还没有回答"], ["政府通过了我们的提案"], ["上升了政府支出"], ["为了国家的未来他们必须等待"],
+    ["会議は終わりました", "政府は支出を増やします"], ["予算は増えます", "しかし税収は減ります"], ["上昇した政府の支出は大きいです"], ["問題はありませんが予算は足りません"], ["結果は良いです", "ただし注意が必要です"],
+    ["ผมไปตลาดแล้วครับ", "เราจะกลับบ้านพรุ่งนี้"], ["คุณเห็นด้วยไหม", "แต่รัฐบาลยังไม่ตอบ"], ["ຂ້ອຍບໍ່ຮູ້ເດີ້", "ແຕ່ລັດຖະບານຈະຕອບ"], ["រដ្ឋាភិបាលមិនបានឆ្លើយទេ", "យើងនឹងរង់ចាំ"], ["အစိုးရကပြောပါတယ်", "ဒါပေမဲ့သူတို့မလာဘူး"],
+]
+
+
+@pytest.mark.parametrize("parts", JOINED)
+def test_gaps_between_words(parts):
+    ends, at = [], 0
+    for p in parts:
+        at += len(p)
+        ends.append(at)
+    assert s.unit_ends("".join(parts)) == ends
+
+
+def test_spaces_of_spaceless_scripts():
+    assert s.unit_ends("ที่ประชุมเห็นชอบ ที่ประชุมยังเสนอ") == [16, 33]
+    assert s.unit_ends("สภาเห็นชอบ และเสนอ") == [18]
+    assert s.unit_ends("រដ្ឋាភិបាលឆ្លើយ។ យើងរង់ចាំ។") == [16, 27]
+
+
+def test_no_window_decides():
+    """Words, gaps and texts of any length are judged alike."""
+    for n in (1, 39, 41, 300, 5000):
+        assert s.unit_ends("www.cifras.example/" + "a" * n + ".Zeta sigue.") == [31 + n]
+        assert s.unit_ends("Uno." + " " * n + "Dos.") == [4, 8 + n]
+        assert s.unit_ends("a@" + "b" * n + ".Zeta es un sitio.") == [n + 20]
+
+
+def test_time_is_linear():
+    import time
+
+    for part in ("การลงทุนภาครัฐจะฟื้นตัวอย่างช้าๆในปี2016 ", "El art. 77 (véase pág. 3) fija 1.234 y «5.678» casos. ", "委员会认为产量将会上升了政府没有公布数据。", "a.b" * 9, '"Sí." '):
+        took = []
+        for n in (4000, 16000):
+            t = time.process_time()
+            s.unit_ends(part * (n // 4))
+            took.append(time.process_time() - t)
+        assert took[1] < 10 * took[0] + 0.5, part
 
 
 def test_units_with_many_inner_stops_stay_whole():

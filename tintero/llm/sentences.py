@@ -3,20 +3,37 @@
 Method: spaced scripts get a *terminator lattice*: every terminator with its
 closing marks is a node scored by what stands before it (abbreviation, initial,
 number) and after it (opening word, case); edges are the spans between nodes,
-penalised where they leave quotes or brackets open or hold no words; the best
-path gives the units.  Spaceless scripts are cut into words by a dictionary
-word lattice (cheapest path over known words), and a gap parts two sentences
-according to the final particle before it and the opening word after it.
+penalised where they hold no words; the best path gives the units.  Spaceless
+scripts (Thai, Lao, Khmer, Burmese, Chinese, Japanese) are cut into words by a
+dictionary word lattice (cheapest path over known words); the gaps between words
+are then classified by the final particle before and the opening words after
+them, so that sentences part without stops and spaces, too.  Everything is
+linear in the length of a text.
+
+Dictionary: the words of these scripts in a public tokenizer's vocabulary (some
+700 of two characters and more for Chinese, Japanese and Thai, none for the
+others), and the closed classes below: particles, openings, markers.  Words that
+are in neither stay single characters; gaps are judged by the closed classes.
 """
 
 from __future__ import annotations
 
+import base64
+import os
 import re
+import unicodedata
+from bisect import bisect_left
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintero.llm.arrow import flat_map
+from tintero.runtime import checkpoint, hand_over
+
+#: Folder of the public tokenizers' vocabulary files, and the file whose words the dictionary takes.
+TOKENIZERS = os.environ.get("TINTERO_TOKENIZERS", "/opt/tokenizers")
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 # Abbreviations that need a continuation.
 BOUND_ABBREVIATIONS = frozenset(
@@ -31,19 +48,40 @@ OPENING_WORDS = frozenset(
     "el la los las un una en de según si cuando para por entre además asimismo finalmente con sin no se al es hacia desde durante ante tras aun aunque mientras como a sobre este esta estos estas hay the a an in on at for if when while however "
     "this that these those it we they o os as um uma em no na se para por quando".split()
 )
-# Words of the dictionary lattices.
-THAI_WORDS = "การ ความ คณะกรรมการ สภา รัฐบาล รายได้ ดุล งบประมาณ กระทรวง ธนาคาร หนี้ สาธารณะ การคลัง ลงทุน ภาครัฐ ภาษี คาดว่า จะ เพิ่มขึ้น ลดลง ฟื้นตัว อย่าง ช้า ๆ ใน ปี ยัง อยู่ กรอบ กฎหมาย เสนอ ให้ ทบทวน รายจ่าย โครงการ ต่ำกว่า สูงกว่า เป้าหมาย และ หรือ แต่ ที่ ซึ่ง ว่า ของ กับ โดย จาก เพื่อ เพราะ ได้ ไม่ เป็น มี นี้ นั้น แล้ว ครับ ค่ะ คะ นะ ไหม หรือไม่ ด้วย".split()
-THAI_CONTINUES = frozenset("และ หรือ ที่ ซึ่ง ๆ ของ กับ".split())
-HAN_FINALS = frozenset("了 吗 呢 吧 啊 的 です ます ました でした ません だ た る か よ ね".split())
-HAN_WORDS = "认为 预计 指出 提醒 表示 财政 委员会 政府 中央 银行 部门 公共 债务 投资 收入 支出 が は を に の です ます ました ません でした 見込み 可能性 あります と 述べ".split()
-
-_STOP = re.compile(r"(?:\.{2,}|[.!?…।؟۔]+|[。！？｡]+)[\"'”’»›)\]}）」』】²³¹⁴⁵⁶⁷⁸⁹⁰]*")
-_TOKEN_BEFORE = re.compile(r"[^\s«“\"(\[¿¡—–/]*$")
+# Fixed values, per spaceless script: final particles (strong, weak), words that open a sentence by themselves, subjects that
+# open one if a marker follows, and these markers.
+CLOSED = {
+    "thai": (
+        "ครับ ค่ะ คะ จ้ะ จ้า นะ นะครับ นะคะ ไหม มั้ย หรือเปล่า หรือไม่ แล้วครับ แล้วค่ะ", "แล้ว เลย ด้วย", "แต่ ดังนั้น อย่างไรก็ตาม นอกจากนี้ เพราะฉะนั้น ถ้า หาก ต่อมา ทั้งนี้",
+        "ผม ฉัน ดิฉัน เรา เขา เธอ มัน พวกเรา พวกเขา คุณ คณะกรรมการ รัฐบาล สภา ธนาคาร กระทรวง ประธาน ประชาชน", "จะ ได้ ไม่ ยัง กำลัง เคย ต้อง คาดว่า เสนอ บอก กล่าว เป็น มี ควร",
+    ),
+    "lao": ("ບໍ່ ບໍ ເດີ້ ເນາະ ຫວາ ດອກ", "ແລ້ວ", "ແຕ່ ດັ່ງນັ້ນ ນອກຈາກນັ້ນ ຖ້າ", "ຂ້ອຍ ຂ້າພະເຈົ້າ ພວກເຮົາ ລາວ ເຂົາ ເຂົາເຈົ້າ ລັດຖະບານ ຄະນະກຳມະການ ທະນາຄານ ປະຊາຊົນ", "ຈະ ໄດ້ ບໍ່ ຍັງ ກຳລັງ ຕ້ອງ ເປັນ ມີ ຄວນ"),
+    "khmer": ("ទេ ណា", "ហើយ ណាស់", "ប៉ុន្តែ ដូច្នេះ ប្រសិនបើ លើសពីនេះ", "ខ្ញុំ យើង គាត់ នាង ពួកគេ រដ្ឋាភិបាល គណៈកម្មាធិការ ធនាគារ ប្រជាជន", "នឹង បាន មិន កំពុង ត្រូវ ជា មាន គួរ"),
+    "burmese": ("ပါတယ် ပါသည် တယ် လား မည် ပါပြီ", "သည်", "သို့သော် ဒါပေမဲ့ ထို့ကြောင့် ထို့ပြင်", "ကျွန်တော် ကျွန်မ သူ သူတို့ အစိုးရ ကော်မတီ ဘဏ်", "က သည် တို့"),
+    "chinese": (
+        "吗 呢 吧 啦 嘛 呀 啊 了", "", "但是 但 然而 不过 因此 所以 于是 此外 另外 同时 如果 虽然 因为 由于 首先 其次 最后 例如 总之",
+        "我 我们 你 你们 他 她 它 他们 她们 这 那 这些 那些 大家 人们 政府 委员会 银行 公司 部门 国家 专家 记者 市场 总统 部长 议会 企业 居民", "没有 没 不 将 将会 会 已 已经 正在 是 要 能 可以 可能 应 应该 必须 认为 表示 指出 预计 提醒 说 也 都 就 还 仍",
+    ),
+    "japanese": (
+        "です ます ました でした ません でしょう ましょう ください ですか ますか ましたか でしたか ですね ますね ですよ ますよ ませんでした", "だ た だった である よ ね か", "しかし また そして だから なお ただし さらに そのため 例えば 一方 ところが それで つまり したがって でも",
+        "私 私たち 彼 彼女 彼ら これ それ あれ 政府 委員会 銀行 会社 市場 議会 国民 評議会", "は が も",
+    ),
+}
+# Words after a space that continue a Thai or Lao sentence.
+CONTINUES = frozenset("และ หรือ ที่ ซึ่ง ๆ ของ กับ ແລະ ຫຼື ທີ່ ຂອງ ກັບ".split())
+_SCRIPT = {"thai": "\u0e00-\u0e7f", "lao": "\u0e80-\u0eff", "khmer": "\u1780-\u17ff", "burmese": "\u1000-\u109f", "han": "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff々"}
+_SPACELESS = {k: re.compile(f"[{v}]") for k, v in _SCRIPT.items()}
+_ANY_SPACELESS = re.compile("[" + "".join(_SCRIPT.values()) + "]")
+_KANA = re.compile("[\u3041-\u3096\u30a1-\u30fa]")
+
+_STOP = re.compile(r"(?:\.{2,}|[.!?…।؟۔។៕။]+|[。！？｡]+)[\"'”’»›)\]}）」』】²³¹⁴⁵⁶⁷⁸⁹⁰]*")
+_BREAK = re.compile(r"[\s«“\"(\[¿¡—–/]")
 _PAIRS = {"«": "»", "“": "”", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "‹": "›"}
 _CLOSERS = {v: k for k, v in _PAIRS.items()}
 _OPENING = "«“\"'‘(¿¡[—–-「『（‹•"
-_THAI = re.compile("[฀-๿]")
-_HAN = re.compile("[぀-ヿ一-鿿]")
+_PAST_SPACE = re.compile(r"\s*")
+_PAST_OPENING = re.compile("[" + re.escape(_OPENING) + "]*")
+_INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
 _WORD_NEXT = re.compile(r"[^\W_]+")
 
 
@@ -68,64 +106,85 @@ def _depths(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def _score(text: str, m: re.Match, upper: bool) -> float:
-    """How much the stop at ``m`` looks like the end of a sentence; positive means it does."""
-    a, b = m.span()
-    mark = text[a]
-    rest = text[b:]
-    after = rest.lstrip()
-    if not after:
-        return 9.0
-    gap = len(rest) - len(after)
-    if mark in "。！？｡":
-        return -3.0 if after[0] in "，、,」』”）)と的" else 6.0
-    if mark in "।؟۔":
-        return 6.0 if gap or after[0] in _OPENING else 2.0
-    nxt = after.lstrip(_OPENING)[:1]
-    opened = after[0] in "«“\"¿¡‘—–"
-    token = _TOKEN_BEFORE.search(text, max(0, a - 40), a).group()
-    word = token.lower()
-    if nxt.islower() and not (opened and after[0] in "¿¡"):
-        return -6.0
-    if after[0] in ",;:)»”":
-        return -6.0
-    starts = (nxt.isupper() or nxt.isdigit() or opened or (nxt.isalpha() and not nxt.islower())) and nxt != ""
-    if mark in "!?…" or m.group().startswith(".."):
-        return 4.0 if gap and starts else (2.0 if starts and nxt.isupper() else -4.0)
-    closed = b - a > 1 and text[b - 1] in "\"'”’»)]²³¹"
-    if not gap:
-        if closed and nxt.isupper():
-            return 3.0
-        # No space: two sentences run together, or part of a number, an address or an abbreviation.
-        if "/" in text[max(0, a - 30) : a].split(" ")[-1] or word.startswith("www") or nxt.isdigit() or "@" in token:
-            return -6.0
-        if not (nxt.isupper() and len(after) > 1) or after[0] in "°º":
+class _Text:
+    """A text with the positions that its stops ask for, each found in logarithmic time."""
+
+    def __init__(self, text: str):
+        self.text = text
+        letters = sum(map(str.isalpha, text))
+        self.upper = letters > 0 and sum(map(str.isupper, text)) > 0.8 * letters
+        self.breaks = [m.start() for m in _BREAK.finditer(text)]
+        self.slashes, self.ats = ([m.start() for m in re.finditer(c, text)] for c in "/@")
+        self.spaces = [m.start() for m in re.finditer(" ", text)]
+
+    @staticmethod
+    def before(at: list[int], i: int) -> int:
+        """The last of the ascending positions before ``i``, or -1."""
+        k = bisect_left(at, i)
+        return at[k - 1] if k else -1
+
+    def score(self, a: int, b: int) -> float:
+        """How much the stop from ``a`` to ``b`` looks like the end of a sentence; positive means it does."""
+        text, upper, mark = self.text, self.upper, self.text[a]
+        at = _PAST_SPACE.match(text, b).end()
+        if at == len(text):
+            return 9.0
+        first, gap = text[at], at - b
+        if mark in "。！？｡":
+            return -3.0 if first in "，、,」』”）)と的" else 6.0
+        if mark in "।؟۔។៕။":
+            return 6.0 if gap or first in _OPENING else 2.0
+        past = _PAST_OPENING.match(text, at).end()
+        nxt, second = text[past : past + 1], text[past + 1 : past + 2]
+        opened = first in "«“\"¿¡‘—–"
+        begin = self.before(self.breaks, a) + 1
+        # Longer words are in none of the lists.
+        token = text[begin:a] if a - begin <= 40 else text[a - 41 : a]
+        word = token.lower()
+        if nxt.islower() and not (opened and first in "¿¡"):
             return -6.0
-        second = after.lstrip(_OPENING)[1:2]
-        if word in FREE_ABBREVIATIONS and second.islower():
-            return 2.0
-        if len(token) < 2 or word in BOUND_ABBREVIATIONS or (token.isupper() and len(token) < 3 and not upper):
+        if first in ",;:)»”":
             return -6.0
-        return 3.0 if (second.islower() or second == " " or upper) and (token[-1:].isalnum() or token[-1:] in "%)") else -6.0
-    if closed:
-        return 5.0
-    if word in FREE_ABBREVIATIONS or (re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word) is not None and word not in BOUND_ABBREVIATIONS):
-        w = _WORD_NEXT.match(after.lstrip(_OPENING))
-        if upper:
-            return 2.0 if opened or (w and w.group().lower() in OPENING_WORDS and word not in ("uu", "p.p")) else -3.0
-        return 2.5 if starts else -3.0
-    if word in BOUND_ABBREVIATIONS:
-        return -5.0
-    if len(token) == 1 and token.isalpha():
-        if token.islower() or not token.isascii():
-            prev = text[: a - 1].rstrip()
-            return 2.0 if starts and (prev.endswith(("a.", "p.")) or not token.isascii()) and token in "m" else -4.0 if not _caseless(token) else 1.0
-        return -5.0
-    if token == "" and text[a - 1 : a] in "%)»”\"":
-        return 4.0
-    if re.fullmatch(r"\(?(?:\d{1,2}|[ivxlc]{1,4}|[a-z])", word) and _first_token(text, a - len(token)):
-        return -5.0
-    return 5.0 if starts else -4.0
+        starts = (nxt.isupper() or nxt.isdigit() or opened or (nxt.isalpha() and not nxt.islower())) and nxt != ""
+        if mark in "!?…" or text.startswith("..", a):
+            return 4.0 if gap and starts else (2.0 if starts and nxt.isupper() else -4.0)
+        closed = b - a > 1 and text[b - 1] in "\"'”’»)]²³¹"
+        if not gap:
+            if closed and nxt.isupper():
+                return 3.0
+            # No space: two sentences run together, or part of a number, an address or an abbreviation.
+            slash = self.before(self.slashes, a)
+            if slash > self.before(self.spaces, a) or text[begin : begin + 3].lower() == "www" or nxt.isdigit() or self.before(self.ats, a) >= begin:
+                return -6.0
+            if not (nxt.isupper() and at + 1 < len(text)) or first in "°º":
+                return -6.0
+            if word in FREE_ABBREVIATIONS and second.islower():
+                return 2.0
+            if len(token) < 2 or word in BOUND_ABBREVIATIONS or (token.isupper() and len(token) < 3 and not upper):
+                return -6.0
+            return 3.0 if (second.islower() or second == " " or upper) and (token[-1:].isalnum() or token[-1:] in "%)") else -6.0
+        if closed:
+            return 5.0
+        if word in FREE_ABBREVIATIONS or (word not in BOUND_ABBREVIATIONS and _INITIALS.fullmatch(text, begin, a) is not None):
+            w = _WORD_NEXT.match(text, past)
+            if upper:
+                return 2.0 if opened or (w and w.group().lower() in OPENING_WORDS and word not in ("uu", "p.p")) else -3.0
+            return 2.5 if starts else -3.0
+        if word in BOUND_ABBREVIATIONS:
+            return -5.0
+        if len(token) == 1 and token.isalpha():
+            if token.islower() or not token.isascii():
+                k = a - 2
+                while k > 0 and text[k].isspace():
+                    k -= 1
+                half = text[max(k - 1, 0) : k + 1] in ("a.", "p.")
+                return 2.0 if starts and (half or not token.isascii()) and token in "m" else -4.0 if not _caseless(token) else 1.0
+            return -5.0
+        if token == "" and text[a - 1 : a] in "%)»”\"":
+            return 4.0
+        if re.fullmatch(r"\(?(?:\d{1,2}|[ivxlc]{1,4}|[a-z])", word) and _first_token(text, a - len(token)):
+            return -5.0
+        return 5.0 if starts else -4.0
 
 
 def _caseless(ch: str) -> bool:
@@ -133,28 +192,32 @@ def _caseless(ch: str) -> bool:
 
 
 def _first_token(text: str, at: int) -> bool:
-    """Nothing but space, or a stop, stands before ``at``: the token is an enumerator."""
-    before = text[:at].rstrip(" \t(")
-    return before == "" or before[-1] in "\n"
+    """Nothing but blanks stands between ``at`` and the begin of its line: the token is an enumerator."""
+    while at > 0 and text[at - 1] in " \t(":
+        at -= 1
+    return at == 0 or text[at - 1] == "\n"
 
 
 def _spaced(text: str) -> list[int]:
     """Ends (exclusive) of the units of a text in a spaced script: best path through the terminator lattice."""
-    spans = _depths(text)
-    letters = [c for c in text if c.isalpha()]
-    upper = bool(letters) and sum(c.isupper() for c in letters) > 0.8 * len(letters)
-    nodes = []
-    for m in _STOP.finditer(text):
+    stops = list(_STOP.finditer(text))
+    t = _Text(text) if stops else None
+    spans = sorted(_depths(text)) if stops else []
+    openers = {o for o, _ in spans}
+    nodes, k, reach = [], 0, -1
+    for m in stops:
         a, b = m.span()
+        while k < len(spans) and spans[k][0] < a:
+            reach = max(reach, spans[k][1])
+            k += 1
         # Inside a quote or bracket that closes after this stop: the quoting sentence goes on.
-        if any(o < a and c >= b for o, c in spans):
+        if reach >= b:
             continue
         # Marks after the stop that open again do not belong to it.
         e = b
-        while e - 1 > a and text[e - 1] == '"' and any(o == e - 1 for o, _ in spans):
+        while e - 1 > a and text[e - 1] == '"' and e - 1 in openers:
             e -= 1
-        s = _score(text, m, upper) if e == b else _score(text, _Cut(text, a, e), upper)
-        nodes.append((e, s))
+        nodes.append((e, t.score(a, e)))
     end = len(text.rstrip())
     if not nodes or nodes[-1][0] < end:
         nodes.append((end, 9.0))
@@ -166,8 +229,7 @@ def _spaced(text: str) -> list[int]:
     value, word = [0.0], [_next_word(text, 0)]
     for j, (e, s) in enumerate(nodes, 1):
         while ready < j and word[ready] < e:
-            if word[ready] - ends[ready] < 200:
-                worded = max(worded, (value[ready], ready))
+            worded = max(worded, (value[ready], ready))
             ready += 1
         top, arg = max(worded, (bare[0] - 20.0, bare[1]))
         best.append(top + s - passed / 2)
@@ -188,31 +250,31 @@ def _next_word(text: str, at: int) -> int:
     return next((i for i in range(at, len(text)) if text[i].isalnum()), len(text))
 
 
-class _Cut:
-    """A match with another end."""
-
-    def __init__(self, text, a, b):
-        self._g, self._s = text[a:b], (a, b)
-
-    def span(self):
-        return self._s
-
-    def group(self):
-        return self._g
+@lru_cache(4)
+def dictionary(folder: str = "") -> tuple[frozenset[str], int]:
+    """Words of the spaceless scripts: the closed classes and those of the tokenizer's vocabulary; and the longest one's length."""
+    words = {w for lists in CLOSED.values() for words in lists for w in words.split()} | CONTINUES
+    path = os.path.join(folder or TOKENIZERS, VOCABULARY)
+    if os.path.exists(path):
+        one = re.compile("|".join(f"[{v}]+" for v in _SCRIPT.values()))
+        with open(path, "rb") as f:
+            for line in f:
+                w = base64.b64decode(line.split()[0]).decode("utf-8", "ignore").strip()
+                if len(w) > 1 and one.fullmatch(w) and not unicodedata.combining(w[0]):
+                    words.add(w)
+    return frozenset(words), max(map(len, words))
 
 
-def word_lattice(text: str, words: list[str]) -> list[str]:
+def word_lattice(text: str, words: frozenset[str], longest: int) -> list[str]:
     """Cheapest path over dictionary words; runs of unknown characters cost one each."""
-    by_first: dict[str, list[str]] = {}
-    for w in words:
-        by_first.setdefault(w[0], []).append(w)
     n = len(text)
     cost, step = [0.0] * (n + 1), [1] * (n + 1)
     for i in range(n - 1, -1, -1):
-        cost[i], step[i] = cost[i + 1] + 1.0, 1
-        for w in by_first.get(text[i], ()):
-            if text.startswith(w, i) and cost[i + len(w)] + 0.5 < cost[i]:
-                cost[i], step[i] = cost[i + len(w)] + 0.5, len(w)
+        best, size = cost[i + 1] + 1.0, 1
+        for k in range(1, min(longest, n - i) + 1):
+            if cost[i + k] + 0.5 < best and text[i : i + k] in words:
+                best, size = cost[i + k] + 0.5, k
+        cost[i], step[i] = best, size
     out, i = [], 0
     while i < n:
         out.append(text[i : i + step[i]])
@@ -220,41 +282,97 @@ def word_lattice(text: str, words: list[str]) -> list[str]:
     return out
 
 
-def _thai(text: str) -> list[int]:
-    """A space parts two sentences, unless the word after it continues the one before."""
-    ends = []
-    for m in re.finditer(r"\s+", text.rstrip()):
-        before, after = text[: m.start()], text[m.end() :]
-        first = word_lattice(after[:24], THAI_WORDS)[:1]
-        if not before.strip() or (first and first[0] in THAI_CONTINUES):
-            continue
-        if not _THAI.search(after.split(None, 1)[0]) or not _THAI.search(before.split()[-1]):
-            continue  # a number or a foreign name beside its words
-        ends.append(m.start())
-    return [*ends, len(text.rstrip())]
+_FINAL, _OPENS, _SUBJECT, _MARKER = ({k: frozenset(v[j].split()) for k, v in CLOSED.items()} for j in (0, 2, 3, 4))
+_WEAK_FINAL = {k: frozenset(v[1].split()) for k, v in CLOSED.items()}
+
+
+def gap_score(words: list[str], i: int, script: str) -> int:
+    """How much the gap before word ``i`` parts two sentences: the final particle before it and the opening after it.
+
+    A strong final counts 2, a weak one 1; a word that opens a sentence by
+    itself counts 3, a subject with its marker 2.  Neither alone parts anything.
+    """
+    last = words[i - 1]
+    # Longer finals count as ends of longer words, too.
+    final = 2 if last in _FINAL[script] or last.endswith(_LONG_FINAL[script]) else 1 if last in _WEAK_FINAL[script] else 0
+    if not final:
+        return 0
+    if words[i] in _OPENS[script]:
+        return final + 3
+    if words[i] in _SUBJECT[script] and i + 1 < len(words) and words[i + 1] in _MARKER[script]:
+        return final + 2
+    if script == "japanese" and _HAN_CHAR.match(words[i]):
+        # Any noun is a subject where its particle follows before another one does.
+        for w in words[i + 1 : i + 7]:
+            if w in _MARKER[script]:
+                return final + 2
+            if not _HAN_CHAR.match(w):
+                break
+    return final
+
 
+_LONG_FINAL = {k: tuple(w for w in v if len(w) > 1) for k, v in _FINAL.items()}
+_HAN_CHAR = re.compile("[\u3400-\u4dbf\u4e00-\u9fff々]")
+PARTS = 4
 
-def _han(text: str) -> list[int]:
-    """Stops part sentences; a bare gap does where a final particle stands before it."""
+
+def _spaceless(text: str, script: str) -> list[int]:
+    """Ends of the units of a text in a spaceless script: stops, spaces where the script uses them, and gaps between words."""
     ends = set(_spaced(text))
-    for m in re.finditer(r"[\s　]+", text.rstrip()):
-        before = text[: m.start()]
-        if before and _HAN.match(before[-1]) and m.end() < len(text) and _HAN.match(text[m.end()]):
-            last = word_lattice(before[-12:], [*HAN_WORDS, *HAN_FINALS])[-1]
-            inside = any(o < m.start() < c for o, c in _depths(text))
-            if last in HAN_FINALS and len(m.group()) == 1 and "\n" not in m.group() and not inside:
-                ends.add(m.start())
+    spans, k, reach = sorted(_depths(text)), 0, -1
+    words, longest = dictionary()
+    name = ("japanese" if _KANA.search(text) else "chinese") if script == "han" else script
+    last_word = ""
+    at = 0
+    for m in re.finditer(f"[{_SCRIPT[script]}]+", text):
+        while k < len(spans) and spans[k][0] < m.start():
+            reach = max(reach, spans[k][1])
+            k += 1
+        parts = word_lattice(m.group(), words, longest)
+        blank = text[at : m.start()]
+        if at and blank and blank.isspace() and reach < m.start() and _space_parts(name, blank, last_word, parts):
+            ends.add(at)
+        pos = m.start()
+        for i, w in enumerate(parts):
+            if i and reach < pos and gap_score(parts, i, name) >= PARTS:
+                ends.add(pos)
+            pos += len(w)
+        last_word, at = parts[-1], m.end()
+    if name in ("thai", "lao"):
+        ends |= set(_thai_spaces(text, words, longest))
     return sorted(ends)
 
 
+def _space_parts(name: str, blank: str, last: str, parts: list[str]) -> bool:
+    """Whether a space between two words of a spaceless script parts sentences: in Thai and Lao see below, else after a final particle."""
+    if name in ("thai", "lao"):
+        return False
+    return len(blank) == 1 and blank != "\n" and (last in _FINAL[name] or last in _WEAK_FINAL[name])
+
+
+def _thai_spaces(text: str, words: frozenset[str], longest: int):
+    """A space parts two sentences unless the word after it is sure to continue the one before, or foreign words or numbers stand beside it."""
+    run = re.compile(f"[{_SCRIPT['thai']}{_SCRIPT['lao']}]+")
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    has = [run.search(text, a, b) for a, b in tokens]
+    for (_, e), (b, _), before, after in zip(tokens, tokens[1:], has, has[1:]):
+        if before is None or after is None:
+            continue
+        first = word_lattice(after.group(), words, longest)[:2] if after.start() == b else []
+        if first and first[0] in CONTINUES and (len(first) == 1 or first[1] in words):
+            continue
+        yield e
+
+
 def unit_ends(text: str) -> list[int]:
     """Positions, from 1, of the last character of each sentence unit; none for blank text."""
     if not text.strip():
         return []
-    if _THAI.search(text) and 2 * len(_THAI.findall(text)) > sum(c.isalpha() for c in text):
-        return _thai(text)
-    if _HAN.search(text) and 2 * len(_HAN.findall(text)) > sum(c.isalpha() for c in text):
-        return _han(text)
+    if not text.isascii() and _ANY_SPACELESS.search(text):
+        letters = sum(map(str.isalpha, text))
+        for script, one in _SPACELESS.items():
+            if 2 * len(one.findall(text)) > letters:
+                return _spaceless(text, script)
     return _spaced(text)
 
 
@@ -276,13 +394,7 @@ def units(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> Data
     return flat_map(df.select(id_col, text_col), run, f"`{id_col}` {kind}, sentence_no int, start_pos int, end_pos int, sentence string")
 
 
-#: Ids of a selection that are sent to every executor at most; larger selections are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-
-
 def units_of(df: DataFrame, chosen: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
-    """Sentence units of the rows whose id stands in ``chosen``."""
-    ids = chosen.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    """Sentence units of the rows whose id stands in ``chosen``; few ids are sent to every task, many are joined by shuffle."""
+    ids = hand_over(checkpoint(chosen.select(id_col).where(F.col(id_col).isNotNull()).distinct()))
     return units(df.join(ids, id_col, "left_semi"), id_col, text_col)
