@@ -1,6 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tintero import runtime
 from tintero.llm import pieces as p
 
 
@@ -36,3 +37,15 @@ def test_table_cases(spark):
     assert n[2][0]["n_pieces"] == 1 and n[3][0]["n_pieces"] == 2 and n[4] == [] and [r["piece"] for r in n[5]] == [""]
     assert max(len(r["piece"]) for r in n[6]) <= 20
     assert p.pieces(df.limit(0), limits).count() == 0 and p.pieces(df, limits.limit(0)).where("n_pieces > 1").count() == 0
+
+
+def test_any_number_of_source_types(spark, monkeypatch):
+    """Every type has its own limit, however many there are, handed over or joined."""
+    limits = spark.createDataFrame([(f"t{i}", 10 + i % 7, 2) for i in range(20_000)] + [("*", 50, 4)], "source_type string, max_chars int, overlap_chars int")
+    df = spark.createDataFrame([(i, "palabra " * 3, f"t{i * 199 % 20_000}" if i % 5 else None) for i in range(300)], "row_id bigint, text string, source_type string")
+    want = sorted(map(tuple, p.pieces(df, limits).collect()))
+    for i, t, k in df.collect():
+        limit = 10 + int(k[1:]) % 7 if k else 50
+        assert [(r[3] - 1, r[3] - 1 + len(r[4])) for r in want if r[0] == i] == p.split(t, limit, 2 if k else 4)
+    monkeypatch.setattr(runtime, "HAND_OVER", 0)
+    assert sorted(map(tuple, p.pieces(df, limits).collect())) == want

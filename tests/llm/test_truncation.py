@@ -59,3 +59,23 @@ def test_marked_texts_are_cut_whatever_opens_them(spark):
     heads = [(9100 + i, f"Opinión sobre {x}", "3", None) for i, x in enumerate(["el gasto", "la sequía", "el plan", "las cuentas"])]
     got = found(spark, [*corpus(), *heads, (9201, "Opinión sobre la sequía y el ga…", "3", None), (9202, "Opinión sobre la regi�", "3", None), (9203, "Opinión sobre la regi&oacu", "3", None), (9204, "Opinión sobre las cue [...]", "3", None)])
     assert got == {9201, 9202, 9203, 9204}
+
+
+def test_tables_grow_with_the_corpus(spark, monkeypatch):
+    """Larger tables find the same on a small corpus; the size follows the number of values."""
+    assert [t.table_bits(n) for n in (0, 10**6, 3 * 10**6, 10**8, 10**12)] == [18, 18, 19, 20, 20]
+    rows = [*corpus(), (9001, "El gasto subió en la región. La junta revisó las cuen", "9-10", "scanned")]
+    want = found(spark, rows)
+    monkeypatch.setattr(t, "BITS", (20, 20))
+    assert found(spark, rows) == want == {9001}
+
+
+def test_a_large_word_list_is_refused(spark, monkeypatch):
+    from tintero import runtime
+
+    monkeypatch.setattr(runtime, "HAND_OVER", 100)
+    try:
+        found(spark, corpus(20))
+        raise AssertionError
+    except ValueError as e:
+        assert "frequent words" in str(e)

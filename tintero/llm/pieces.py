@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintero.llm.arrow import flat_map
+from tintero.runtime import checkpoint, hand_over
 
 # Boundaries from strong to weak; the cut falls after the match.
 _LEVELS = [
@@ -78,15 +79,15 @@ def pieces(df: DataFrame, limits: DataFrame, id_col: str = "row_id", text_col: s
     their limit (and rows with no limit at all) come out as one piece; null text
     gives no piece, empty text one empty piece.  Short rows never enter Python.
     """
-    key = "_limit_of"
+    kind = dict(df.dtypes)[id_col]
     lim = limits.where("source_type IS NOT NULL AND max_chars > 0").groupBy("source_type").agg(F.min(F.struct("max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))).alias("l"))
-    lim = lim.select(F.col("source_type").alias(key), "l.*")
-    star = {r[key]: (r["max_chars"], r["overlap_chars"]) for r in lim.limit(10_000).collect()}  # one row per source type
-    default = star.get("*", (None, None))
-    pick = lambda k: F.coalesce(*(F.when(F.col(kind_col) == t, F.lit(v[k])) for t, v in star.items() if t != "*" and v[k] is not None), F.lit(default[k])).cast("int")
-    base = df.select(id_col, text_col, pick(0).alias("m"), pick(1).alias("o")).where(F.col(text_col).isNotNull())
+    lim = checkpoint(lim.select(F.col("source_type").alias("_limit_of"), F.struct(F.col("l.max_chars").cast("int").alias("m"), F.col("l.overlap_chars").cast("int").alias("o")).alias("_own")))
+    star = lim.where("_limit_of = '*'").first()
+    default = F.struct(*(F.lit(star["_own"][k] if star else None).cast("int").alias(k) for k in "mo"))
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(kind_col).alias("_kind")).where("_text IS NOT NULL")
+    j = rows.join(hand_over(lim.where("_limit_of != '*'")), F.col("_kind") == F.col("_limit_of"), "left").withColumn("_l", F.coalesce("_own", default))
+    base = j.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "_l.m", "_l.o")
     over = (F.length(text_col) > F.col("m")) & F.col("m").isNotNull()
-    kind = dict(df.dtypes)[id_col]
 
     def run(rows):
         for i, t, m, o in rows:

@@ -14,7 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tintero import runtime
 from tintero.llm.labelled import documents
+from tintero.runtime import bytes_of
 
 #: Bound of the labelled set; induction takes seconds at this size.
 LABELLED = 12000
@@ -63,13 +65,21 @@ FEATURES = ["n_words", "letter_share", "symbol_share", "number_share", "common_s
 
 
 def common_words(spark: SparkSession, table: DataFrame | None) -> list[str]:
-    """The frequent-word table (fixed size; read up to 10,000 entries)."""
-    return [] if table is None else sorted({r[0] for r in table.select("word").distinct().limit(10_000).collect() if r[0]})
+    """The words of the frequent-word table, a parameter whose bytes are bounded; a larger one is refused."""
+    return [] if table is None else sorted({r["word"].lower() for r in listed_words(table) if r["word"]})
+
+
+def listed_words(table: DataFrame) -> list:
+    """The distinct rows (lang, word) of the frequent-word table."""
+    rows = table.select("lang", "word").where("word IS NOT NULL").distinct()
+    if bytes_of(rows) > runtime.HAND_OVER:
+        raise ValueError(f"the table of frequent words must not exceed {runtime.HAND_OVER} bytes")
+    return rows.collect()
 
 
 def _sql(common: list[str]):
     """Fill a statistic's template."""
-    quoted = ", ".join("'" + w.lower().replace("'", "\\'") + "'" for w in common) or "''"
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in common) or "''"
     return lambda e: e.replace("{common}", quoted).replace("{mark}", _MARK).replace("@", "\\\\")
 
 

@@ -23,8 +23,11 @@ from tintero.llm import quality
 from tintero.llm.arrow import flat_map
 
 ORDERS = (8, 4)
-#: Size of each hashed table; with all languages the model has at most LANGS x ORDERS x BINS entries.
-BINS = 1 << 18
+#: Size of each hashed table as powers of two, from the smallest up to which it grows with the corpus; with all languages the
+#: model has at most LANGS x ORDERS x 2^20 entries.
+BITS = (18, 20)
+#: Values up to which the smallest table is taken; four times as many double it.
+ROWS = 2_000_000
 #: Contexts seen less often than this are left to the shorter order.
 SUPPORT = 12
 #: Log-odds under which a value of a column is suspected, above the language's own rate of ending anywhere.
@@ -85,21 +88,29 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _rolling(codes: np.ndarray, order: int) -> np.ndarray:
+def table_bits(n_rows: int) -> int:
+    """Size of the hashed tables, as a power of two, for a corpus of so many values."""
+    bits = BITS[0]
+    while bits < BITS[1] and n_rows > ROWS << 2 * (bits - BITS[0]):
+        bits += 1
+    return bits
+
+
+def _rolling(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
     """Hash bin of the last ``order`` characters at each position from ``order - 1`` on."""
     n = len(codes) - order + 1
     h = np.zeros(max(n, 0), np.uint64)
     for k in range(order):
         h = h * _P + codes[k : k + max(n, 0)]
-    return _fold(h)
+    return _fold(h, bits)
 
 
-def _fold(h: np.ndarray) -> np.ndarray:
+def _fold(h: np.ndarray, bits: int) -> np.ndarray:
     h = h ^ (h >> np.uint64(29))
-    return ((h * _Q) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    return ((h * _Q) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _last_bins(tails: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _last_bins(tails: list[str], bits: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By order: hash bins of the last characters of each value, and which values are long enough."""
     top = ORDERS[0]
     low = [t[-top:].lower()[-top:] for t in tails]
@@ -110,7 +121,7 @@ def _last_bins(tails: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         h = np.zeros(len(low), np.uint64)
         for k in range(top - order, top):
             h = h * _P + codes[:, k]
-        out[order] = (_fold(h), size >= order)
+        out[order] = (_fold(h, bits), size >= order)
     return out
 
 
@@ -125,7 +136,7 @@ def _tail(text: str) -> str:
         t = (t[:-16] + s).rstrip()
 
 
-def _count(rows, common, names):
+def _count(rows, common, names, bits):
     """Per task: (lang, order, bin, ends, goes on); order 0 holds the totals of the language."""
     goes: dict = {}
     ends: Counter = Counter()
@@ -138,7 +149,7 @@ def _count(rows, common, names):
         total[lang, "n"] += len(tails)
         total[lang, "chars"] += sum(map(len, tails))
         total[lang, "closed"] += int(shut.sum())
-        for order, (bins, long) in _last_bins(tails).items():
+        for order, (bins, long) in _last_bins(tails, bits).items():
             for closed in (True, False):
                 got, n = np.unique(bins[long & (shut == closed)], return_counts=True)
                 for b, c in zip(got.tolist(), n.tolist()):
@@ -146,14 +157,14 @@ def _count(rows, common, names):
         joined = "\x00".join(tails)
         codes = _codes(joined.lower())
         for order in ORDERS:
-            bins = _rolling(codes, order)
+            bins = _rolling(codes, order, bits)
             # Contexts that reach over the border of two texts are no contexts.
             zero = np.flatnonzero(codes == 0)
             ok = np.ones(len(bins), bool)
             for k in range(order):
                 z = zero - k
                 ok[z[(z >= 0) & (z < len(ok))]] = False
-            got = np.bincount(bins[ok], minlength=BINS)
+            got = np.bincount(bins[ok], minlength=1 << bits)
             goes[lang, order] = got if (lang, order) not in goes else goes[lang, order] + got
 
     for text, pages in rows:
@@ -185,9 +196,9 @@ def _count(rows, common, names):
         yield lang, 0, what, int(n), 0, 0
 
 
-def train(df: DataFrame, common: dict[str, int], names: list[str]) -> DataFrame:
+def train(df: DataFrame, common: dict[str, int], names: list[str], bits: int) -> DataFrame:
     """The model: (lang, ord, ctx, ends, open_ends, seen), one row per table entry at which some value ends."""
-    part = flat_map(df.select("text", "page_range"), lambda rows: _count(rows, common, names), "lang string, ord int, ctx string, ends bigint, open_ends bigint, seen bigint", 65_536)
+    part = flat_map(df.select("text", "page_range"), lambda rows: _count(rows, common, names, bits), "lang string, ord int, ctx string, ends bigint, open_ends bigint, seen bigint", 65_536)
     return part.groupBy("lang", "ord", "ctx").agg(F.sum("ends").alias("ends"), F.sum("open_ends").alias("open_ends"), F.sum("seen").alias("seen")).where("ord = 0 OR ends + open_ends > 0 OR lang = '#pages'")
 
 
@@ -220,15 +231,17 @@ def heading_openers(df: DataFrame) -> DataFrame:
     return g.where(f"h >= 2 AND 2 * h >= n AND {math.log(max(r['v'], 1))!r}D + n * {math.log(2)!r}D + h * {math.log(rate)!r}D <= 0").select("w")
 
 
-def _log_odds(tails: list[str], lang: str, model) -> np.ndarray:
+def _log_odds(tails: list[str], lang: str, model, bits: int) -> np.ndarray:
     """Log-odds of ending at the last characters of each value: the best over the orders with support."""
     tables, _ = model
     best = np.full(len(tails), -np.inf)
-    for order, (bins, long) in _last_bins(tails).items():
+    for order, (bins, long) in _last_bins(tails, bits).items():
         t = tables.get((lang, order))
         if t is None:
             continue
-        e, s = t[0][bins].astype(float), t[1][bins].astype(float)
+        at = np.minimum(np.searchsorted(t[0], bins), len(t[0]) - 1)
+        known = t[0][at] == bins
+        e, s = np.where(known, t[1][at], 0).astype(float), np.where(known, t[2][at], 0).astype(float)
         lo = np.log((e + 0.02) / (np.maximum(s - e, 0) + 1.0))
         use = long & ((s >= SUPPORT) | (order == ORDERS[-1]))
         best = np.where(use, np.maximum(best, lo), best)
@@ -236,23 +249,21 @@ def _log_odds(tails: list[str], lang: str, model) -> np.ndarray:
 
 
 def _prepare(rows) -> tuple[dict, dict]:
-    """Dense tables per language and order, and the language's log rate of ending anywhere."""
+    """Sorted tables (bins, ends, seen) per language and order, and the language's log rate of ending anywhere."""
     totals: dict = {}
     for r in rows:
         if r[1] == 0:
             totals.setdefault(r[0], {})[r[2]] = r[3]
-    tables: dict = {}
+    found: dict = {}
     pages: dict = {}
     for lang, order, ctx, ends, open_ends, seen in rows:
         if lang == "#pages":
             pages[ctx] = (ends, seen)
         elif order:
-            t = tables.setdefault((lang, order), (np.zeros(BINS, np.int32), np.zeros(BINS, np.int32)))
             # Ends without a closing mark teach nothing in a language whose texts close with one.
             marked = 2 * totals[lang]["closed"] > totals[lang]["n"]
-            e = ends + (0 if marked else open_ends)
-            t[0][int(ctx)] += min(e, 2**31 - 1)
-            t[1][int(ctx)] += min(seen, 2**31 - 1 - int(t[1][int(ctx)]))
+            found.setdefault((lang, order), []).append((int(ctx), ends + (0 if marked else open_ends), seen))
+    tables = {k: tuple(np.array(sorted(v), np.int64).T) for k, v in found.items()}
     rate = {k: math.log(v["n"] / max(v["chars"], 1)) for k, v in totals.items()}
     return (tables, rate), pages
 
@@ -266,25 +277,26 @@ def truncated(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_i
     from tintero.runtime import checkpoint
 
     spark = df.sparkSession
-    listed = [] if common_rows is None else common_rows.where("lang IS NOT NULL AND word IS NOT NULL").limit(10_000).collect()
+    listed = [] if common_rows is None else quality.listed_words(common_rows.where("lang IS NOT NULL"))
     names = sorted({r["lang"] for r in listed})
     common: dict = {}
     for r in listed:
         w = r["word"].lower()
         common[w] = common.get(w, 0) | 1 << names.index(r["lang"])
-    got = checkpoint(train(df, common, names)).toPandas()  # at most LANGS x ORDERS x BINS entries, as flat columns
+    bits = table_bits(df.count())
+    got = checkpoint(train(df, common, names, bits)).toPandas()  # at most LANGS x ORDERS x 2^bits entries, as flat columns
     rows = list(zip(*(got[c].tolist() for c in got.columns)))
-    shared = spark.sparkContext.broadcast(_pack(rows))
+    shared = spark.sparkContext.broadcast(_prepare(rows))
     kind = dict(df.dtypes)[id_col]
 
     def run(rows):
-        model, pages = _unpack(shared.value)
+        model, pages = shared.value
         rate = model[1]
         held: dict = {}
 
         def judge(lang):
             kept = held.pop(lang)
-            for (i, text, source, _), lo in zip(kept, _log_odds([k[3] for k in kept], lang, model).tolist()):
+            for (i, text, source, _), lo in zip(kept, _log_odds([k[3] for k in kept], lang, model, bits).tolist()):
                 if lo < rate.get(lang, -6.0) + ABOVE_RATE["text"] or _BROKEN.search(text[-16:]):
                     yield i, "text", source, lo, text, _MARK.search(text[-24:]) is not None
 
@@ -312,26 +324,6 @@ def truncated(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_i
     return graded.where("field = 'page_range' OR kind = 'prose'").drop("kind", "text")
 
 
-def _pack(rows):
-    """Model rows as compact arrays for the hand-over."""
-    model, pages = _prepare(rows)
-    tables, rate = model
-    return {k: tuple((np.flatnonzero(a), a[np.flatnonzero(a)]) for a in v) for k, v in tables.items()}, rate, pages
-
-
-def _unpack(packed):
-    sparse, rate, pages = packed
-    tables = {}
-    for k, v in sparse.items():
-        dense = []
-        for idx, val in v:
-            a = np.zeros(BINS, np.int32)
-            a[idx] = val
-            dense.append(a)
-        tables[k] = tuple(dense)
-    return (tables, rate), pages
-
-
 def rates(df: DataFrame, common_rows: DataFrame | None, id_col: str = "row_id") -> DataFrame:
     """How often each source truncates: per source_type the rows, cut texts and cut page ranges, with their shares."""
     cut = truncated(df, common_rows, id_col).groupBy("source_type").agg(F.count_if(F.col("field") == "text").alias("cut_texts"), F.count_if(F.col("field") == "page_range").alias("cut_page_ranges"))
