@@ -61,12 +61,21 @@ def test_runner(spark, tmp_path, capsys):
     data.mkdir()
     body = "El gasto corriente subió en el último año por la sequía y por los precios de los alimentos, según el informe anual."
     (data / "list_rows.json").write_text(json.dumps([{"date": "04/05/2020", "doc_title": "Informe N° 001-2020-CF", "page_url": "u1", "pdf_url": "h/a.pdf", "pdf_filename": "a.pdf"}]), encoding="utf-8")
-    (data / "pages.json").write_text(json.dumps([{"pdf_filename": "a.pdf", "page": 1, "text": body + "\n\n" + body}]), encoding="utf-8")
+    noise = "\n\n7/10\n\n"
+    pages = [{"pdf_filename": "a.pdf", "page": 1, "text": body + "\n\n" + body}, {"pdf_filename": "s.pdf", "page": 1, "text": "x" + noise}]
+    (data / "pages.json").write_text(json.dumps(pages), encoding="utf-8")
     run = pipeline.Runner(spark, pipeline.Config(str(data), str(tmp_path / "m"), str(tmp_path / "o")))
     assert set(run.run().values()) == {"ok"}
     assert all(run.status().values())
     row = spark.read.parquet(str(tmp_path / "o" / "document_scores")).first()
     assert row["pdf_filename"] == "a.pdf" and row["n_paragraphs"] == 2
+    kinds = {r["pdf_filename"]: r["pdf_type"] for r in spark.read.parquet(str(tmp_path / "o" / "kinds")).collect()}
+    assert kinds == {"a.pdf": "editable", "s.pdf": "scanned"}
+    # A later file is cleaned alone; a scanned one goes through the staged rules.
+    (data / "pages2.json").write_text(json.dumps([{"pdf_filename": "t.pdf", "page": 1, "text": "breve"}]), encoding="utf-8")
+    again = pipeline.Runner(spark, pipeline.Config(str(data), str(tmp_path / "m"), str(tmp_path / "o"), incremental=True, normalize=True))
+    assert set(again.run().values()) == {"ok"}
+    assert {r["pdf_filename"] for r in spark.read.parquet(str(tmp_path / "o" / "clean_pages")).select("pdf_filename").collect()} == {"a.pdf"}
     try:
         run.run(["nada"])
         raise AssertionError

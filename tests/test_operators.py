@@ -214,3 +214,112 @@ def test_quality_gate(spark):
 def test_duplicates_keep_the_first(spark):
     df = spark.createDataFrame([(3, "A b"), (1, " a B "), (2, "otro"), (4, None), (5, None), (6, "")], "i int, text string")
     assert sorted(r["i"] for r in segment.drop_duplicates(df, ["i"]).collect()) == [1, 2, 4, 6]
+
+
+def plain_normalised(rows, alike=0.7):
+    """Splitting and merging as plain loops, with the stand-in vectors."""
+    import numpy as np
+
+    def cos(a, b):
+        x, y = normalize.word_encoder([a, b])
+        n = np.linalg.norm(x) * np.linalg.norm(y)
+        return float(x @ y / n) if n else 0.0
+
+    out = []
+    for f, num, text in rows:
+        if len(text) <= 1000:
+            out.append(dict(f=f, num=num, text=text, chunk=None, of=None))
+            continue
+        sents = [s for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+", text)) if s]
+        if len(sents) < 2:
+            out.append(dict(f=f, num=num, text=text, chunk=None, of=None))
+            continue
+        sims = [cos(a, b) for a, b in zip(sents, sents[1:])]
+        low = np.mean(sims) - 0.5 * np.std(sims)
+        cuts = [0, *(i + 1 for i, s in enumerate(sims) if s < low - 1e-12), len(sents)]
+        chunks = [" ".join(sents[a:b]) for a, b in zip(cuts, cuts[1:])]
+        chunks = [c for i, c in enumerate(chunks) if len(c) >= 200 or i == len(chunks) - 1]
+        packed = [chunks[0]]
+        for c in chunks[1:]:
+            if len(packed[-1]) + len(c) <= 700:
+                packed[-1] += " " + c
+            else:
+                packed.append(c)
+        out += [dict(f=f, num=num, text=c, chunk=i, of=len(packed)) for i, c in enumerate(packed)]
+    done, i = [], 0
+    while i < len(out):
+        a = out[i]
+        b = out[i + 1] if i + 1 < len(out) and out[i + 1]["f"] == a["f"] else None
+        if b and len(a["text"]) < 200 and len(a["text"]) + len(b["text"]) <= 1000 and cos(a["text"], b["text"]) >= alike:
+            done.append((a["f"], a["num"], a["text"] + " " + b["text"], a["chunk"], a["of"], b["num"]))
+            i += 2
+        else:
+            done.append((a["f"], a["num"], a["text"], a["chunk"], a["of"], None))
+            i += 1
+    return done
+
+
+def test_normalised_paragraphs_against_loops(spark):
+    r = random.Random(12)
+    words = "gasto deuda ingreso regla plan obra región cuenta meta riesgo".split()
+    sent = lambda: " ".join(r.choices(words[: r.randint(2, 10)], k=r.randint(4, 30))).capitalize() + "."
+    rows = [(f"f{i % 4}", i // 4, " ".join(sent() for _ in range(r.choice([1, 1, 2, 4, 14, 25])))) for i in range(60)]
+    rows.append(("f0", 99, "palabra " * 300))
+    df = spark.createDataFrame([*rows, ("f1", 77, None)], "pdf_filename string, paragraph_num int, text string")
+    want = sorted(plain_normalised(sorted(rows, key=lambda x: x[:2])), key=repr)
+    got = [(x["pdf_filename"], x["paragraph_num"], x["text"], x["chunk_index"], x["total_chunks"], x["merged_with"]) for x in normalize.normalised_paragraphs(df).collect()]
+    assert sorted(got, key=repr) == want and any(w[5] is not None for w in want) and any(w[3] for w in want)
+    assert normalize.normalised_paragraphs(df.limit(0)).count() == 0
+
+
+def test_large_sides_are_joined_with_the_same_result(spark, monkeypatch):
+    from tintero import runtime
+
+    rows = [(i, f"f{i % 3}", i // 3 + 1, ("x" * 210 + "\n\nOpinión del CF") if i % 7 == 3 else "\n\nANEXO 1" if i % 11 == 5 else f"Texto {i} sin fin" if i % 2 else f"Texto {i}.") for i in range(60)]
+    p = spark.createDataFrame([*rows, (99, None, 1, "sin archivo")], "page_id int, pdf_filename string, page int, text string")
+    m = spark.createDataFrame([("f1", "t", datetime.datetime(2020, 1, 1))], "pdf_filename string, doc_title string, scraped_at timestamp")
+    steps = [scanned_clean.from_opinion, scanned_clean.without_annexes, layout.before_annex, layout.extracted, lambda d: enrich.with_metadata(d, m), segment.pair_pages, lambda d: segment.pair_pages(d, mode="intended")]
+    want = [sorted(map(tuple, f(p).collect()), key=repr) for f in steps]
+    monkeypatch.setattr(runtime, "HAND_OVER", 0)
+    assert [sorted(map(tuple, f(p).collect()), key=repr) for f in steps] == want
+    pairs = {(x["pdf_filename"], x["page_range"]) for x in segment.pair_pages(p).collect()}
+    assert ("f0", "1-2") in pairs and (None, "1") in pairs
+
+
+def test_running_sums_within_groups(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", "hot", "a", None]), i, r.randint(0, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, k int, v int")
+    got = {(x["g"], x["k"]): x["s"] for x in segment.running(df, ["k"], F.col("v"), "s", ["g"], 7).collect()}
+    want, sums = {}, {}
+    for g, k, v in rows:
+        sums[g] = sums.get(g, 0) + v
+        want[g, k] = sums[g]
+    assert got == want
+
+
+def test_text_layer_counts_inner_blanks_only(spark):
+    rows = [("a", 1, "  x"), ("a", 2, " " * 30), ("a", 3, "y  "), ("b", 1, " " * 40), ("b", 2, "x"), ("c", 1, None), ("d", 1, "0123456789"), ("d", 2, "0123456789")]
+    got = {r["pdf_filename"]: r["pdf_type"] for r in layout.extracted(spark.createDataFrame(rows, "pdf_filename string, page int, text string")).collect()}
+    assert got == {"a": "editable", "b": "scanned", "c": "scanned", "d": "editable"}
+
+
+def test_costs_retries_and_summaries(spark):
+    c = aggregate.cost_estimate(spark.createDataFrame([("abcd",), (None,)], "text string"), 10).first()
+    assert (c["n_rows"], c["input_tokens"], c["output_tokens"]) == (2, 6, 10) and abs(c["total_cost"] - (6 * 0.0025 + 10 * 0.01) / 1000) < 1e-12
+    waits, calls = [], []
+
+    def shaky(texts):
+        calls.append(1)
+        if len(calls) < 4:
+            raise OSError
+        return [3] * len(texts)
+
+    assert score.retrying(shaky, sleep=waits.append)(["a", "b"]) == [3, 3] and waits == [2.0, 4.0, 8.0]
+    with pytest.raises(OSError):
+        score.retrying(lambda t: (_ for _ in ()).throw(OSError()), tries=2, sleep=waits.append)(["a"])
+    audit = scanned_clean.removals(spark.createDataFrame([(1, "a", 1, "7/10\n\ncorto\n\nEl gasto corriente subió en el último año por la sequía.")], "page_id int, pdf_filename string, page int, text string"))
+    s = scanned_clean.removal_summary(audit, "2020-01-01").first()
+    assert s["total_removals"] == 2 and set(s["by_reason"]) == {"exact_noise", "too_short"} and s["by_pdf"][0]["n"] == 2 and s["longest_removed"]["paragraph"] == "corto"
+    d = aggregate.statistics_document(spark.createDataFrame([("a", "xx", "editable"), ("b", "xxxx", None)], "pdf_filename string, text string, source_type string")).first()
+    assert d["overview"]["total_paragraphs"] == 2 and d["length"]["mean_length"] == 3 and len(d["by_source"]) == 2

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER = "A-ZÁÉÍÓÚÑ"
+# Fixed value: the characters that Unicode counts as white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def rx(pattern: str, flags: str = "") -> str:
@@ -42,13 +43,18 @@ def chain(col: Column, rules) -> Column:
     return col
 
 
+def where(col: Column, test: Column, rules) -> Column:
+    """The rules on texts that pass a cheap test, without which none of them can match."""
+    return F.when(test, chain(col, rules)).otherwise(col)
+
+
 def has(col: Column, pattern: str, flags: str = "") -> Column:
     return col.rlike(rx(pattern, flags))
 
 
 def strip(col: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITE))
 
 
 def word_list(col: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tintero.operators.segment import running
+
 SCORE = "fiscal_risk_score"
 
 
@@ -17,7 +19,7 @@ def document_scores(scored: DataFrame) -> DataFrame:
     first = [F.min(c).alias(c) for c in ("doc_title", "doc_type", "doc_number", "year", "month") if c in s.columns]
     counts = [F.count_if((F.col(SCORE) == k) & F.col("text").isNotNull()).alias(f"score_{k}") for k in range(1, 6)]
     g = s.groupBy("pdf_filename", "date").agg(F.avg(SCORE).alias("avg_risk_score"), F.count(SCORE).alias("n_paragraphs"), F.avg("risk_index").alias("avg_risk_index"), *first, *counts)
-    return g.where("n_paragraphs > 0").withColumn("fiscal_tone_index", (F.lit(3) - F.col("avg_risk_score")) / 2)
+    return g.where("n_paragraphs > 0").withColumn("tone_index", (F.lit(3) - F.col("avg_risk_score")) / 2)
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -29,18 +31,18 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def corpus_tone(scores: DataFrame) -> DataFrame:
     """Mean and sample deviation over document scores."""
-    return scores.agg(F.count("*").alias("n_documents"), F.avg("avg_risk_score").alias("mean_score"), F.stddev_samp("avg_risk_score").alias("std_score"), F.avg("fiscal_tone_index").alias("mean_tone"), F.stddev_samp("fiscal_tone_index").alias("std_tone"))
+    return scores.agg(F.count("*").alias("n_documents"), F.avg("avg_risk_score").alias("mean_score"), F.stddev_samp("avg_risk_score").alias("std_score"), F.avg("tone_index").alias("mean_tone"), F.stddev_samp("tone_index").alias("std_tone"))
 
 
 def upper_median(df: DataFrame, value: Column) -> DataFrame:
     """Count, minimum, maximum, mean and upper median (the element at position n // 2 of the sorted values).
 
-    Values are counted before they are ordered: the window runs over distinct values.
+    Values are counted before they are ordered, and summed up range by range.
     """
     g = df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("c"))
     t = g.agg(F.sum("c").alias("n"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean_v")).first()
     n = t["n"] or 0
-    run = g.withColumn("s", F.sum("c").over(Window.orderBy("v")))
+    run = running(g, ["v"], F.col("c"), "s")
     m = run.where(F.col("s") > n // 2).agg(F.min("v").alias("upper_median"))
     return m.select(F.lit(n).cast("bigint").alias("n"), F.lit(t["min_v"]).alias("min_value"), F.lit(t["max_v"]).alias("max_value"), F.lit(t["mean_v"]).cast("double").alias("mean_value"), "upper_median")
 
@@ -94,3 +96,20 @@ def page_totals(pages: DataFrame) -> DataFrame:
 def first_documents(df: DataFrame, key: str = "pdf_filename", order: str = "paragraph_num", limit: int = 8) -> DataFrame:
     """The first documents in order of their first row."""
     return df.groupBy(key).agg(F.min(order).alias("first_row")).orderBy("first_row", key).limit(limit)
+
+
+def cost_estimate(df: DataFrame, context_chars: int, text_col: str = "text", in_rate: float = 0.0025, out_rate: float = 0.01, reply_tokens: int = 5) -> DataFrame:
+    """What scoring would cost: four characters a token over texts with their context, rates per thousand tokens."""
+    chars = F.coalesce(F.sum(F.length(F.coalesce(text_col, F.lit(""))).cast("bigint") + F.lit(context_chars)), F.lit(0))
+    t = df.agg(F.count("*").alias("n_rows"), F.floor(chars / 4).alias("input_tokens")).withColumn("output_tokens", F.col("n_rows") * reply_tokens)
+    cost = {"input_cost": F.col("input_tokens") * in_rate / 1000, "output_cost": F.col("output_tokens") * out_rate / 1000}
+    return t.withColumns(cost).withColumn("total_cost", F.col("input_cost") + F.col("output_cost"))
+
+
+def statistics_document(df: DataFrame) -> DataFrame:
+    """One row of nested statistics, for JSON: overview, lengths with percentiles, shares by source."""
+    s = corpus_statistics(df)
+    ps = [c for c in s.columns if c.startswith("p") and c[1:].isdigit()]
+    top = s.select(F.struct("total_paragraphs", "total_documents", "total_characters").alias("overview"), F.struct("mean_length", "median_length", "std_samp", "std_pop", "min_length", "max_length").alias("length"), F.struct(*ps).alias("percentiles"))
+    by = value_counts(df.where("text IS NOT NULL"), "source_type").agg(F.array_sort(F.collect_list(F.struct("source_type", "n", "pct"))).alias("by_source"))
+    return top.join(by)  # one row on either side

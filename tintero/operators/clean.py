@@ -28,6 +28,7 @@ CHART_LABEL = r"^(Gráfico|Tabla|Cuadro|Figura|Gráf|Tab)\s+N?°?\s*\d+"
 LABELS = [r"^\d+\s*:\s*.+", r"^[IVXLCDM]+\s*[.:]", r"^[A-Z]\s*\)\s*.+"]
 
 
+# Fixed values, here and below: lengths, counts and inline patterns of the rules.
 def is_header(t: Column) -> Column:
     """A section heading: short, few words, opens with a capital, no closing stop, no dateline."""
     # Cheap tests first: most paragraphs are too long, and no word is counted in them.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tintero.functions.text import parse_date, rx
+from tintero.runtime import checkpoint, hand_over
 
+# The pattern of a title's type and number, columns that are text, and the order of columns.
 DOC = rx(r"\b(Informe|Comunicado)\b(?:\s+CF)?(?:\s+(?:N[°ºo]|No))?\s*(\d{2,4})", "i")
 STRINGS = ["doc_title", "doc_type", "date", "year", "pdf_type", "pdf_url", "page_url"]
 ORDER = ["date", "year", "month", "page_url", "pdf_url", "pdf_filename", "pdf_type", "doc_title", "doc_type", "doc_number"]
@@ -21,16 +23,6 @@ def doc_number(title: Column) -> Column:
     return F.nullif(F.regexp_extract(title, DOC, 2), F.lit("")).cast("int")
 
 
-def year_of(date: Column) -> Column:
-    """First four-digit number of a date, as text."""
-    return F.nullif(F.regexp_extract(date.cast("string"), r"\b(\d{4})\b", 1), F.lit(""))
-
-
-def month_of(date: Column) -> Column:
-    """Month of a date, or the second dash-separated part of its text."""
-    return F.coalesce(F.month(F.try_to_timestamp(date.cast("string")).cast("date")), F.split(date.cast("string"), "-").getItem(1).try_cast("int")) if hasattr(date, "try_cast") else F.month(date)
-
-
 def enrich(list_rows: DataFrame) -> DataFrame:
     """Scraped rows with parsed date, year, month, document type and number; known columns first, others kept."""
     d = parse_date(F.col("date"))
@@ -55,19 +47,13 @@ def latest(meta: DataFrame, key: str = "pdf_filename", order: str = "scraped_at"
     return meta.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(body, rank).alias("_x")).select(key, "_x.*")
 
 
-#: Metadata rows that are sent to every executor at most; larger tables are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-
-
 def with_metadata(paragraphs: DataFrame, meta: DataFrame, key: str = "pdf_filename") -> DataFrame:
     """Paragraphs with their file's metadata.
 
     Where a file has none, text columns become empty and numbers null; null
     values of a found row stay null.
     """
-    m = latest(meta, key).drop("scraped_at").withColumn("_matched", F.lit(True))
-    if meta.count() <= BROADCAST_ROWS:
-        m = F.broadcast(m)
+    m = hand_over(checkpoint(latest(meta, key).drop("scraped_at").withColumn("_matched", F.lit(True))))
     clash = [c for c in m.columns if c != key and c in paragraphs.columns]
     j = paragraphs.drop(*clash).join(m, key, "left")
     fix = {c: F.when(F.col("_matched").isNull(), F.lit("")).otherwise(F.col(c).cast("string")) for c in STRINGS if c in m.columns}

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tintero.functions.text import rx
+from tintero.functions.text import WHITE, rx
 from tintero.operators.scanned_clean import OPINION
+from tintero.runtime import checkpoint, hand_over
 
 # Font sizes of notes and captions, and default margins in points.
 NOTE_SIZES = [9.5, 8.5, 8.4, 7.9, 7.0, 6.5, 6.0, 5.5]
@@ -106,10 +105,11 @@ def token_paragraphs(tokens: DataFrame, gap: float = 30.0) -> DataFrame:
 
 def before_annex(pages: DataFrame) -> DataFrame:
     """Pages up to an annex: a page opening with one stops the file, a line inside cuts its page and stops after it."""
+    # The patterns of an annex that opens a page, and of one inside it.
     opens = F.col("text").rlike(rx(r"^\s*ANEXOS?(?:\s+(?:[IVXLCDM]+|\d+))?\s*:?", "i"))
     pos = F.regexp_instr("text", F.lit(rx(r"^ *Anexos?\b[\s\w]*:?", "mi"))) - 1
     h = pages.withColumns({"_o": F.coalesce(opens, F.lit(False)), "_p": pos})
-    stop = h.where("_o OR _p >= 0").groupBy("pdf_filename").agg(F.min("page").alias("_f"))
+    stop = hand_over(checkpoint(h.where("_o OR _p >= 0").groupBy("pdf_filename").agg(F.min("page").alias("_f"))))
     j = h.join(stop, "pdf_filename", "left").where("_f IS NULL OR page < _f OR (page = _f AND NOT _o)")
     t = F.when((F.col("page") == F.col("_f")) & (F.col("_p") >= 0), F.expr("rtrim(substring(text, 1, _p))")).otherwise(F.col("text"))
     return j.withColumn("text", t).where("_f IS NULL OR page < _f OR text != ''").drop("_o", "_p", "_f")
@@ -146,7 +146,18 @@ def crop_totals(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("files"), F.sum("cropped").alias("cropped"), F.sum(F.coalesce("pages", F.lit(0))).alias("pages"))
 
 
-def extracted(probe: Iterator | DataFrame, min_chars: int = 20) -> DataFrame:
-    """Files told apart by the length of their text layer: editable or scanned."""
-    n = F.length(F.trim(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda s: s["text"]))))
-    return probe.groupBy("pdf_filename").agg(F.when(n >= min_chars, "editable").otherwise("scanned").alias("pdf_type"))
+def extracted(pages: DataFrame, min_chars: int = 20) -> DataFrame:
+    """Files told apart by the length of their text layer, all pages one after the other, without blanks at its ends.
+
+    Only lengths are moved, no texts: the layer reaches from the first to the last
+    page that is not blank; blank pages between them count.
+    """
+    t = F.coalesce("text", F.lit(""))
+    key = F.struct(F.coalesce("page", F.lit(-1)).alias("p"), F.xxhash64(t).alias("h"))
+    size = F.length(t)
+    p = pages.select("pdf_filename", key.alias("k"), size.alias("n"), (size - F.length(F.ltrim(t, F.lit(WHITE)))).alias("lead"), (size - F.length(F.rtrim(t, F.lit(WHITE)))).alias("tail"))
+    full = F.col("lead") < F.col("n")
+    ends = hand_over(checkpoint(p.groupBy(F.col("pdf_filename").alias("_f")).agg(F.min(F.when(full, F.struct("k", "lead"))).alias("a"), F.max(F.when(full, F.struct("k", "tail"))).alias("z"))))
+    inside = F.when(F.col("k").between(F.col("a.k"), F.col("z.k")), F.col("n"))
+    g = p.join(ends, F.col("pdf_filename").eqNullSafe(F.col("_f"))).groupBy("pdf_filename").agg(F.sum(inside).alias("n"), F.max("a.lead").alias("lead"), F.max("z.tail").alias("tail"))
+    return g.select("pdf_filename", F.when(F.col("n") - F.col("lead") - F.col("tail") >= min_chars, "editable").otherwise("scanned").alias("pdf_type"))

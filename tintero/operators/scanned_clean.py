@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tintero.functions.text import capitals, chain, has, let, letters, put, rx, strip, word_count, word_list
+from tintero.functions.text import capitals, chain, has, let, letters, put, rx, strip, where, word_count, word_list
 from tintero.operators.clean import is_label
+from tintero.runtime import checkpoint, hand_over
 
 # Words after which a sentence goes on.
 CONTINUES = "de del la el los las un una en con por para sobre al a ante bajo hacia mediante según tras entre sin desde hasta y e o u no".split()
@@ -14,10 +15,9 @@ CONTINUES = "de del la el los las un una en con por para sobre al a ante bajo ha
 PRELIMINARY = [
     (r"^[Ii]nforme\s+N[*°º]?\s*\d{3,4}[-\s]*\d{4}[-\s]*CF\s+", "", "i"), (r" +([<>;:?!,.\)\]\}])", "$1", ""), (r"([\(\[\{]) +", "$1", ""), (r"(?<!\n) {2,}(?!\n)", " ", ""), (r" +\n", "\n", ""), (r"\n +", "\n", ""),
 ]
-CONNECTORS = "de|del|la|el|los|las|un|una|en|con|por|para|que|se|y|o|su|sus|sobre|al|ha|han|desde|hasta|entre|sin|tras|ante|bajo|hacia|mediante|según|versus|vía|…|\\.\\.\\.|a"
-BREAKS = [
-    (r"\n\n([a-záéíóúñü])", " $1", ""), (r"\n\n([12]\d{3})", " $1", ""), (rf"\n\n((?:{CONNECTORS})\s)", " $1", ""), (r"\n\n(N[*°\s]?\d)", " $1", ""), (r"\n\n(…|\.\.\.)", " $1", ""), (r"\n\n(\d+[,.]?\d*\s*(?:por\s+ciento|%)?)", " $1", ""),
-]
+# A break before lower case (every connecting word is), a year, a number sign with its number, or an ellipsis; then one before a number,
+# which takes the blanks after it along.
+BREAKS = [(r"\n\n(?=[a-záéíóúñü]|[12]\d{3}|N[*°\s]?\d|…|\.\.\.)", " ", ""), (r"\n\n(\d+[,.]?\d*\s*(?:por\s+ciento|%)?)", " $1", "")]
 HEADINGS = [
     r"^[IVXLH]{1,4}\.?\s*[-—]?\s*Conclusiones?(?:\s+y\s+recomendaciones)?$", r"^Conclusiones?(?:\s+y\s+recomendaciones)?$", r"^[IVXLH]{1,4}\.?\s*[-—]?\s*Riesgos?$", r"^Riesgos?$", r"^[IVXLH]{1,4}\.?\s*[-—]?\s*Antecedentes?$", r"^Antecedentes?$", r"^[IVXLH]{1,4}\.?\s*[-—]?\s*Introducción$", r"^Introducción$",
 ]
@@ -39,8 +39,9 @@ FINAL = [
 ]
 _AFTER = "(?<=[a-záéíóúñ])"
 STUCK = [(_AFTER + r"[<>°º£¿\-—\s]*[<>°º£¿\-—]+", "", "i")]
+FINAL_SIGNS = [(r"\s+[<>°º£¿\-—]{2,}\s+", " ", ""), (_AFTER + r"[%<>°º£¿*]+(?=\s|$)", "", "i")]
 FINAL_TAIL = [
-    (r"\s+[<>°º£¿\-—]{2,}\s+", " ", ""), (_AFTER + r"[%<>°º£¿*]+(?=\s|$)", "", "i"), (r"\s+[ÁÉÍÓÚ]\s+", " ", ""), (r"\n\n[A-HJ-UWYZÁÉÍÓÚÑ]\s+([a-záéíóúñ]\w+)", "\n\n$1", ""), (r"[><\|^~]+", "", ""), (r"(\d{4})\s*-\s+(\d{4})", "$1-$2", ""), (r"(\d+)\s*-\s+(\d{4})", "$1-$2", ""), (r" {2,}", " ", ""), (r"\s+[.,;:]\s+", " ", ""), ("�+", "", ""), (r"\s+\)", ")", ""), (r"\(\s+", "(", ""), (r"\.([!?]+)(?=\n\n|$)", ".", ""),
+    (r"\s+[ÁÉÍÓÚ]\s+", " ", ""), (r"\n\n[A-HJ-UWYZÁÉÍÓÚÑ]\s+([a-záéíóúñ]\w+)", "\n\n$1", ""), (r"[><\|^~]+", "", ""), (r"(\d{4})\s*-\s+(\d{4})", "$1-$2", ""), (r"(\d+)\s*-\s+(\d{4})", "$1-$2", ""), (r" {2,}", " ", ""), (r"\s+[.,;:]\s+", " ", ""), ("�+", "", ""), (r"\s+\)", ")", ""), (r"\(\s+", "(", ""), (r"\.([!?]+)(?=\n\n|$)", ".", ""),
 ]
 
 
@@ -49,6 +50,7 @@ def preliminary(col: Column) -> Column:
     return strip(chain(col, PRELIMINARY))
 
 
+# Fixed values, here and below: lengths, counts and inline patterns of the rules.
 def is_heading(t: Column) -> Column:
     """A heading in scanned text: short, opens with a capital, digit or numeral, ends in no continuing word; short sentences count too."""
     def by_words(words):
@@ -62,8 +64,8 @@ def is_heading(t: Column) -> Column:
 
 def join_false_breaks(col: Column) -> Column:
     """Stage 4: breaks before lower case, years, connectors and numbers, and after a continuing word before a capital."""
-    parts = F.filter(F.transform(F.split(chain(col, BREAKS), "\n\n"), strip), lambda s: s != "")
-    last = lambda s: F.lower(F.regexp_extract(s, r"(?U)(\S+)\s*$", 1))
+    # The last word, if it is as short as the continuing words are.
+    last = lambda s: F.lower(F.regexp_extract(F.right(F.concat(F.lit(" "), s), F.lit(12)), r"(?U)\s(\S+)$", 1))
 
     def fold(acc, s):
         # The paragraph being built is kept apart from the finished ones, so that nothing is copied for each.
@@ -72,9 +74,13 @@ def join_false_breaks(col: Column) -> Column:
             F.when(joins | (acc["cur"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))).alias("done"), F.when(joins, F.concat(acc["cur"], F.lit(" "), s)).otherwise(s).alias("cur"),
         )
 
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-    whole = F.aggregate(parts, zero, fold, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
-    return F.array_join(whole, "\n\n")
+    def joined(t):
+        parts = F.filter(F.transform(F.split(t, "\n\n"), strip), lambda s: s != "")
+        zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+        whole = F.aggregate(parts, zero, fold, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+        return F.array_join(whole, "\n\n")
+
+    return F.when(col.contains("\n\n"), let(chain(col, BREAKS), joined)).otherwise(strip(col))
 
 
 def drop_headings(col: Column) -> Column:
@@ -106,22 +112,27 @@ def noise_reason(p: Column) -> Column:
     for pat in SHORT_NOISE:
         exact = exact | has(p, pat, "i")
     return (
-        F.when(has(p, r"PRESIDENTE\s+DEL\s+CONSEJO\s+FISCAL.*?\d+/\d+.*?Av\.", "i") | has(p, r"\d+/\d+\s+Av\.\s+"), "signature_address")
+        F.when(p.contains("/") & (has(p, r"\d+/\d+\s+Av\.\s+") | has(p, r"PRESIDENTE\s+DEL\s+CONSEJO\s+FISCAL.*?\d+/\d+.*?Av\.", "i")), "signature_address")  # fixed patterns
         .when(short & exact, "exact_noise").when(F.length(p) < 30, "too_short").when(shouting & (keyword | name_like), "capitals").when(short & has(p, r"^[A-ZÁÉÍÓÚÑ\s]{15,}[\?%<>°º\*\s]*$"), "name_garbage")
     )
 
 
 def drop_noise(col: Column) -> Column:
     """Stage 6: signature dates, noise paragraphs and leftover marks."""
-    parts = F.filter(F.transform(F.split(chain(col, SIGNED_DATES), "\n\n"), strip), lambda p: p != "")
-    kept = F.transform(F.filter(parts, lambda p: noise_reason(p).isNull()), lambda p: strip(chain(p, LEFTOVERS)))
+    kept = F.transform(F.filter(noise_parts(col), lambda p: noise_reason(p).isNull()), lambda p: strip(where(p, p.rlike(r"[(\[*?!_|]|  "), LEFTOVERS)))
     return F.array_join(F.filter(kept, lambda p: p != ""), "\n\n")
 
 
+def noise_parts(col: Column) -> Column:
+    """The paragraphs that stage 6 judges: signature dates gone, trimmed, none empty."""
+    dated = where(col, has(col, "lima,", "i"), SIGNED_DATES)
+    return F.filter(F.transform(F.split(dated, "\n\n"), strip), lambda p: p != "")
+
+
 def final_touch(col: Column, join_hyphens: bool = True) -> Column:
     """Stage 7: question marks of footnotes, stray symbols, spacing.  ``join_hyphens`` keeps the rule that also deletes hyphens after words."""
-    asked = F.when(col.contains("?"), chain(col, FINAL)).otherwise(col)  # those rules all need the mark
-    return chain(asked, [*(STUCK if join_hyphens else []), *FINAL_TAIL])
+    asked = where(col, col.contains("?"), FINAL)  # those rules all need the mark
+    return let(let(asked, lambda t: where(t, t.rlike("[%<>°º£¿*—-]"), [*(STUCK if join_hyphens else []), *FINAL_SIGNS])), lambda t: chain(t, FINAL_TAIL))
 
 
 def from_opinion(pages: DataFrame) -> DataFrame:
@@ -135,7 +146,7 @@ def from_opinion(pages: DataFrame) -> DataFrame:
         p = F.regexp_instr("text", F.lit(rx(r"\n\n\s*" + OPINION_LEAD + k))) - 1
         at = F.when(p > 200, p) if at is None else F.coalesce(at, F.when(p > 200, p))
     hit = pages.withColumn("_at", F.when(F.col("page") >= 2, at))
-    firsts = hit.where("_at IS NOT NULL").groupBy("pdf_filename").agg(F.min("page").alias("_first"))
+    firsts = hand_over(checkpoint(hit.where("_at IS NOT NULL").groupBy("pdf_filename").agg(F.min("page").alias("_first"))))
     j = hit.join(firsts, "pdf_filename", "left").where("_first IS NULL OR page >= _first")
     return j.withColumn("text", F.when((F.col("page") == F.col("_first")) & F.col("_at").isNotNull(), F.expr("substring(text, _at + 1)")).otherwise(F.col("text"))).drop("_at", "_first")
 
@@ -149,7 +160,7 @@ def without_annexes(pages: DataFrame) -> DataFrame:
         one = F.coalesce(start, F.when(pos >= 0, pos))
         cut = one if cut is None else F.coalesce(cut, one)
     hit = pages.withColumn("_cut", cut)
-    firsts = hit.where("_cut IS NOT NULL").groupBy("pdf_filename").agg(F.min("page").alias("_first"))
+    firsts = hand_over(checkpoint(hit.where("_cut IS NOT NULL").groupBy("pdf_filename").agg(F.min("page").alias("_first"))))
     j = hit.join(firsts, "pdf_filename", "left").where("_first IS NULL OR page < _first OR (page = _first AND (_cut IS NULL OR _cut >= 0))")
     t = F.when((F.col("page") == F.col("_first")) & F.col("_cut").isNotNull(), F.expr("substring(text, 1, _cut)")).otherwise(F.col("text"))
     return j.withColumn("text", t).where("_first IS NULL OR page < _first OR trim(text) != ''").drop("_cut", "_first")
@@ -177,8 +188,8 @@ def clean_scanned(pages: DataFrame) -> DataFrame:
 
 def removals(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Audit of stage 6: one row per paragraph judged noise, with its reason and measures."""
-    parts = F.filter(F.transform(F.split(chain(F.col("text"), SIGNED_DATES), "\n\n"), strip), lambda p: p != "")
-    x = pages.select(id_col, "pdf_filename", "page", F.posexplode(parts).alias("pos", "paragraph")).withColumn("reason", noise_reason(F.col("paragraph"))).where("reason IS NOT NULL")
+    x = pages.select(id_col, "pdf_filename", "page", F.posexplode(noise_parts(F.col("text"))).alias("pos", "paragraph"))
+    x = put(x, "reason", noise_reason(F.col("paragraph"))).where("reason IS NOT NULL")
     return x.withColumns({"char_count": F.length("paragraph"), "word_count": word_count(F.col("paragraph")), "caps_ratio": F.when(letters(F.col("paragraph")) > 0, capitals(F.col("paragraph")) / letters(F.col("paragraph"))).otherwise(0.0)})
 
 
@@ -196,3 +207,16 @@ def removals_by_file(audit: DataFrame) -> DataFrame:
 def longest_removal(audit: DataFrame) -> DataFrame:
     """The longest removed paragraph, the earliest of equals."""
     return audit.agg(F.max_by(F.struct("page_id", "pos", "paragraph", "reason"), F.struct("char_count", -F.col("page_id"), -F.col("pos"))).alias("x")).select("x.*")
+
+
+def removal_summary(audit: DataFrame, day: str | None = None) -> DataFrame:
+    """One row: totals, a map by reason with its examples, a list by file, the longest removal, and the day; nested, for JSON.
+
+    The list by file has one entry per file of the audit.
+    """
+    per_reason = removals_by_reason(audit).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", F.struct("n", "chars", "examples"))))).alias("by_reason"))
+    per_file = removals_by_file(audit).agg(F.array_sort(F.collect_list(F.struct("pdf_filename", "n", "chars"))).alias("by_pdf"))
+    total = audit.agg(F.count("*").alias("total_removals"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("total_chars_removed"))
+    longest = longest_removal(audit).agg(F.first(F.struct("*")).alias("longest_removed"))
+    # One row on every side.
+    return total.join(per_reason).join(per_file).join(longest).withColumn("generation_date", F.lit(day) if day else F.current_date().cast("string"))

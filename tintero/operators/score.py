@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -48,6 +49,29 @@ def keyword_scorer(texts: list[str]) -> list[int | None]:
     return out
 
 
+def retrying(scorer: Scorer, tries: int = 5, first_wait: float = 2.0, longest_wait: float = 30.0, per_minute: float | None = None, sleep: Callable[[float], None] = time.sleep) -> Scorer:
+    """``scorer`` with further tries after a failure, waiting twice as long each time, and at most so many calls a minute in one task.
+
+    The last failure is raised.
+    """
+
+    def call(texts: list[str]) -> list[int | None]:
+        wait = first_wait
+        for k in range(tries):
+            if per_minute:
+                sleep(60.0 / per_minute)
+            try:
+                return scorer(texts)
+            except Exception:
+                if k + 1 == tries:
+                    raise
+                sleep(wait)
+                wait = min(2 * wait, longest_wait)
+        return []
+
+    return call
+
+
 def score_rows(df: DataFrame, scorer: Scorer = keyword_scorer, text_col: str = "text", score_col: str = "fiscal_risk_score") -> DataFrame:
     """Rows with their score and risk index; rows already scored keep theirs.
 

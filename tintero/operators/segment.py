@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tintero.functions.text import dedupe_key, paragraphs, word_count, word_list
-from tintero.runtime import checkpoint
+from tintero.functions.text import dedupe_key, paragraphs, strip, word_count, word_list
+from tintero.runtime import checkpoint, hand_over
 
 # Openings before which a long paragraph is not cut.
 OPENINGS = ["Sin embargo", "No obstante", "Por otro lado", "Asimismo", "Además", "Por lo tanto", "En consecuencia", "De esta manera", "Por otra parte", "En este sentido", "Cabe mencionar"]
@@ -23,24 +23,28 @@ def pair_pages(pages: DataFrame, tie: str = "page_id", mode: str = "as_written")
     ``as_written`` joins them in fixed pairs in page order, an odd last page
     alone.  ``intended`` joins a page with the next one where it does not end a
     sentence.  Text is joined by one space, page_range names first and last page.
+    ``tie`` orders equal pages and tells the rows apart.
     """
-    order = [F.col("page").asc_nulls_last(), F.col(tie)]
-    w = Window.partitionBy("pdf_filename").orderBy(*order)
-    p = pages.withColumn("_n", F.row_number().over(w))
+    order = [F.coalesce(F.col("page"), F.lit(2**31 - 1)).alias("_p"), F.col(tie)]
+    open_end = ~F.coalesce(F.rtrim("text"), F.lit("")).rlike(r"[.!?]\s*$")
+    # Pages are numbered without their texts; a file of any size is numbered in many tasks.
+    p = pages.select("pdf_filename", order[0], F.col(tie).alias("_t"), open_end.alias("_open"))
+    p = running(p, ["_p", "_t"], F.lit(1), "_n", ["pdf_filename"])
     if mode == "as_written":
         p = p.withColumn("_g", F.floor((F.col("_n") - 1) / 2))
     else:
-        open_end = ~F.coalesce(F.rtrim("text"), F.lit("")).rlike(r"[.!?]\s*$")
-        starts = F.when(F.col("_n") == 1, 1).otherwise(F.when(F.lag(open_end).over(w), 0).otherwise(1))
-        p = p.withColumn("_s", starts).withColumn("_g", F.sum("_s").over(w))
-    clean = lambda s: F.regexp_replace(F.coalesce(s["text"], F.lit("")), r"(?U)^\s+|\s+$", "")
+        p = checkpoint(p)
+        before = p.select(F.col("pdf_filename").alias("_f"), (F.col("_n") + 1).alias("_m"), F.col("_open").alias("_joins"))
+        p = p.join(before, F.col("pdf_filename").eqNullSafe(F.col("_f")) & (F.col("_n") == F.col("_m")), "left")
+        p = running(p.withColumn("_s", F.when(F.coalesce("_joins", F.lit(False)), 0).otherwise(1)), ["_n"], F.col("_s"), "_g", ["pdf_filename"])
+    p = pages.select(F.col(tie).alias("_id"), "page", "text").join(p.select("pdf_filename", "_t", "_n", "_g"), F.col("_id") == F.col("_t"))
     parts = F.array_sort(F.collect_list(F.struct("_n", "page", "text")))
     g = p.groupBy("pdf_filename", "_g").agg(parts.alias("x"), F.count("*").alias("n_pages"))
     first, last = F.element_at("x", 1)["page"], F.element_at("x", -1)["page"]
     one = F.col("n_pages") == 1
     return g.select(
         "pdf_filename", first.alias("page"), F.when(one, first.cast("string")).otherwise(F.concat(first.cast("string"), F.lit("-"), last.cast("string"))).alias("page_range"),
-        F.when(one, F.element_at("x", 1)["text"]).otherwise(F.array_join(F.transform("x", clean), " ")).alias("text"), "n_pages",
+        F.when(one, F.element_at("x", 1)["text"]).otherwise(F.array_join(F.transform("x", lambda s: strip(F.coalesce(s["text"], F.lit("")))), " ")).alias("text"), "n_pages",
     )
 
 
@@ -52,20 +56,30 @@ def paragraphs_of(pages: DataFrame, min_chars: int = 20) -> DataFrame:
     return x.select(*keep, (F.col("_p") + 1).alias("position"), "text", F.length("text").alias("length"), word_count(F.col("text")).alias("word_count"))
 
 
-def number_rows(df: DataFrame, keys: list, name: str = "paragraph_num", partitions: int | None = None) -> DataFrame:
-    """Consecutive numbers from 1 in the order of ``keys`` (a total order), without one global sort task.
+def running(df: DataFrame, keys: list[str], value: Column, name: str, group: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Running sums of ``value`` in the order of ``keys`` (a total order), over all rows or within groups.
 
-    Rows are range-partitioned by the keys; each range numbers its own rows and
-    adds the sizes of the ranges before it.
+    Rows are range-partitioned by group and keys; each range sums up its own rows
+    and adds what the ranges before it hold, so that neither one sort task nor one
+    task for a hot group is needed.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    x = checkpoint(df.repartitionByRange(n, *cols).withColumn("_r", F.spark_partition_id()))
-    sizes = x.groupBy("_r").agg(F.count("*").alias("_c"))
-    # One row per range.
-    before = sizes.select("_r", (F.sum("_c").over(Window.orderBy("_r")) - F.col("_c")).alias("_b"))
-    w = Window.partitionBy("_r").orderBy(*cols)
-    return x.join(F.broadcast(before), "_r").withColumn(name, F.row_number().over(w) + F.col("_b")).drop("_r", "_b")
+    group = group or []
+    x = checkpoint(df.withColumn("_v", value).repartitionByRange(n, *group, *keys).withColumn("_r", F.spark_partition_id()))
+    sizes = x.groupBy("_r", *group).agg(F.sum("_v").alias("_c"))
+    # One row per range, and one more for each group that begins in it.
+    earlier = F.sum("_c").over(Window.partitionBy(*group).orderBy("_r")) - F.col("_c")
+    before = hand_over(checkpoint(sizes.select(F.col("_r").alias("_q"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), earlier.alias("_b"))))
+    same = F.col("_r") == F.col("_q")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    w = Window.partitionBy("_r", *group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(before, same).withColumn(name, F.sum("_v").over(w) + F.col("_b")).drop("_r", "_q", "_b", "_v", *(f"_g{i}" for i in range(len(group))))
+
+
+def number_rows(df: DataFrame, keys: list[str], name: str = "paragraph_num", partitions: int | None = None) -> DataFrame:
+    """Consecutive numbers from 1 in the order of ``keys`` (a total order), without one global sort task."""
+    return running(df, keys, F.lit(1), name, None, partitions)
 
 
 def drop_duplicates(df: DataFrame, order: list[str], text_col: str = "text") -> DataFrame:

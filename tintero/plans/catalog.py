@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from tintero.functions.text import parse_date, word_count
 from tintero.operators import aggregate, clean, enrich, layout, links, normalize, quality, scanned_clean, score, segment
 from tintero.plans.oracles import ORACLES
-from tintero.runtime import table
+from tintero.runtime import shared_folder, table
 from tintero.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +41,7 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 @_on("a1_document_scores", SCORED)
 def _(s):
-    return _rounded(aggregate.document_scores(s), "avg_risk_score", "avg_risk_index", "fiscal_tone_index")
+    return _rounded(aggregate.document_scores(s), "avg_risk_score", "avg_risk_index", "tone_index")
 
 
 @_on("a2_tone_index", SCORED)
@@ -494,30 +493,136 @@ def _(p):
     return p.groupBy("source_type").agg(F.format_number(F.sum(F.length(F.coalesce("text", F.lit("")))), 0).alias("chars"))
 
 
+# Results row by row, and operators on columns that the tables offer
+
+
+@_on("s7_types_by_file", PAGES)
+def _(p):
+    short = p.select("pdf_filename", "page", F.substring("text", 1, 4).alias("text"))  # page tops: files of both kinds
+    return layout.extracted(short)
+
+
+@_on("f1_by_document", "documents")
+def _(d):
+    return d.select("doc_id", links.is_presentation(F.col("text")).alias("presentation"))
+
+
+@_on("j5_missing_rows", META, SCORED, PAGES)
+def _(m, s, p):
+    known = s.where("paragraph_num % 2 = 0").select("pdf_filename")  # a listing in which files are missing
+    return enrich.missing_files(m, known, p.where("page > 3").select("pdf_filename")).select("pdf_filename", "scraped_at")
+
+
+@_on("j6_typed_rows", META, PAGES, PARAS)
+def _(m, p, q):
+    return enrich.update_type(m, q.where("source_type = 'editable'"), p.where("page = 2")).select("pdf_filename", "scraped_at", "pdf_type")
+
+
+@_on("j7_unsegmented_rows", PAGES, PARAS)
+def _(p, q):
+    return enrich.only_new(p, q.where("source_type = 'scanned'"), "pdf_filename").select("page_id")
+
+
+@_on("u1_tagged_rows", PAGES)
+def _(p):
+    by = enrich_kind(p)
+    return segment.tagged_union(p.where(by).select("page_id", "page"), p.where(~by).select("page_id", "pdf_filename"))
+
+
+@_on("u2_appended_rows", META, LIST)
+def _(m, x):
+    return enrich.append_new(m.select("page_url", "doc_title", "pdf_url"), x.select("page_url", "doc_title"), "page_url")
+
+
+@_on("w1i_open_texts", PAGES)
+def _(p):
+    return segment.pair_pages(p, mode="intended").select("pdf_filename", "page_range", "text", "n_pages")
+
+
+@_on("w8_chunk_rows", "embeddings")
+def _(e):
+    s = normalize.neighbour_similarity(e, "label", "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
+    return normalize.split_points(s, "label", "vec_id").select("vec_id", "label", "chunk")
+
+
+@_on("w9_merged_by_similarity", PARAS, "embeddings")
+def _(p, e):
+    # Vectors stand for paragraphs: the one whose number is the paragraph's.
+    x = p.where("text IS NOT NULL").join(e.select(F.col("vec_id").alias("row_id"), "embedding"), "row_id").select("pdf_filename", "row_id", F.length("text").alias("len"), "embedding")
+    x = normalize.neighbour_similarity(x, "pdf_filename", "row_id", "embedding").withColumn("similarity", F.round("similarity", 6)).drop("embedding")
+    return normalize.merge_short(x, "pdf_filename", "row_id", "len", short=400, alike=0.05).select("row_id", "merge_id", "merged")
+
+
+@_on("w89_normalised", PARAS)
+def _(p):
+    return normalize.normalised_paragraphs(p.where("pdf_filename IS NOT NULL"))
+
+
+@_on("x5_scored_links", META)
+def _(m):
+    return m.select("pdf_filename", "scraped_at", links.link_score(F.coalesce("pdf_url", F.lit(""))).alias("score"))
+
+
+@_on("x6_image_names", PAGES)
+def _(p):
+    name = F.concat(F.regexp_replace("pdf_filename", r"\.pdf$", ""), F.when(F.col("page") > 1, F.concat(F.lit("_p"), F.format_string("%02d", "page"))).otherwise(""), F.lit("_cropped.png"))
+    file, page = layout.parse_image_name(name)
+    return p.where("pdf_filename IS NOT NULL AND page IS NOT NULL").select("page_id", file.alias("file"), page.alias("page"))
+
+
+@_on("x12_prompt_texts", PARAS)
+def _(p):
+    return p.select("row_id", score.prompt(F.col("text"), "Contexto. ", "Clasifica: [{text}] Responde:").alias("prompt"))
+
+
+@_on("x14_labels", SCORED)
+def _(s):
+    return s.groupBy("fiscal_risk_score", score.label(F.col("fiscal_risk_score")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@_on("x20_absolute", META)
+def _(m):
+    return m.select("pdf_filename", "scraped_at", links.absolute(F.regexp_replace("pdf_url", "^https?:", "")).alias("url"))
+
+
+@_on("f21_pending_rows", SCORED)
+def _(s):
+    return score.pending(s).select("paragraph_num", "pdf_filename")
+
+
+@_on("t8_batch_of_rows", SCORED)
+def _(s):
+    n = segment.number_rows(s.select("pdf_filename", "paragraph_num", "text").withColumn("t", F.md5(F.coalesce("text", F.lit("")))).drop("text"), ["pdf_filename", "paragraph_num", "t"], "n")
+    return n.select("paragraph_num", "n", F.floor((F.col("n") - 1) / 100).alias("batch"))
+
+
+@_on("a20_cost", PARAS)
+def _(p):
+    e = aggregate.cost_estimate(p, 2400)
+    return e.withColumns({c: F.round(c, 3) for c in ("input_cost", "output_cost", "total_cost")})
+
+
+@_on("k10_removal_summary", PAGES)
+def _(p):
+    s = scanned_clean.removal_summary(scanned_clean.removals(p), "2020-01-01")
+    return s.select("total_removals", "total_chars_removed", F.size("by_reason").alias("reasons"), F.size("by_pdf").alias("files"), F.col("longest_removed.page_id").alias("longest_page"), F.aggregate("by_pdf", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("by_pdf_total"))
+
+
 # Streams
 
 
 def _stream(spark: SparkSession, d: str, name: str, schema: str):
-    """A table of one file, or a folder of files, read as a stream."""
-    import glob
-    import os
-    import shutil
-
-    path = f"{d}/{name}.parquet"
-    if os.path.isdir(path):
-        return ingest.folder(spark, path, schema)
-    spool = f"{_work(spark)}/in"
-    os.makedirs(spool, exist_ok=True)
-    for f in glob.glob(path):
-        shutil.copy(f, spool)
-    return ingest.folder(spark, spool, schema)
+    """A table of one file, or a folder of files, read as a stream where it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return ingest.folder(spark, f"{d}/{name}.parquet", schema)
+    return ingest.folder(spark, d, schema, only=f"{name}.parquet")
 
 
 def _work(spark: SparkSession) -> str:
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tintero-")
-    return f"{base.removeprefix('file://')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events_ingested(spark, d):
@@ -536,11 +641,9 @@ def _event_windows(spark, d):
     w = _work(spark)
     s = ingest.windows(_stream(spark, d, "events", ingest.EVENTS))
 
-    def whole(df, n):
-        df.write.mode("overwrite").parquet(f"{w}/out")
-
-    s.writeStream.outputMode("complete").foreachBatch(whole).option("checkpointLocation", f"{w}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{w}/out").select("event_type", "window_start", "n", F.round("total", 2).alias("total"))
+    # Windows come out as they change; state of windows behind the watermark is given up.
+    ingest.run_available(s, f"{w}/out", f"{w}/state", mode="update")
+    return ingest.latest_updates(spark, f"{w}/out", ["event_type", "window_start"]).select("event_type", "window_start", "n", F.round("total", 2).alias("total"))
 
 
 QUERIES |= {"st1_events_ingested": _events_ingested, "st2_pages_cleaned": _pages_cleaned, "st3_event_windows": _event_windows}

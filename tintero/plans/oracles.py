@@ -94,7 +94,7 @@ _GROUPED = "SELECT CASE WHEN {c} IS NULL OR {c} = '' THEN 'Unknown' ELSE {c} END
 ORACLES: dict[str, str] = {
     "a1_document_scores": "SELECT pdf_filename, date, round(avg(fiscal_risk_score), 6) AS avg_risk_score, count(fiscal_risk_score) AS n_paragraphs, round(avg(risk_index), 6) AS avg_risk_index, min(doc_title) AS doc_title, min(doc_type) AS doc_type, min(doc_number) AS doc_number, min(year) AS year, min(month) AS month, "
     + ", ".join(f"count(CASE WHEN fiscal_risk_score = {k} THEN text END) AS score_{k}" for k in range(1, 6))
-    + ", round((3 - avg(fiscal_risk_score)) / 2, 6) AS fiscal_tone_index FROM scored_paragraphs WHERE date IS NOT NULL AND date <> '' GROUP BY pdf_filename, date HAVING count(fiscal_risk_score) > 0",
+    + ", round((3 - avg(fiscal_risk_score)) / 2, 6) AS tone_index FROM scored_paragraphs WHERE date IS NOT NULL AND date <> '' GROUP BY pdf_filename, date HAVING count(fiscal_risk_score) > 0",
     "a2_tone_index": "SELECT fiscal_risk_score AS score, count(*) AS n, (3 - fiscal_risk_score) / 2 AS tone FROM scored_paragraphs GROUP BY 1",
     "a6_score_counts": "SELECT fiscal_risk_score, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM scored_paragraphs)::DOUBLE, 6) AS pct FROM scored_paragraphs GROUP BY 1",
     "a7_corpus_tone": f"SELECT count(*) AS n_documents, round(avg(s), 6) AS mean_score, round(stddev_samp(s), 6) AS std_score, round(avg((3 - s) / 2), 6) AS mean_tone, round(stddev_samp((3 - s) / 2), 6) AS std_tone FROM ({_DOC})",
@@ -171,3 +171,86 @@ ORACLES: dict[str, str] = {
     "t7_year_series": "SELECT year::INT AS year, count(*) AS paragraphs, round(avg(risk_index), 6) AS tone FROM scored_paragraphs WHERE year IS NOT NULL AND year <> '' GROUP BY 1 ORDER BY 1",
     "x19_formatted": f"SELECT source_type, format('{{:,}}', sum(length(coalesce(text, '')))::BIGINT) AS chars FROM {PARAS} GROUP BY 1",
 }
+
+# Staged cleaning of scanned texts.  The patterns are written out again in this dialect, look-around by plain captures.
+_D, _WORDCH = r"\p{Nd}", r"[\p{L}\p{M}\p{Nd}_]"
+_CONTINUES = "de del la el los las un una en con por para sobre al a ante bajo hacia mediante según tras entre sin desde hasta y e o u no".split()
+_IN = ", ".join(f"'{w}'" for w in _CONTINUES)
+_CONNECT = "de|del|la|el|los|las|un|una|en|con|por|para|que|se|y|o|su|sus|sobre|al|ha|han|desde|hasta|entre|sin|tras|ante|bajo|hacia|mediante|según|versus|vía|…|\\.\\.\\.|a"
+_PRELIM = _strip(_sub("text", [(rf"^[Ii]nforme{_S}+N[*°º]?{_S}*{_D}{{3,4}}[-{_C}]*{_D}{{4}}[-{_C}]*CF{_S}+".replace("^[Ii]nforme", "(?i)^informe"), ""), (r" +([<>;:?!,.)\]}])", r"\1"), (r"([(\[{]) +", r"\1"), (" {2,}", " "), (r" +\n", "\n"), (r"\n +", "\n")]))
+_JOINED = _sub("text", [(r"\n\n([a-záéíóúñü])", r" \1"), (rf"\n\n([12]{_D}{{3}})", r" \1"), (rf"\n\n((?:{_CONNECT}){_S})", r" \1"), (rf"\n\n(N[*°{_C}]?{_D})", r" \1"), (r"\n\n(…|\.\.\.)", r" \1"), (rf"\n\n({_D}+[,.]?{_D}*{_S}*(?:por{_S}+ciento|%)?)", r" \1")])
+_LAST = f"lower(regexp_extract(s, {_q(rf'({_W}){_S}*$')}, 1))"
+
+
+def _heading(t: str) -> str:
+    """A heading in scanned text."""
+    words = f"regexp_extract_all({t}, {_q(_W)})"
+    last = f"regexp_replace(lower({words}[-1]), '[.,;:!?]+$', '')"
+    opens = rf"(regexp_matches({t}, '^[\p{{Lu}}\p{{Nd}}]') OR regexp_matches({t}, {_q(rf'(?i)^[ivxlcdmh]+{_S}*[.—:-]')}))"
+    ends = rf"(NOT regexp_matches({t}, {_q(rf'\.{_S}*$')}) OR len({words}) < 8 OR regexp_matches({t}, {_q(rf'[!?]\.{_S}*$')}))"
+    return f"(length({t}) < 200 AND {opens} AND NOT regexp_matches({t}, {_q(rf'(?i)^Lima,?{_S}+{_D}{{1,2}}{_S}+de')}) AND NOT starts_with({t}, 'El presente informe') AND len({words}) BETWEEN 1 AND 34 AND {last} NOT IN ({_IN}) AND {ends})"
+
+
+_N = rf"[IVXLH]{{1,4}}\.?{_S}*[-—]?{_S}*"
+_TITLES = "|".join(f"(?:^(?:{_N})?{t}$)" for t in (rf"Conclusiones?(?:{_S}+y{_S}+recomendaciones)?", "Riesgos?", "Antecedentes?", "Introducción"))
+
+
+def _head(p: str) -> str:
+    t = _strip(p)
+    return f"({t} <> '' AND ({_heading(t)} OR {_label(t)} OR regexp_matches({t}, {_q('(?i)' + _TITLES)})))"
+
+
+_SHORT = [
+    rf"^{_D}+{_S}*/{_S}*{_D}+$", rf"^Lima,{_S}+{_D}+{_S}+de{_S}+{_WORDCH}+{_S}+de{_S}+{_D}{{4}}[^\n]*$", rf"^Informe{_S}+N[*°º]?{_S}*{_D}{{3,4}}[-{_C}]*CF[{_C}.]*$", rf"^PRESIDENTE{_S}+DEL{_S}+CONSEJO{_S}+FISCAL[{_C}.]*$", rf"^Presidente{_S}+(?:del{_S}+)?Consejo{_S}+Fiscal[{_C}.]*$", rf"^Conclusiones?{_S}*:?[{_C}.]*$", rf"^ANEXO{_S}*:?[{_C}.]*$",
+]
+_COUNT = lambda cls: f"length(regexp_replace(p, '[^{cls}]', '', 'g'))"
+_DATED = _sub("text", [
+    (rf"(?i)Lima,{_S}+{_D}{{1,2}}{_S}+de{_S}+{_WORDCH}+{_S}+de{_S}+{_D}{{4}}[^A-Z]*\n\n[{_U}{_C}]+(?:Presidente|PRESIDENTE)[^\n]*", ""), (rf"(?mi)Lima,{_S}+{_D}{{1,2}}{_S}+de{_S}+{_WORDCH}+{_S}+de{_S}+{_D}{{4}}[^.]*?[{_U}][{_U}{_C}]{{10,}}$", ""),
+])
+_NOISE = f"""CASE WHEN regexp_matches(p, {_q(rf'(?i)PRESIDENTE{_S}+DEL{_S}+CONSEJO{_S}+FISCAL[^\n]*?{_D}+/{_D}+[^\n]*?Av\.')}) OR regexp_matches(p, {_q(rf'{_D}+/{_D}+{_S}+Av\.{_S}+')}) THEN 'signature_address'
+ WHEN length(p) < 100 AND ({' OR '.join(f"regexp_matches(p, {_q('(?i)' + x)})" for x in _SHORT)}) THEN 'exact_noise' WHEN length(p) < 30 THEN 'too_short'
+ WHEN length(p) < 100 AND {_COUNT(chr(92) + 'p{L}')} > 10 AND {_COUNT(chr(92) + 'p{Lu}')} > 0.6 * {_COUNT(chr(92) + 'p{L}')} AND (regexp_matches(lower(p), 'presidente|consejo|fiscal') OR (len(w) BETWEEN 2 AND 6 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^(?:\\p{{Lu}}|[^\\p{{L}}])'))) = 0)) THEN 'capitals'
+ WHEN length(p) < 100 AND regexp_matches(p, {_q(rf'^[{_U}{_C}]{{15,}}[?%<>°º*{_C}]*$')}) THEN 'name_garbage' END"""
+_PARTS = f"p0 AS (SELECT page_id, pdf_filename, page, list_filter(list_transform(string_split({_DATED}, {_NL}), lambda s: {_strip('s')}), lambda s: s <> '') AS l FROM {PAGES}), p1 AS (SELECT page_id, pdf_filename, page, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS pos FROM p0), p2 AS (SELECT *, regexp_extract_all(p, {_q(_W)}) AS w FROM p1), p3 AS (SELECT *, {_NOISE} AS reason FROM p2)"
+_AUDIT = f"WITH {_PARTS}, a AS (SELECT page_id, pdf_filename, pos, p, reason, length(p) AS c, CASE WHEN {_COUNT(chr(92) + 'p{L}')} > 0 THEN {_COUNT(chr(92) + 'p{Lu}')} / {_COUNT(chr(92) + 'p{L}')}::DOUBLE ELSE 0 END AS caps FROM p3 WHERE reason IS NOT NULL)"
+_LEFT = _strip(_sub("p", [(rf"{_S}*\({_S}*\)", ""), (rf"{_S}*\[{_S}*\]", ""), (r"[*]{2,}", ""), (r"[?]{2,}", "?"), (r"[!]{2,}", "!"), (r"[_|]+", ""), (" {2,}", " ")]))
+_SIM = "round(list_cosine_similarity(embedding::DOUBLE[], lead(embedding::DOUBLE[]) OVER (PARTITION BY {g} ORDER BY {o})), 6)"
+_TIMES = lambda ws: " + ".join(f"(length(l) - length(replace(l, '{w}', ''))) // {len(w)}" for w in ws)
+_BAD, _GOOD = ("riesgo", "deterioro", "incumpl", "desviaci", "insosten", "déficit", "erosion", "adverso"), ("cumplimiento", "consolidación", "transparen", "prudente", "estable", "superávit")
+_OPENINGS = ["Sin embargo", "No obstante", "Por otro lado", "Asimismo", "Además", "Por lo tanto", "En consecuencia", "De esta manera", "Por otra parte", "En este sentido", "Cabe mencionar"]
+_SENTS = f"s AS (SELECT row_id, string_split(regexp_replace(text, {_q(r'([.!?])[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'x0b' + chr(92) + 'f' + chr(92) + 'r]+')}, {_q(chr(92) + '1' + chr(1))}, 'g'), chr(1)) AS l FROM {PARAS} WHERE {{where}})"
+
+ORACLES |= {
+    "n0_preliminary": f"SELECT page_id, {_PRELIM} AS text FROM {PAGES}",
+    "n4_false_breaks": f"WITH j AS (SELECT page_id, list_filter(list_transform(string_split({_JOINED}, {_NL}), lambda s: {_strip('s')}), lambda s: s <> '') AS l FROM {PAGES} WHERE text IS NOT NULL), u AS (SELECT page_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM j), k AS (SELECT *, coalesce(lag({_LAST}) OVER (PARTITION BY page_id ORDER BY i) IN ({_IN}) AND regexp_matches(s, '^\\p{{Lu}}'), false) AS jn FROM u), g AS (SELECT *, sum((NOT jn)::INT) OVER (PARTITION BY page_id ORDER BY i) AS g FROM k), h AS (SELECT page_id, g, string_agg(s, ' ' ORDER BY i) AS t FROM g GROUP BY 1, 2), r AS (SELECT page_id, string_agg(t, {_NL} ORDER BY g) AS t FROM h GROUP BY 1) SELECT p.page_id, CASE WHEN p.text IS NOT NULL THEN coalesce(r.t, '') END AS text FROM {PAGES} p LEFT JOIN r USING (page_id)",
+    "n5_headings": f"WITH k AS (SELECT page_id, string_split(text, {_NL}) AS l FROM {PAGES}), f AS (SELECT page_id, list_filter(l, lambda p, i: NOT (i % 2 = 0 AND i < len(l) AND {_head('p')})) AS l FROM k) SELECT page_id, array_to_string(CASE WHEN len(l) > 1 AND {_head('l[1]')} THEN l[2:] ELSE l END, {_NL}) AS text FROM f",
+    "n6_noise": f"WITH {_PARTS}, k AS (SELECT page_id, pos, {_LEFT} AS t FROM p3 WHERE reason IS NULL), r AS (SELECT page_id, string_agg(t, {_NL} ORDER BY pos) AS t FROM k WHERE t <> '' GROUP BY 1) SELECT p.page_id, CASE WHEN p.text IS NOT NULL THEN coalesce(r.t, '') END AS text FROM {PAGES} p LEFT JOIN r USING (page_id)",
+    "a17_removals_by_reason": _AUDIT + " SELECT reason, count(*) AS n, sum(c)::BIGINT AS chars, list(p ORDER BY page_id, pos)[1:5] AS examples FROM a GROUP BY 1",
+    "a18_removals_by_file": _AUDIT + " SELECT pdf_filename, count(*) AS n, sum(c)::BIGINT AS chars FROM a GROUP BY 1",
+    "a19_longest_removal": _AUDIT + " SELECT page_id, pos::INT AS pos, p AS paragraph, reason FROM a ORDER BY c DESC, page_id, pos LIMIT 1",
+    "a29_removal_flags": _AUDIT + " SELECT CASE reason WHEN 'capitals' THEN 'capitals' WHEN 'too_short' THEN 'short' ELSE 'pattern' END AS category, count(*) AS n, round(avg(caps), 6) AS caps_ratio FROM a GROUP BY 1",
+    "t4_most_removals": _AUDIT + " SELECT pdf_filename, count(*) AS n, sum(c)::BIGINT AS chars FROM a GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "k10_removal_summary": _AUDIT + " SELECT count(*) AS total_removals, sum(c)::BIGINT AS total_chars_removed, count(DISTINCT reason)::INT AS reasons, count(DISTINCT pdf_filename)::INT AS files, (SELECT page_id FROM a ORDER BY c DESC, page_id, pos LIMIT 1) AS longest_page, count(*) AS by_pdf_total FROM a",
+    "f15_before_annex": f"WITH h AS (SELECT *, coalesce(regexp_matches(text, {_q(rf'(?i)^{_S}*ANEXOS?(?:{_S}+(?:[IVXLCDM]+|{_D}+))?{_S}*:?')}), false) AS o, {_at(rf'(?:^|\n) *Anexos?(?:[^\p{{L}}\p{{M}}\p{{Nd}}_]|$)', 'is')} AS q FROM {PAGES}), m AS (SELECT *, CASE WHEN q IS NOT NULL AND substr(text, q + 1, 1) = chr(10) THEN q + 1 ELSE q END AS p FROM h), f AS (SELECT pdf_filename, min(page) AS fp FROM m WHERE o OR p IS NOT NULL GROUP BY 1), j AS (SELECT page_id, page, fp, CASE WHEN page = fp AND p IS NOT NULL THEN rtrim(substr(text, 1, p), ' ') ELSE text END AS text FROM m LEFT JOIN f USING (pdf_filename) WHERE fp IS NULL OR page < fp OR (page = fp AND NOT o)) SELECT page_id, text FROM j WHERE fp IS NULL OR page < fp OR text <> ''",
+    "v5_scored": f"WITH t AS (SELECT paragraph_num, fiscal_risk_score AS f, text, lower(coalesce(text, '')) AS l FROM scored_paragraphs WHERE fiscal_risk_score IS NULL), d AS (SELECT paragraph_num, f, l, ({_TIMES(_BAD)}) - ({_TIMES(_GOOD)}) AS d FROM t), r AS (SELECT paragraph_num, CASE WHEN l <> '' THEN greatest(1, least(5, 3 + (d > 0)::INT + (d > 2)::INT - (d < 0)::INT - (d < -2)::INT)) END AS s FROM d) SELECT paragraph_num, s::INT AS fiscal_risk_score, (3 - s) / 2.0 AS risk_index FROM r",
+    "w10_word_chunks": f"WITH RECURSIVE {_SENTS.format(where='text IS NOT NULL')}, r AS (SELECT row_id, l, 1 AS i, 0 AS chunk, '' AS cur, 0 AS n, NULL::VARCHAR AS done FROM s UNION ALL SELECT row_id, l, i + 1, CASE WHEN ov THEN chunk + 1 ELSE chunk END, CASE WHEN ov OR cur = '' THEN x ELSE cur || ' ' || x END, CASE WHEN ov THEN k ELSE n + k END, CASE WHEN ov THEN cur END FROM (SELECT *, l[i] AS x, len(regexp_extract_all(l[i], {_q(_W)})) AS k, n + len(regexp_extract_all(l[i], {_q(_W)})) > 100 AND cur <> '' AND NOT ({' OR '.join(f"starts_with(l[i], '{o}')" for o in _OPENINGS)}) AS ov FROM r WHERE i <= len(l))) SELECT row_id, (chunk - 1)::INT AS chunk, done AS text FROM r WHERE done IS NOT NULL UNION ALL SELECT row_id, chunk::INT, cur FROM r WHERE i = len(l) + 1 AND cur <> ''",
+    "w8_packed": f"WITH RECURSIVE {_SENTS.format(where='length(text) > 1000')}, r AS (SELECT row_id, l, 2 AS i, 0 AS chunk, l[1] AS cur, NULL::VARCHAR AS done FROM s UNION ALL SELECT row_id, l, i + 1, CASE WHEN ov THEN chunk + 1 ELSE chunk END, CASE WHEN ov THEN l[i] ELSE cur || ' ' || l[i] END, CASE WHEN ov THEN cur END FROM (SELECT *, length(cur) + length(l[i]) > 700 AS ov FROM r WHERE i <= len(l))) SELECT row_id, (chunk - 1)::INT AS chunk, done AS text FROM r WHERE done IS NOT NULL UNION ALL SELECT row_id, chunk::INT, cur FROM r WHERE i = len(l) + 1",
+    "s7_types_by_file": f"WITH t AS (SELECT pdf_filename, page, substr(text, 1, 4) AS t FROM {PAGES}), g AS (SELECT pdf_filename, {_strip("coalesce(string_agg(coalesce(t, ''), '' ORDER BY page, t), '')")} AS t FROM t GROUP BY 1) SELECT pdf_filename, CASE WHEN length(t) >= 20 THEN 'editable' ELSE 'scanned' END AS pdf_type FROM g",
+    "f1_by_document": f"SELECT doc_id, {_SHOW.replace('{}', 'text')} AS presentation FROM documents",
+    "j5_missing_rows": f"SELECT pdf_filename, scraped_at FROM cf_metadata m WHERE pdf_filename IS NOT NULL AND NOT EXISTS (SELECT 1 FROM scored_paragraphs s WHERE s.paragraph_num % 2 = 0 AND s.pdf_filename = m.pdf_filename) AND NOT EXISTS (SELECT 1 FROM {PAGES} p WHERE p.page > 3 AND p.pdf_filename = m.pdf_filename)",
+    "j6_typed_rows": f"WITH e AS (SELECT DISTINCT pdf_filename FROM {PARAS} WHERE source_type = 'editable'), s AS (SELECT DISTINCT pdf_filename FROM {PAGES} WHERE page = 2) SELECT pdf_filename, scraped_at, CASE WHEN pdf_filename IN (SELECT pdf_filename FROM s) THEN 'scanned' WHEN pdf_filename IN (SELECT pdf_filename FROM e) THEN 'editable' ELSE pdf_type END AS pdf_type FROM cf_metadata",
+    "j7_unsegmented_rows": f"SELECT page_id FROM {PAGES} p WHERE NOT EXISTS (SELECT 1 FROM {PARAS} q WHERE q.source_type = 'scanned' AND q.pdf_filename = p.pdf_filename)",
+    "u1_tagged_rows": f"SELECT page_id, page, NULL::VARCHAR AS pdf_filename, 'scanned' AS source_type FROM {PAGES} WHERE lower(pdf_filename) LIKE 'informe%' UNION ALL SELECT page_id, NULL, pdf_filename, 'editable' FROM {PAGES} WHERE lower(pdf_filename) NOT LIKE 'informe%'",
+    "u2_appended_rows": "SELECT page_url, doc_title, pdf_url FROM cf_metadata UNION ALL SELECT page_url, doc_title, NULL FROM list_rows l WHERE NOT EXISTS (SELECT 1 FROM cf_metadata m WHERE m.page_url = l.page_url)",
+    "w1i_open_texts": rf"WITH p AS (SELECT pdf_filename, page, text, row_number() OVER w AS n, lag(NOT regexp_matches(rtrim(coalesce(text, '')), '[.!?]\s*$')) OVER w AS o FROM {PAGES} WINDOW w AS (PARTITION BY pdf_filename ORDER BY page NULLS LAST, page_id)), s AS (SELECT *, sum(CASE WHEN n > 1 AND o THEN 0 ELSE 1 END) OVER (PARTITION BY pdf_filename ORDER BY n) AS g FROM p) SELECT pdf_filename, CASE WHEN count(*) = 1 THEN min(page)::VARCHAR ELSE arg_min(page, n) || '-' || arg_max(page, n) END AS page_range, CASE WHEN count(*) = 1 THEN min(text) ELSE string_agg({_strip("coalesce(text, '')")}, ' ' ORDER BY n) END AS text, count(*) AS n_pages FROM s GROUP BY pdf_filename, g",
+    "w8_chunk_rows": f"WITH s AS (SELECT vec_id, label, {_SIM.format(g='label', o='vec_id')} AS c FROM embeddings), t AS (SELECT *, coalesce((c < avg(c) OVER (PARTITION BY label) - 0.5 * stddev_pop(c) OVER (PARTITION BY label))::INT, 0) AS x FROM s) SELECT vec_id, label, coalesce(sum(x) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chunk FROM t",
+    "w9_merged_by_similarity": f"WITH b AS (SELECT pdf_filename, row_id, length(text) AS n, {_SIM.format(g='pdf_filename', o='row_id')} AS c FROM {PARAS} JOIN embeddings ON vec_id = row_id WHERE text IS NOT NULL), r AS (SELECT *, lead(n) OVER (PARTITION BY pdf_filename ORDER BY row_id) AS m FROM b), f AS (SELECT *, coalesce(n < 400 AND n + m <= 1000 AND c >= 0.05, false) AS can FROM r), g AS (SELECT *, row_number() OVER (PARTITION BY pdf_filename ORDER BY row_id) - row_number() OVER (PARTITION BY pdf_filename, can ORDER BY row_id) AS isl FROM f), h AS (SELECT *, can AND row_number() OVER (PARTITION BY pdf_filename, can, isl ORDER BY row_id) % 2 = 1 AS st FROM g), k AS (SELECT *, coalesce(lag(st) OVER w, false) AS tk, lag(row_id) OVER w AS pr FROM h WINDOW w AS (PARTITION BY pdf_filename ORDER BY row_id)) SELECT row_id, CASE WHEN tk THEN pr ELSE row_id END AS merge_id, st OR tk AS merged FROM k",
+    "x5_scored_links": f"SELECT pdf_filename, scraped_at, ({_WANTED.replace('{}', chr(34) + 'u' + chr(34))})::INT AS score FROM (SELECT *, coalesce(pdf_url, '') AS u FROM cf_metadata)",
+    "x6_image_names": f"SELECT page_id, regexp_replace(pdf_filename, '\\.pdf$', '') || '.pdf' AS file, CASE WHEN page > 1 THEN page ELSE 1 END AS page FROM {PAGES} WHERE pdf_filename IS NOT NULL AND page IS NOT NULL",
+    "x12_prompt_texts": f"SELECT row_id, 'Contexto. Clasifica: [' || coalesce(text, '') || '] Responde:' AS prompt FROM {PARAS}",
+    "x14_labels": "SELECT fiscal_risk_score, CASE fiscal_risk_score WHEN 1 THEN 'Sin preocupación fiscal' WHEN 2 THEN 'Leve preocupación' WHEN 3 THEN 'Neutral o técnico' WHEN 4 THEN 'Alta preocupación' WHEN 5 THEN 'Alarma fiscal' END AS label, count(*) AS n FROM scored_paragraphs GROUP BY 1, 2",
+    "x20_absolute": "SELECT pdf_filename, scraped_at, CASE WHEN u LIKE '//%' THEN 'https:' || u ELSE u END AS url FROM (SELECT *, regexp_replace(pdf_url, '^https?:', '') AS u FROM cf_metadata)",
+    "f21_pending_rows": "SELECT paragraph_num, pdf_filename FROM scored_paragraphs WHERE fiscal_risk_score IS NULL",
+    "t8_batch_of_rows": "WITH n AS (SELECT paragraph_num, row_number() OVER (ORDER BY pdf_filename, paragraph_num, md5(coalesce(text, ''))) AS n FROM scored_paragraphs) SELECT paragraph_num, n, (n - 1) // 100 AS batch FROM n",
+    "a20_cost": f"WITH t AS (SELECT count(*) AS n, ((sum(length(coalesce(text, ''))) + 2400 * count(*)) // 4)::BIGINT AS i FROM {PARAS}) SELECT n AS n_rows, i AS input_tokens, n * 5 AS output_tokens, round(i * 0.0025 / 1000, 3) AS input_cost, round(n * 5 * 0.01 / 1000, 3) AS output_cost, round(i * 0.0025 / 1000 + n * 5 * 0.01 / 1000, 3) AS total_cost FROM t",
+}

@@ -10,8 +10,9 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tintero.operators import aggregate, clean, enrich, quality, scanned_clean, score, segment
+from tintero.operators import aggregate, clean, enrich, layout, normalize, quality, scanned_clean, score, segment
 from tintero.sources import readers, writers
 
 
@@ -22,6 +23,8 @@ class Config:
     data_dir: str = "data"
     metadata_dir: str = "metadata"
     output_dir: str = "output"
+    incremental: bool = False
+    normalize: bool = False
     extra: dict = field(default_factory=dict)
 
     def ensure(self) -> None:
@@ -32,8 +35,21 @@ class Config:
         return f"{self.output_dir}/{name}"
 
 
+def runtime_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 class Runner:
-    """Collect, classify, extract, clean and analyse; every stage reads and writes parquet or JSON in the run's folders."""
+    """Collect, classify, extract, clean and analyse; every stage reads and writes parquet or JSON in the run's folders.
+
+    Files are told apart by their text layer.  Editable pages are cut at their
+    annex and cleaned by the rules for editable texts, scanned ones by the staged
+    rules; both are then paired across page ends, split into paragraphs, graded
+    and scored.  Cleaning goes on where an earlier run stopped: files that are in
+    its result are not cleaned again (``incremental``).
+    """
 
     STAGES = ("collect", "classify", "extract", "clean", "analyze")
 
@@ -52,27 +68,47 @@ class Runner:
 
     def classify(self) -> DataFrame:
         pages = readers.json_array(self.spark, f"{self.config.data_dir}/pages*.json", readers.PAGES)
-        from tintero.operators.layout import extracted
-
-        kinds = extracted(pages)
+        kinds = self._save(layout.extracted(pages), "kinds")
         meta = self.spark.read.parquet(self.config.path("metadata_raw"))
-        return self._save(enrich.update_type(meta.withColumn("pdf_type", meta["page_url"].substr(1, 0).cast("string")), kinds.where("pdf_type = 'editable'"), kinds.where("pdf_type = 'scanned'")), "metadata")
+        return self._save(enrich.update_type(meta.withColumn("pdf_type", F.lit(None).cast("string")), kinds.where("pdf_type = 'editable'"), kinds.where("pdf_type = 'scanned'")), "metadata")
 
     def extract(self) -> DataFrame:
         pages = readers.json_array(self.spark, f"{self.config.data_dir}/pages*.json", readers.PAGES)
-        from tintero.operators.layout import before_annex
-
-        return self._save(before_annex(pages), "pages")
+        kinds = self.spark.read.parquet(self.config.path("kinds"))
+        pages = pages.join(kinds, "pdf_filename").withColumn("page_id", F.xxhash64("pdf_filename", "page", "text"))
+        editable = layout.before_annex(pages.where("pdf_type = 'editable'"))
+        return self._save(editable.unionByName(pages.where("pdf_type = 'scanned'")), "pages")
 
     def clean(self) -> DataFrame:
         pages = self.spark.read.parquet(self.config.path("pages"))
-        return self._save(clean.clean_pages(pages).drop("text").withColumnRenamed("cleaned_text", "text"), "clean_pages")
+        target = self.config.path("clean_pages")
+        old = self.spark.read.parquet(target) if self.config.incremental and runtime_exists(self.spark, target) else None
+        if old is not None:
+            pages = enrich.only_new(pages, old, "pdf_filename")
+        editable = clean.clean_pages(pages.where("pdf_type = 'editable'")).select("page_id", "pdf_filename", "page", "pdf_type", F.col("cleaned_text").alias("text"))
+        scanned = scanned_clean.clean_scanned(pages.where("pdf_type = 'scanned'")).select("page_id", "pdf_filename", "page", "pdf_type", "text")
+        new = editable.unionByName(scanned)
+        if old is None:
+            return self._save(new, "clean_pages")
+        new.write.mode("append").parquet(target)
+        return self.spark.read.parquet(target)
+
+    def paragraphs(self) -> DataFrame:
+        """Paragraphs of the cleaned pages, paired across page ends, with their source_type and number."""
+        pages = self.spark.read.parquet(self.config.path("clean_pages"))
+        parts = []
+        for kind, mode in (("editable", "as_written"), ("scanned", "intended")):
+            pairs = segment.pair_pages(pages.where(F.col("pdf_type") == kind), mode=mode)
+            parts.append(segment.paragraphs_of(pairs).withColumn("source_type", F.lit(kind)))
+        both = parts[0].unionByName(parts[1])
+        return segment.number_rows(both, ["pdf_filename", "page", "position"])
 
     def analyze(self) -> DataFrame:
-        pages = self.spark.read.parquet(self.config.path("clean_pages")).select("pdf_filename", "page", "text")
-        p = segment.paragraphs_of(pages)
+        p = quality.valid(self._save(self.paragraphs(), "paragraphs"))
+        if self.config.normalize:
+            p = self._save(normalize.normalised_paragraphs(p), "normalised")
         meta = self.spark.read.parquet(self.config.path("metadata"))
-        scored = score.score_rows(quality.valid(enrich.with_metadata(p, meta.withColumn("scraped_at", meta["date"].cast("timestamp")))), self.scorer)
+        scored = score.score_rows(enrich.with_metadata(p, meta.withColumn("scraped_at", meta["date"].cast("timestamp"))), score.retrying(self.scorer))
         out = self._save(aggregate.document_scores(scored), "document_scores")
         writers.csv(out, self.config.path("document_scores_csv"))
         return out

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tintero.runtime import bytes_of
+
 
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS").json(path)
 
 
+#: Bytes of a result that may be put into one row.
+ONE_ROW = 64 << 20
+
+
 def json_array(df: DataFrame) -> DataFrame:
-    """One row holding the rows as one JSON array, for small results only."""
+    """One row holding the rows as one JSON array; results beyond the bound are refused, write them as lines."""
+    if bytes_of(df) > ONE_ROW:
+        raise ValueError(f"more than {ONE_ROW} bytes for one JSON array; use json_lines")
     return df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("json"))
 
 
@@ -33,3 +41,10 @@ def routed(df: DataFrame, path: str, by: str = "pdf_type") -> None:
 def batch(df: DataFrame, path: str, batch_id: int) -> None:
     """A batch written under its number: writing it again replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def backup(df: DataFrame, path: str, moment: str) -> str:
+    """A copy under the moment it was taken; returns its place."""
+    place = f"{path}_backup_{moment}"
+    json_lines(df, place)
+    return place
