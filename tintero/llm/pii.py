@@ -29,7 +29,7 @@ LABELS = ["O", "B-NAME", "I-NAME", "EMAIL", "PHONE", "ID", "B-ADDRESS", "I-ADDRE
 L = len(LABELS)
 TYPE = np.array([0, 1, 1, 2, 3, 4, 5, 5])
 #: Labelled documents fitted on, passes over them, documents of one step, how far a step goes, and the share of features left out in one.
-LABELLED = 6000
+LABELLED = 9000
 EPOCHS = 8
 STEP = 100
 RATE = 0.3
@@ -56,30 +56,32 @@ BEFORE_NUMBER = frozenset("a n s km lote dpto int nº calle avenida carretera pa
 
 _AT = r"(?:\s?@\s?|\s?\(\s?(?:arroba|at)\s?\)\s?|\s?\[\s?(?:arroba|at)\s?\]\s?|\s(?:arroba)\s)"
 _DOT = r"(?:\.|\s(?:punto|dot)\s|\s?\[(?:dot|punto)\]\s?)"
-_TOKEN = re.compile(
-    rf"(?P<E>[^\W_][\w.+%-]*{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)+)"
-    r"|(?P<N>(?:\+\d{1,3}(?:[^\S\n]|[.-])?)?(?:\(\d{1,4}\)[^\S\n]?)?\d+(?:(?:[^\S\n]|[.\-/,])\d+)*)"
+_OTHER = (
+    r"(?P<N>(?:\+\d{1,3}(?:[^\S\n]|[.-])?)?(?:\(\d{1,4}\)[^\S\n]?)?\d+(?:(?:[^\S\n]|[.\-/,])\d+)*)"
     r"|(?P<I>(?:[^\W\d_]\.){2,})"
     r"|(?P<W>[^\W\d_]+(?:['’\-][^\W\d_]+)*)"
-    r"|(?P<P>[^\w\s]|_)",
-    re.I,
+    r"|(?P<P>[^\w\s]|_)"
 )
+_TOKEN = re.compile(rf"(?P<E>[^\W_][\w.+%-]*{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)+)|{_OTHER}", re.I)
+#: The same for stretches without an address sign.
+_PLAIN = re.compile(_OTHER)
 # Sentence ends: a stop after a word of three letters, a digit or a closing mark, before a capital or an opening mark.
 _STOP = re.compile(r"[.!?](?:(?<=[^\W\d_][^\W\d_][^\W\d_].)|(?<=[\d)»\"].))\s+(?=[^\W\d_a-zà-ÿ<¿¡«\"])")
 # Abbreviations after which a stretch goes on.
 _ABBREVIATION = re.compile(r"\b(?:psje|pasj|urb|dpto|avda|prol|cdra|doc|fdo|ing|lic|dra|sra|srta|núm|prof|gral|arq|abog|cel|tel|telf|exp|art|inc|cap|mz|lt|int)\.$", re.I)
 # Evidence without which a stretch holds no entity.  A pattern's first class lets other characters pass at once.
 _UP = "A-ZÀ-ÖØ-ÞĀ-ɏͰ-ԯ"
-_RUN = re.compile(rf"[{_UP}](?<![^\W_].)(?<!\..)(?:[^\W\d_]+|\.),?[^\S\n](?:(?:[dD][eEaAoO][lL]?|[lL][aA][sS]?|[lL]os|LOS)[^\S\n]){{0,2}}[{_UP}](?:[^\W\d_]|\.)")
+_RUN = re.compile(rf"[{_UP}](?:[^\W\d_]+|\.),?[^\S\n](?:(?:[dD][eEaAoO][lL]?|[lL][aA][sS]?|[lL]os|LOS)[^\S\n]){{0,2}}[{_UP}](?:[^\W\d_]|\.)")
 _NUMBER = re.compile(r"\d(?:[\d.\-/()]|[^\S\n]){4,}\d")
 _PLACE = re.compile(rf"\bkm\s|\blote\b|\b(?:{'|'.join(sorted(STREET))})\b\.?\s", re.I)
 _SIGN = re.compile(r"arroba|[\[(]at[\])]", re.I)
 
 
 def segments(text: str):
-    """(start, end) of the stretches that can hold an entity: sentences with a number of six or more
+    """(start, end, whether it may hold an address sign) of the stretches that can hold an entity: sentences with a number of six or more
     digits, a digit and a street word, an address sign, or two capitalised words in a row."""
-    signs = _SIGN.search(text) is not None
+    low = text.lower()
+    signs = "@" in low or "arroba" in low or "at)" in low or "at]" in low
     at = 0
     for line in text.split("\n"):
         end = at + len(line)
@@ -90,10 +92,10 @@ def segments(text: str):
                 if _ABBREVIATION.search(text, max(lo, cut - 8), cut):
                     continue
                 if _evidence(text, lo, cut, signs):
-                    yield lo, cut
+                    yield lo, cut, signs and _signed(text, lo, cut)
                 lo = at + m.end()
             if lo < end and _evidence(text, lo, end, signs):
-                yield lo, end
+                yield lo, end, signs and _signed(text, lo, end)
         at = end + 1
 
 
@@ -101,11 +103,15 @@ _DIGIT = re.compile(r"\d")
 
 
 def _evidence(text: str, a: int, b: int, signs: bool) -> bool:
-    if _RUN.search(text, a, b) or text.find("@", a, b) >= 0:
+    if _RUN.search(text, a, b):
         return True
     if _DIGIT.search(text, a, b) and (_NUMBER.search(text, a, b) or _PLACE.search(text, a, b)):
         return True
-    return signs and _SIGN.search(text, a, b) is not None
+    return signs and _signed(text, a, b)
+
+
+def _signed(text: str, a: int, b: int) -> bool:
+    return text.find("@", a, b) >= 0 or _SIGN.search(text, a, b) is not None
 
 
 def _shape(w: str) -> str:
@@ -188,14 +194,14 @@ class Chains:
 
     def __init__(self, texts: list[str], known: Tokens):
         ids, at, to, self.first, self.size, self.doc = [0, 0], [0, 0], [0, 0], [], [], []
-        get, scan = known.__getitem__, _TOKEN.finditer
+        get = known.__getitem__
         for d, text in enumerate(texts):
-            for a, b in segments(text):
+            for a, b, sign in segments(text):
                 lo = len(ids)
-                for m in scan(text, a, b):
-                    ids.append(get(m.group()))
-                    at.append(m.start())
-                    to.append(m.end())
+                spans = [m.span() for m in (_TOKEN if sign else _PLAIN).finditer(text, a, b)]
+                ids += [get(text[x:z]) for x, z in spans]
+                at += [x for x, _ in spans]
+                to += [z for _, z in spans]
                 if len(ids) > lo:
                     self.first.append(lo)
                     self.size.append(len(ids) - lo)
