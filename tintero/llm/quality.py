@@ -55,7 +55,8 @@ STATS = {
     "ended_line_share": "size(filter(_lines, x -> x RLIKE '[.!?。！？।؟][»\")]*@s*$')) / greatest(size(_lines), 1)",
     "page_line_share": _OF_LINES.format(test="right(rtrim(x), 1) BETWEEN '0' AND '9' AND x RLIKE '(?:  |[.]{3}).*[0-9]@s*$'"),
     "short_line_share": "if(size(_lines) > 2, size(filter(_lines, x -> length(x) <= 24)) / size(_lines), 0D)",
-    "run_share": "(" + _N + " - length(regexp_replace(array_join(_tok, ''), '(.{1,4}?)@1{5,}', ''))) / greatest(" + _N + ", 1)",
+    # The first pattern finds a run exactly where the second one does, in half its time.
+    "run_share": "if(array_join(_tok, '') RLIKE '(.{1,4})@1@1@1@1@1', (" + _N + " - length(regexp_replace(array_join(_tok, ''), '(.{1,4}?)@1{5,}', ''))) / greatest(" + _N + ", 1), 0D)",
     "leaders": "if(instr(_t, '.....') > 0, regexp_count(_t, '[.]{5,}'), 0)",
 }
 #: Statistics that a rule reads only where its cheaper conditions hold: they are written into the CASE expression itself.
