@@ -608,6 +608,46 @@ def _(p):
     return s.select("total_removals", "total_chars_removed", F.size("by_reason").alias("reasons"), F.size("by_pdf").alias("files"), F.col("longest_removed.page_id").alias("longest_page"), F.aggregate("by_pdf", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("by_pdf_total"))
 
 
+# Detail pages and words made of columns of the tables
+
+
+@_on("f2_links", META)
+def _(m):
+    title = F.regexp_replace(F.coalesce("doc_title", F.lit("")), "[<>]", "")
+    html = F.concat(F.lit('<p><a class="d" href="'), F.coalesce("pdf_url", F.lit("")), F.lit('"> <b>'), title, F.lit('</b> </a><a href="x.html">n</a></p>'))
+    return links.extract_links(m.select("pdf_filename", "scraped_at", html.alias("html"))).select("pdf_filename", "scraped_at", "pos", "href", "label")
+
+
+@_on("s1_listing", LIST)
+def _(x):
+    cell = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[<>]", "")
+    html = F.concat(F.lit('<table><tr><td class="size100"><p>'), cell("date"), F.lit('</p></td><td><a href="'), F.coalesce("page_url", F.lit("")), F.lit('">'), cell("doc_title"), F.lit("</a></td></tr></table>"))
+    return links.list_rows_from_html(x.select(html.alias("html"))).select("date", "doc_title", "page_url")
+
+
+@_on("f7_resolved", META)
+def _(m):
+    html = F.concat(F.lit('<iframe width="1" src="'), F.regexp_replace(F.coalesce("pdf_url", F.lit("")), "^https?:", ""), F.lit('"></iframe>'))
+    return m.select("pdf_filename", "scraped_at", links.resolve_url(html).alias("url"))
+
+
+def _words(x):
+    d = lambda c: F.col(c).cast("double")
+    return x.select(
+        F.col("l_suppkey").cast("string").alias("pdf_filename"), F.col("l_linenumber").cast("int").alias("page"), F.lit(7).alias("total_pages"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), F.col("l_orderkey").alias("seq"), F.col("l_returnflag").alias("text"), (F.lit(8.0) + d("l_quantity") % 5).alias("size"), F.floor(d("l_extendedprice") % 842).cast("double").alias("top"), (F.col("l_partkey") % 595).cast("double").alias("x0"), F.lit("F").alias("fontname"),
+    )
+
+
+@_on("f5_body_words", "lineitem")
+def _(x):
+    return layout.body_words(_words(x), left=30.0, right=50.0).groupBy("page", "text").agg(F.count("*").alias("n"), F.min("top").alias("first"), F.max("top").alias("last"))
+
+
+@_on("w3_lines", "lineitem")
+def _(x):
+    return layout.lines(_words(x)).select("pdf_filename", "page", "top", "line", "left")
+
+
 # Streams
 
 

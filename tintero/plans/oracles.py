@@ -253,4 +253,9 @@ ORACLES |= {
     "f21_pending_rows": "SELECT paragraph_num, pdf_filename FROM scored_paragraphs WHERE fiscal_risk_score IS NULL",
     "t8_batch_of_rows": "WITH n AS (SELECT paragraph_num, row_number() OVER (ORDER BY pdf_filename, paragraph_num, md5(coalesce(text, ''))) AS n FROM scored_paragraphs) SELECT paragraph_num, n, (n - 1) // 100 AS batch FROM n",
     "a20_cost": f"WITH t AS (SELECT count(*) AS n, ((sum(length(coalesce(text, ''))) + 2400 * count(*)) // 4)::BIGINT AS i FROM {PARAS}) SELECT n AS n_rows, i AS input_tokens, n * 5 AS output_tokens, round(i * 0.0025 / 1000, 3) AS input_cost, round(n * 5 * 0.01 / 1000, 3) AS output_cost, round(i * 0.0025 / 1000 + n * 5 * 0.01 / 1000, 3) AS total_cost FROM t",
+    "f2_links": f"SELECT pdf_filename, scraped_at, 0 AS pos, pdf_url AS href, {_strip("regexp_replace(coalesce(doc_title, ''), '[<>]', '', 'g')")} AS label FROM cf_metadata WHERE lower(pdf_url) LIKE '%.pdf%'",
+    "s1_listing": f"SELECT {_strip("regexp_replace(coalesce(date, ''), '[<>]', '', 'g')")} AS date, {_strip("regexp_replace(coalesce(doc_title, ''), '[<>]', '', 'g')")} AS doc_title, page_url FROM list_rows WHERE page_url <> ''",
+    "f7_resolved": "SELECT pdf_filename, scraped_at, CASE WHEN lower(u) LIKE '%.pdf%' THEN CASE WHEN u LIKE '//%' THEN 'https:' || u ELSE u END END AS url FROM (SELECT *, regexp_replace(pdf_url, '^https?:', '') AS u FROM cf_metadata)",
+    "f5_body_words": "WITH w AS (SELECT l_linenumber::INT AS page, l_returnflag AS text, 8.0 + l_quantity::DOUBLE % 5 AS size, floor(l_extendedprice::DOUBLE % 842) AS top, l_partkey % 595 AS x0 FROM lineitem) SELECT page, text, count(*) AS n, min(top) AS first, max(top) AS last FROM w WHERE size BETWEEN 10.5 AND 11.9 AND round_even(size, 1) NOT IN (9.5, 8.5, 8.4, 7.9, 7.0, 6.5, 6.0, 5.5) AND top > CASE WHEN page = 1 THEN 100 ELSE 70 END AND top < 842 - CASE WHEN page = 7 THEN 120 ELSE 85 END AND x0 > 30 AND x0 < 545 GROUP BY 1, 2",
+    "w3_lines": "SELECT l_suppkey::VARCHAR AS pdf_filename, l_linenumber::INT AS page, floor(l_extendedprice::DOUBLE % 842) AS top, trim(string_agg(l_returnflag, ' ' ORDER BY l_partkey % 595, l_orderkey, l_returnflag), ' ') AS line, min(l_partkey % 595)::DOUBLE AS left FROM lineitem GROUP BY 1, 2, 3",
 }
