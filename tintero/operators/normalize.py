@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tintero.functions.text import strip
+from tintero.functions.text import let, put, strip
 
 Encoder = Callable[[list[str]], "np.ndarray"]
 #: Lengths: paragraphs beyond LONG are split, those under SHORT merged, both towards TARGET.
@@ -17,14 +18,15 @@ LONG, SHORT, TARGET = 1000, 200, 700
 
 
 def word_encoder(texts: list[str]) -> np.ndarray:
-    """Deterministic stand-in for a sentence model: words counted in 64 slots by a hash of their letters."""
+    """Deterministic stand-in for a sentence model: words counted in 64 slots by their checksum."""
+    slot: dict[str, int] = {}
     out = np.zeros((len(texts), 64))
     for i, t in enumerate(texts):
-        for w in t.lower().split():
-            h = 0
-            for c in w:
-                h = (h * 131 + ord(c)) & 0xFFFFFFFF
-            out[i, h % 64] += 1
+        words = t.lower().split()
+        for w in words:
+            if w not in slot:
+                slot[w] = crc32(w.encode("utf-8", "surrogatepass")) % 64
+        out[i] = np.bincount([slot[w] for w in words], minlength=64) if words else 0.0
     return out
 
 
@@ -101,20 +103,22 @@ def sentence_chunks(sentences: Column, vecs: Column) -> Column:
     n = F.size(sentences)
     sims = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.coalesce(cosine(F.get(vecs, i - 1), F.get(vecs, i)), F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
 
-    def build(s):
-        k = F.greatest(F.size(s), F.lit(1))
-        mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / k
-        dev = F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / k)
+    def fold(s, low):
         zero = F.struct(F.array().cast("array<string>").alias("done"), F.element_at(sentences, 1).alias("cur"))
 
         def step(acc, i):
-            cut = F.get(s, i - 1) < mean - 0.5 * dev
-            x = F.get(sentences, i)
+            cut, x = F.get(s, i - 1) < low, F.get(sentences, i)
             return F.struct(F.when(cut, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"), F.when(cut, x).otherwise(F.concat(acc["cur"], F.lit(" "), x)).alias("cur"))
 
         return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), zero, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
 
-    folded = F.element_at(F.transform(F.array(sims), build), 1)
+    def build(s):
+        # Mean and deviation are computed once each, not for every sentence.
+        k = F.greatest(F.size(s), F.lit(1))
+        low = lambda mean: mean - 0.5 * F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / k)
+        return let(F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / k, lambda mean: let(low(mean), lambda t: fold(s, t)))
+
+    folded = let(sims, build)
     return F.when(n > 1, folded).otherwise(sentences)
 
 
@@ -129,8 +133,11 @@ def normalised_paragraphs(df: DataFrame, encoder: Encoder = word_encoder, keep_a
     """
     p = df.where("text IS NOT NULL").select("pdf_filename", "paragraph_num", "text")
     sents = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), strip), lambda s: s != "")
-    long = p.where(F.length("text") > LONG).withColumn("_s", sents).withColumn("_v", vectors(F.col("_s"), encoder))
-    cut = long.withColumn("_c", F.when(F.size("_s") > 1, pack_chunks(sentence_chunks(F.col("_s"), F.col("_v")), TARGET, SHORT, keep_all)).otherwise(F.array("text")))
+    # Sentences, vectors and chunks are made once for each row, behind generators.
+    long = put(p.where(F.length("text") > LONG), "_s", sents)
+    long = put(long, "_v", vectors(F.col("_s"), encoder))
+    long = put(long, "_d", sentence_chunks(F.col("_s"), F.col("_v")))
+    cut = put(long, "_c", F.when(F.size("_s") > 1, pack_chunks(F.col("_d"), TARGET, SHORT, keep_all)).otherwise(F.array("text")))
     split = F.size("_s") > 1
     pieces = cut.select("pdf_filename", "paragraph_num", F.posexplode("_c").alias("chunk_index", "text"), F.size("_c").alias("total_chunks"), split.alias("_split"))
     pieces = pieces.select("pdf_filename", "paragraph_num", "text", F.when(F.col("_split"), F.col("chunk_index")).alias("chunk_index"), F.when(F.col("_split"), F.col("total_chunks")).alias("total_chunks"))
